@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bracketry.llm import decontamination, jaccard_join, packing, quality_crf, quality_rules, toxicity, url_filter, warc
+from bracketry.llm import decontamination, jaccard_join, license_scan, packing, quality_crf, quality_rules, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_quality_classifier": quality_crf.op1_quality_classifier,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
     "op8_warc": warc.op8_warc,
+    "op9_license_scans": license_scan.op9_license_scans,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLE_SQL = {

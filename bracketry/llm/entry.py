@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from bracketry.llm import decontamination, jaccard_join, license_scan, packing, quality_crf, quality_rules, toxicity, url_filter, warc
+from bracketry.llm import context_mixing, decontamination, jaccard_join, license_scan, packing, quality_crf, quality_rules, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_quality_classifier": quality_crf.op1_quality_classifier,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_url_filters": url_filter.op4_url_filters,
+    "op5_lm_scoring": context_mixing.op5_lm_scoring,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
     "op8_warc": warc.op8_warc,

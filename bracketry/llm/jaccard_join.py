@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from bracketry.llm.common import ASCII_LOWER, saved, table, texts
 
 SHINGLE, PERCENT = 5, 80
-BITS = 1024
+MIN_BITS = 512
 #: A shingle is common if that share of a task's documents or more have it (and two do at least). The set of these is
 #: broadcast: it holds at most 1 / COMMON times the mean number of shingles of a document.
 COMMON = 0.0005
@@ -70,11 +70,24 @@ def links(inter: int, a: int, b: int, percent: int = PERCENT) -> bool:
 
 
 def bitmap(x: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, bool)
-    bits[(x >> np.uint64(20)).astype(np.int64) & (BITS - 1)] = True
+    """At least twice as many bits as shingles, by powers of two: a longer one folds onto a shorter one."""
+    size = max(MIN_BITS, 1 << (2 * len(x) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(x >> np.uint64(20)).astype(np.int64) & (size - 1)] = True
     return np.packbits(bits).tobytes()
 
 
+def differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Bits in which the bitmaps of each pair differ."""
+    lx, ly = np.array([len(b) for b in x]), np.array([len(b) for b in y])
+    out = np.empty(len(x), np.int64)
+    for a, b in set(zip(lx.tolist(), ly.tolist(), strict=True)):
+        at, m = np.flatnonzero((lx == a) & (ly == b)), min(a, b)
+        p, q = (np.bitwise_or.reduce(np.frombuffer(b"".join(z[i] for i in at), np.uint64).reshape(len(at), -1, m // 8), axis=1) for z in (x, y))
+        out[at] = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def prefix(x: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The shingles of which two linked sets share one, in the order rare first, then by hash."""
     n = len(x)
@@ -126,7 +139,7 @@ def _twice(hold: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return h[c > 1], c[c > 1]
 
 
-def _classes(docs: DataFrame, common, tasks_share: float) -> DataFrame:
+def _classes(docs: DataFrame, common) -> DataFrame:
     """fp, n, bits, first, keys (prefix), late (of these, the common ones' start): once a task for each set."""
     import xxhash
 
@@ -235,13 +248,13 @@ def _possible(pairs: DataFrame, lite: DataFrame) -> DataFrame:
     """Pairs whose bitmaps allow a link: the overlap is at most half of the sizes' sum less the bits that differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits", "bits2"))
-            na, nb = batch.column("n").to_numpy(), batch.column("n2").to_numpy()
-            most = np.minimum((na + nb - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) // 2, np.minimum(na, nb))
-            yield batch.select(["a", "b"]).filter(pa.array(100 * most >= PERCENT * (na + nb - most)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                na, nb = batch.column("n").to_numpy(), batch.column("n2").to_numpy()
+                differ = differing(batch.column("bits").to_pylist(), batch.column("bits2").to_pylist())
+                most = np.minimum((na + nb - differ) // 2, np.minimum(na, nb))
+                yield batch.select(["a", "b"]).filter(pa.array(100 * most >= PERCENT * (na + nb - most)))
 
     left = lite.select(F.col("id").alias("a"), "n", "bits")
     right = lite.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
@@ -317,7 +330,7 @@ def groups(docs: DataFrame) -> DataFrame:
 
     own = rows.where("n > 0 and doc_id is not null")
     ids = own.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    once = _classes(docs, sent, 0).groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "bits", "first", "keys", "late")))
+    once = _classes(docs, sent).groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "bits", "first", "keys", "late")))
     classes = saved(once.join(ids, "fp").drop("fp"), "classes")
     lite = classes.select("id", "n", "bits")
 

@@ -78,7 +78,7 @@ def measure(docs: DataFrame, host: str) -> DataFrame:
 
 
 def with_rules(measured: DataFrame) -> DataFrame:
-    per_word = F.col("word_chars") / F.col("n_words")
+    per_word = F.try_divide("word_chars", "n_words")
     failed = [
         F.col("n_symbols") > MAX_SYMBOLS * F.col("n_words"),
         F.col("n_dup_lines") >= F.greatest(F.lit(2), MAX_DUP_LINES * (F.col("n_dup_lines") + 1)),

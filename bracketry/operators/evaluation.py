@@ -63,4 +63,4 @@ def rank_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """auc by the rank sum with mean ranks of ties: counts by distinct score, so rows never meet in one task."""
     t = df.groupBy(score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("q"))
     t = t.withColumn("below", F.coalesce(F.sum("q").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return t.agg((F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("q"))) / (F.sum("p") * F.sum("q"))).alias("auc"))
+    return t.agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("q"))), F.sum("p") * F.sum("q")).alias("auc"))

@@ -3,11 +3,13 @@
 Equal sets are one class; only one document of each goes on. Classes meet on a shingle of their prefixes (the rarest
 20 % of a set must hold one that both have, if the Jaccard similarity is 0.8 or more), within bands of sizes that can
 link at all. For such pairs, hashed bitmaps bound the overlap from above; the sorted arrays decide the rest.
-Everything counted or kept is exact: a common shingle only comes later in the order in which prefixes are taken.
+Rarity is read from a table of hashed counters: it only fixes one order of all shingles, the same for every document,
+so a collision moves a shingle in that order and never loses a link.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +21,12 @@ from bracketry.llm.common import ASCII_LOWER, saved, table, texts
 
 SHINGLE, PERCENT = 5, 80
 MIN_BITS = 512
-#: A shingle is common if that share of a task's documents or more have it (and two do at least). The set of these is
-#: broadcast: it holds at most 1 / COMMON times the mean number of shingles of a document.
-COMMON = 0.0005
+#: log2 of the hashed counters that order shingles by rarity (a byte each when broadcast), and the blocks they are added up in.
+SLOT_BITS, BLOCKS = 24, 64
+#: Documents from which on a shingle (or those that share its counter, above their mean) is met through components only.
+HOT = 64
+#: Members of a common shingle's documents that all others of other components are compared with first.
+PIVOTS = 8
 #: Shingles of a document on which it is first compared with one other document each.
 FIRST_KEYS = 4
 #: Bits for an involved document in the filter that is sent to the scan; beyond FILTER_BYTES all documents' arrays are joined.
@@ -51,18 +56,54 @@ class Words(dict):
 _words = Words()
 
 
+#: A random number for each byte (capitals as small letters, white space none); powers by which places in a word count.
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _C1)[np.frombuffer(ASCII_LOWER, np.uint8)]
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTES[_SPACE] = 0
+_PIECE = 1 << 20
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _powers(n: int, kept: list[np.ndarray] = [np.ones(1, np.uint64)]) -> np.ndarray:  # noqa: B006  kept from call to call
+    if len(kept[0]) < n:
+        kept[0] = np.cumprod(np.append(np.uint64(1), np.full(2 * n, _C2)), dtype=np.uint64)
+    return kept[0]
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words, A-Z as a-z; long texts in pieces cut at white space."""
+    parts, at = [], 0
+    while len(text) - at > _PIECE and (cut := _WHITE.search(text, at + _PIECE // 2)):
+        parts.append(_hash_words(text[at : cut.end()]))
+        at = cut.end()
+    return np.concatenate([*parts, _hash_words(text[at:])])
+
+
+def _hash_words(text: bytes) -> np.ndarray:
+    b = np.frombuffer(text, np.uint8)
+    space = _SPACE[b]
+    starts = np.flatnonzero(np.concatenate([[True], space[:-1]]) & ~space) if len(b) else np.empty(0, np.int64)
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    first = starts[0]
+    spans = np.diff(np.append(starts, len(b)))
+    place = np.arange(len(b) - first) - np.repeat(starts - first, spans)
+    return _mix(np.add.reduceat(_BYTES[b[first:]] * _powers(int(spans.max()))[place], starts - first))
+
+
 def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; fewer words are one shingle, none give none."""
-    words = text.translate(ASCII_LOWER).split()
-    n = len(words)
+    w = word_hashes(text)
+    n = len(w)
     if not n:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
+        return w
     m = min(k, n)
     x = _mix(w[: n - m + 1] + np.uint64(int(_C1) * m % 2**64))
     for j in range(1, m):
         x = _mix((x ^ (x << np.uint64(1))) + w[j : n - m + 1 + j])
-    return np.unique(x)
+    x.sort()
+    return x[np.append(True, x[1:] != x[:-1])]
 
 
 def links(inter: int, a: int, b: int, percent: int = PERCENT) -> bool:
@@ -88,22 +129,36 @@ def differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
     return out
 
 
-def prefix(x: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The shingles of which two linked sets share one, in the order rare first, then by hash."""
-    n = len(x)
-    k = n - -(-percent * n // 100) + 1
-    if not len(common):
-        return x[:k]
-    hot = common[np.minimum(np.searchsorted(common, x), len(common) - 1)] == x
-    return np.concatenate([x[~hot], x[hot]])[:k]
+def slot(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def prefix(x: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of which two linked sets share one, rare first, then by hash; and their levels of rarity."""
+    lv = levels[slot(x)]
+    order = np.argsort(lv, kind="stable")[: len(x) - -(-percent * len(x) // 100) + 1]
+    return x[order], lv[order]
+
+
+def level_of(count: np.ndarray) -> np.ndarray:
+    """Eight levels for each doubling of a count."""
+    return np.minimum(8 * np.log2(1.0 + count), 255).astype(np.uint8)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, fp of every row, and of each task the shingles that are common in it with their counts."""
+    """doc_id, n, fp of every row, and of each task its counters of distinct sets' shingles, block by block."""
     import xxhash
+    import zstandard
+
+    names = ["doc_id", "n", "fp", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, hold, held, counted, rows = set(), [], 0, [], 0
+        seen, hold, held, counters = set(), [], 0, np.zeros(1 << SLOT_BITS, np.uint8)
+
+        def add() -> None:
+            at, c = np.unique(slot(np.concatenate(hold)), return_counts=True)
+            counters[at] = np.minimum(counters[at] + c, 255)
+
         for batch in batches:
             ns, fps = [], []
             for t in texts(batch):
@@ -113,38 +168,52 @@ def _sets(docs: DataFrame) -> DataFrame:
                 fps.append(fp)
                 if fp not in seen and len(x):
                     seen.add(fp)
-                    rows += 1
                     hold.append(x)
                     held += len(x)
-                    if held > 4_000_000:
-                        counted.append(_twice(hold))
+                    if held > 2_000_000:
+                        add()
                         hold, held = [], 0
             m = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=["doc_id", "n", "fp", "common", "counts"])
-        counted.append(_twice(hold))
-        h = np.concatenate([a for a, _ in counted])
-        c = np.concatenate([b for _, b in counted])
-        if len(h):
-            h, inv = np.unique(h, return_inverse=True)
-            c = np.bincount(inv, c).astype(np.int64)
-            few = max(2, int(COMMON * rows))
-            h, c = h[c >= few], c[c >= few]
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([h.tobytes()], pa.binary()), pa.array([c.astype(np.int64).tobytes()], pa.binary())], names=["doc_id", "n", "fp", "common", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+        if hold:
+            add()
+        if seen:
+            packed = [zstandard.ZstdCompressor(level=1).compress(b.tobytes()) for b in counters.reshape(BLOCKS, -1)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.binary()), pa.array(range(BLOCKS), pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, fp binary, common binary, counts binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, fp binary, block int, counts binary")
 
 
-def _twice(hold: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    h, c = np.unique(np.concatenate(hold), return_counts=True) if hold else (np.empty(0, np.uint64), np.empty(0, np.int64))
-    return h[c > 1], c[c > 1]
+def _levels(sets: DataFrame) -> tuple[np.ndarray, int]:
+    """Each counter's level over all tasks, and the level from which on shingles are hot. Fixed in size: a byte for each counter."""
+    import zstandard
 
+    size = (1 << SLOT_BITS) // BLOCKS
 
-def _classes(docs: DataFrame, common) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, unpack = {}, zstandard.ZstdDecompressor()
+        for batch in batches:
+            for k, c in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                if k not in own:
+                    own[k] = np.zeros(size, np.int64)
+                own[k] += np.frombuffer(unpack.decompress(c), np.uint8)
+        for k, c in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level_of(c).tobytes()], pa.binary()), pa.array([int(c.sum())], pa.int64())], names=["block", "levels", "total"])
+
+    got = sets.where("block is not null").select("block", "counts").repartition("block").mapInArrow(run, "block int, levels binary, total long").toArrow()
+    out = np.zeros((BLOCKS, size), np.uint8)
+    for k, c in zip(got.column("block").to_pylist(), got.column("levels").to_pylist(), strict=True):
+        out[k] = np.frombuffer(c, np.uint8)
+    mean = sum(got.column("total").to_pylist()) / (1 << SLOT_BITS)
+    return out.ravel(), int(level_of(np.array(HOT + 2 * mean)))
+
+
+def _classes(docs: DataFrame, levels, hot: int) -> DataFrame:
     """fp, n, bits, first, keys (prefix), late (of these, the common ones' start): once a task for each set."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, seen = np.frombuffer(common.value, np.uint64), set()
+        lv, seen = np.frombuffer(levels.value, np.uint8), set()
         for batch in batches:
             rows = []
             for t in texts(batch):
@@ -152,9 +221,8 @@ def _classes(docs: DataFrame, common) -> DataFrame:
                 if not len(x) or (fp := xxhash.xxh3_128_digest(x.tobytes())) in seen:
                     continue
                 seen.add(fp)
-                p = prefix(x, hot)
-                late = int((hot[np.minimum(np.searchsorted(hot, p), len(hot) - 1)] == p).sum()) if len(hot) else 0
-                rows.append((fp, len(x), bitmap(x), x[:FIRST_KEYS].tobytes(), p.tobytes(), len(p) - late))
+                p, own = prefix(x, lv)
+                rows.append((fp, len(x), bitmap(x), x[:FIRST_KEYS].tobytes(), p.tobytes(), int(np.searchsorted(own, hot))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32()), strict=True)], names=["fp", "n", "bits", "first", "keys", "late"])
 
@@ -173,7 +241,7 @@ def _first_keys(classes: DataFrame) -> DataFrame:
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """h, id, n, comp, short (in the part of the prefix which the smaller of two linked sets must meet), hot."""
+    """h, id, n, comp, place (how many shingles of the set come earlier in the order), hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,29 +250,28 @@ def _postings(classes: DataFrame) -> DataFrame:
                 each = [np.frombuffer(x, np.int64) for x in b.column("keys").to_pylist()]
                 n, k = b.column("n").to_numpy(), np.array([len(x) for x in each])
                 place = np.concatenate([np.arange(m) for m in k])
-                # of sets of n and at least n shingles, 2 P n / (100 + P) must be common
-                short = place < np.repeat(n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1, k)
                 hot = place >= np.repeat(b.column("late").to_numpy(), k)
-                cols = [np.concatenate(each), *(np.repeat(b.column(c).to_numpy(), k) for c in ("id", "n", "comp")), short, hot]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "id", "n", "comp", "short", "hot"])
+                cols = [np.concatenate(each), *(np.repeat(b.column(c).to_numpy(), k) for c in ("id", "n", "comp")), place.astype(np.int32), hot]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "id", "n", "comp", "place", "hot"])
 
-    return classes.select("keys", "id", "n", "comp", "late").mapInArrow(run, "h long, id long, n long, comp long, short boolean, hot boolean")
+    return classes.select("keys", "id", "n", "comp", "late").mapInArrow(run, "h long, id long, n long, comp long, place int, hot boolean")
 
 
 def _tiles(postings: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different comps that share a rare prefix shingle, of sizes that can link. Rows come sorted by h and n."""
+    """Pairs (a, b) of different comps that share a rare prefix shingle, and may link by their sizes and its places: of two
+    linked sets' first common shingle no more comes later than what they have in common. Rows come sorted by h and n."""
 
-    def pairs(h: np.ndarray, id_: np.ndarray, n: np.ndarray, comp: np.ndarray, short: np.ndarray) -> list[np.ndarray]:
+    def pairs(h: np.ndarray, id_: np.ndarray, n: np.ndarray, comp: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
         edge = np.flatnonzero(np.diff(h)) + 1
         starts, ends = np.append(0, edge), np.append(edge, len(h))
         mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
         out = []
         for s, e in zip(starts[mixed], ends[mixed], strict=True):
             for i in range(s, e - 1):  # the smaller set
-                if short[i]:
+                if (100 + PERCENT) * (n[i] - place[i]) >= 2 * PERCENT * n[i]:
                     top = s + np.searchsorted(n[s:e], 100 * n[i] // PERCENT, side="right")
                     j = np.arange(i + 1, top)
-                    j = j[comp[j] != comp[i]]
+                    j = j[(comp[j] != comp[i]) & ((100 + PERCENT) * np.minimum(n[i] - place[i], n[j] - place[j]) >= PERCENT * (n[i] + n[j]))]
                     if len(j):
                         out.append(np.stack([np.minimum(id_[i], id_[j]), np.maximum(id_[i], id_[j])]))
         return out
@@ -212,7 +279,7 @@ def _tiles(postings: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "id", "n", "comp", "short")]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "id", "n", "comp", "place")]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             if not len(cols[0]):
@@ -224,7 +291,7 @@ def _tiles(postings: DataFrame) -> DataFrame:
         if rest is not None and len(rest[0]) and (found := pairs(*rest)):
             yield _pairs_batch(found)
 
-    rare = postings.where("not hot").select("h", "id", "n", "comp", "short")
+    rare = postings.where("not hot").select("h", "id", "n", "comp", "place")
     return rare.repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -233,15 +300,40 @@ def _pairs_batch(found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def _hot_pairs(postings: DataFrame) -> DataFrame:
-    """The same for common shingles, whose groups may be large: a group's main comp is only met by the others in it."""
+def _mixed(postings: DataFrame) -> DataFrame:
+    """The postings of common shingles whose documents are of more than one comp."""
     hot = postings.where("hot")
     mixed = hot.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    some = saved(hot.join(mixed, "h", "left_semi"), "hot-postings")
-    main = some.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max(F.struct("c", "comp")).alias("m")).select("h", F.col("m.comp").alias("main"))
-    odd = some.join(main, "h").where("comp <> main").select("h", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"), F.col("short").alias("xs"))
-    fit = (F.col("xc") != F.col("comp")) & (100 * F.least("n", "xn") >= PERCENT * F.greatest("n", "xn")) & F.when(F.col("n") < F.col("xn"), F.col("short")).when(F.col("xn") < F.col("n"), F.col("xs")).otherwise(F.col("short") | F.col("xs"))
-    return odd.join(some, "h").where(fit).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+    return saved(hot.join(mixed, "h", "left_semi"), "hot-postings")
+
+
+def _met(x: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs (a, b) of x (h, x, xn, xc, xp) and others that share h, of different comps, of sizes and places that can link."""
+    later = F.least(F.col("n") - F.col("place"), F.col("xn") - F.col("xp"))
+    fit = (F.col("xc") != F.col("comp")) & (100 * F.least("n", "xn") >= PERCENT * F.greatest("n", "xn")) & ((100 + PERCENT) * later >= PERCENT * (F.col("n") + F.col("xn")))
+    return x.join(others, "h").where(fit).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+
+
+def _as_x(postings: DataFrame) -> DataFrame:
+    return postings.select("h", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"), F.col("place").alias("xp"))
+
+
+def _main(mixed: DataFrame) -> DataFrame:
+    """The comp that most of a common shingle's documents are of."""
+    return mixed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max(F.struct("c", "comp")).alias("m")).select("h", F.col("m.comp").alias("main"))
+
+
+def _pivot_pairs(mixed: DataFrame) -> DataFrame:
+    """A few documents of each common shingle's main comp, the same ones wherever they can be, meet those of other comps."""
+    own = mixed.join(_main(mixed), "h")
+    row = F.struct("id", "n", "comp", "place")
+    pivots = own.where("comp = main").groupBy("h", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("k")).agg(F.min_by(row, F.xxhash64("id")).alias("p")).select("h", "p.*")
+    return _met(_as_x(own.where("comp <> main")), pivots)
+
+
+def _hot_pairs(mixed: DataFrame) -> DataFrame:
+    """Of each common shingle's documents those outside its main comp meet all those of other comps."""
+    return _met(_as_x(mixed.join(_main(mixed), "h").where("comp <> main")), mixed)
 
 
 def _possible(pairs: DataFrame, lite: DataFrame) -> DataFrame:
@@ -319,18 +411,13 @@ def groups(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     sets = saved(_sets(docs), "sets")
-    common = sets.where("common is not null").select("common", "counts").toArrow().to_pylist()
-    hot = np.concatenate([np.frombuffer(r["common"], np.uint64) for r in common] or [np.empty(0, np.uint64)])
-    total = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in common] or [np.empty(0, np.int64)])
-    rows = sets.where("common is null").select("doc_id", "n", "fp")
-    if len(hot):
-        hot, inv = np.unique(hot, return_inverse=True)
-        hot = hot[np.bincount(inv, total) >= max(2, COMMON * rows.count())]
-    sent = spark.sparkContext.broadcast(hot.tobytes())
+    rows = sets.where("block is null").select("doc_id", "n", "fp")
+    levels, hot = _levels(sets)
+    sent = spark.sparkContext.broadcast(levels.tobytes())
 
     own = rows.where("n > 0 and doc_id is not null")
     ids = own.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    once = _classes(docs, sent).groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "bits", "first", "keys", "late")))
+    once = _classes(docs, sent, hot).groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "bits", "first", "keys", "late")))
     classes = saved(once.join(ids, "fp").drop("fp"), "classes")
     lite = classes.select("id", "n", "bits")
 
@@ -338,12 +425,17 @@ def groups(docs: DataFrame) -> DataFrame:
     pivots = keys.groupBy("h").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "p")
     stars = keys.join(pivots, "h").where("id <> p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
     first = saved(_verified(docs, saved(_possible(stars, lite), "first-pairs")), "first-links")
-    comp = first.groupBy(F.col("b").alias("c_id")).agg(F.min("a").alias("comp"))
 
-    marked = classes.join(comp, F.col("id") == F.col("c_id"), "left").drop("c_id").withColumn("comp", F.coalesce("comp", "id"))
-    postings = _postings(marked)
-    more = saved(_possible(_tiles(postings).union(_hot_pairs(postings)).distinct(), lite).join(first, ["a", "b"], "left_anti"), "more-pairs")
-    edges = first.union(_verified(docs, more))
+    def marked(links_: DataFrame) -> DataFrame:
+        comp = components(links_).select(F.col("id").alias("c_id"), F.col("label").alias("comp"))
+        return _postings(classes.join(comp, F.col("id") == F.col("c_id"), "left").drop("c_id").withColumn("comp", F.coalesce("comp", "id")))
+
+    second = saved(_possible(_pivot_pairs(_mixed(marked(first))), lite).join(first, ["a", "b"], "left_anti"), "second-pairs")
+    found = saved(first.union(_verified(docs, second)), "found-links")
+    postings = marked(found)
+    more = _possible(_tiles(postings).union(_hot_pairs(_mixed(postings))).distinct(), lite)
+    more = saved(more.join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"), "more-pairs")
+    edges = found.union(_verified(docs, more))
     # copies: each row's node is linked to its class
     same = own.join(ids, "fp").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
     labels = components(edges.union(same))

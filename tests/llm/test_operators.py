@@ -120,7 +120,9 @@ def brute_groups(rows):
     return {k: (len(sets[k]), label[k]) for k in sets}
 
 
-def test_jaccard_groups(spark, docs, none):
+@pytest.mark.parametrize("hot", [3, jaccard_join.HOT])
+def test_jaccard_groups(spark, docs, none, hot, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
     rng = np.random.default_rng(5)
     rows = list(some_docs())
     base = list(rng.choice(WORDS, 120))

@@ -53,9 +53,6 @@ class Words(dict):
         return h
 
 
-_words = Words()
-
-
 #: A random number for each byte (capitals as small letters, white space none); powers by which places in a word count.
 _BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _C1)[np.frombuffer(ASCII_LOWER, np.uint8)]
 _SPACE = np.zeros(256, bool)
@@ -145,6 +142,13 @@ def level_of(count: np.ndarray) -> np.ndarray:
     return np.minimum(8 * np.log2(1.0 + count), 255).astype(np.uint8)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same in batches of so many rows at most, so that few texts are held as Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _sets(docs: DataFrame) -> DataFrame:
     """doc_id, n, fp of every row, and of each task its counters of distinct sets' shingles, block by block."""
     import xxhash
@@ -159,7 +163,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             at, c = np.unique(slot(np.concatenate(hold)), return_counts=True)
             counters[at] = np.minimum(counters[at] + c, 255)
 
-        for batch in batches:
+        for batch in sliced(batches):
             ns, fps = [], []
             for t in texts(batch):
                 x = shingles(t)
@@ -170,7 +174,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                     seen.add(fp)
                     hold.append(x)
                     held += len(x)
-                    if held > 2_000_000:
+                    if held > 1_000_000:
                         add()
                         hold, held = [], 0
             m = batch.num_rows
@@ -214,7 +218,7 @@ def _classes(docs: DataFrame, levels, hot: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lv, seen = np.frombuffer(levels.value, np.uint8), set()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for t in texts(batch):
                 x = shingles(t)

@@ -1,11 +1,12 @@
 """Language model scoring by logistic context mixing.
 
-A token is spelt as bytes, a byte as eight bits. Bit predictors of order 0 to 4, tables of counts under hashed contexts
-(the bytes before in the token and the bits before in the byte), are stretched and added up with weights chosen by a
-gate, how much the two longest contexts have seen. Adaptive maps, by the bits before, then refine the probability.
-Weights and maps are learned online, token by token of a bounded sample; the tables hold every training word. What the
-contexts cannot know is mixed in at the end of a token, again with gated weights: the token's frequency in training and
-its frequency so far in the same text. All three are distributions over tokens, so a text's probability is proper.
+A text is scored as running text: its tokens, each with a space after it, and an end, byte by byte and bit by bit. Bit
+predictors count, in hashed tables over all training texts, what followed the 0, 1, 2, 3, 4 and 6 bytes before (across
+tokens) and the token before with the bytes of this one. A match predictor follows the last place in the same text with
+the same six bytes before. Their stretched predictions are added up with weights chosen by a gate (the match's length, how
+much two of the contexts have seen), then adaptive maps, by the bits before, refine the probability. Weights and maps are
+learned online over all training texts, by partition, and averaged by what each partition has seen. The tables' sizes
+follow the number of distinct training tokens.
 """
 
 from __future__ import annotations
@@ -22,17 +23,21 @@ from pyspark.sql import functions as F
 from bracketry.llm.common import ASCII_LOWER, remainder, saved, table, texts
 from bracketry.llm.jaccard_join import Words
 
-#: log2 of the slots of the tables of order 0 to 4.
-TABLE_BITS = (8, 16, 20, 21, 21)
+#: log2 of the slots of the tables: 0, 1, 2, 3, 4 and 6 bytes before, and the token before; see table_bits().
+TABLE_BITS = (8, 16, 20, 21, 21, 21, 21)
 OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
 #: Most frequent tokens that are broadcast with their counts; all others are joined.
 FREQUENT = 200_000
-#: Words to learn weights on, and training texts (of so many bytes at most) to learn the last mix on.
-SAMPLE_WORDS, SAMPLE_DOCS, SAMPLE_BYTES = 20_000, 200, 16_384
 END = b"\n"
-#: Places in a text at which another set of last weights begins.
-GATES = (1, 8, 64, 512)
+#: Bytes whose bits are handled at once, and bytes (of whole texts) whose contexts are.
+STEP, BLOCK = 4096, 1 << 19
+#: Slots that are added up together.
+CHUNK = 1 << 15
 _words = Words()
+_LOG = np.log(np.arange(1 << 16) + 0.3).astype(np.float32)
+_LEVEL = np.minimum(np.log2(np.arange(1 << 17) + 1), 7).astype(np.uint8)
+_SHIFT = np.arange(7, -1, -1, dtype=np.uint32)
+_ONES = np.uint32(1) << np.arange(8, dtype=np.uint32)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -40,7 +45,18 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def spelling(word: bytes) -> bytes:
-    return word if word == END else word + b" "
+    return word if word.endswith(END) else word + b" "
+
+
+def running(words: list[bytes]) -> bytes:
+    """The text that is scored: tokens() as one string."""
+    return b"".join(map(spelling, words))
+
+
+def table_bits(distinct: int) -> tuple[int, ...]:
+    """log2 of the tables' slots for so many distinct training tokens: two for each, where contexts are not few anyway."""
+    b = max(16, (2 * distinct - 1).bit_length() if distinct else 0)
+    return (8, 16, min(b, 20), b, b, b, b)
 
 
 def _count(docs: DataFrame, folds: int, out: int) -> DataFrame:
@@ -70,169 +86,256 @@ def _count(docs: DataFrame, folds: int, out: int) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def bit_slots(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each bit of each spelling: its word, its value, and its slots in the tables, a row for each order."""
-    spelt = [spelling(w) for w in words]
-    n = np.array([len(s) for s in spelt])
-    b = np.frombuffer(b"".join(spelt), np.uint8).astype(np.uint32)
-    word = np.repeat(np.arange(len(words), dtype=np.int32), n)
-    place = np.arange(len(b)) - np.repeat(np.cumsum(n) - n, n)
-    before = [np.where(place >= k, np.roll(b, k), 0).astype(np.uint32) for k in (1, 2, 3, 4)]
-    ctx = [np.zeros_like(b), before[0], before[0] | before[1] << 8, before[0] | before[1] << 8 | before[2] << 16]
-    ctx.append(ctx[3])
-    shift = np.arange(7, -1, -1, dtype=np.uint32)
-    ones = np.uint32(1) << np.arange(8, dtype=np.uint32)
-    node = ones | b[:, None] >> (shift + np.uint32(1)) & (ones - np.uint32(1))
-    slots = np.empty((len(TABLE_BITS), 8 * len(b)), np.int32)
-    for k, bits in enumerate(TABLE_BITS):
-        x = (ctx[k][:, None] << np.uint32(8) | node).ravel()
-        if k == 4:
-            x ^= np.repeat(before[3] * np.uint32(0x85EBCA6B), 8)
-        if k > 1:
-            x = (x * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
-        slots[k] = x + np.uint32(OFFSETS[k])
-    return np.repeat(word, 8), (b[:, None] >> shift & np.uint32(1)).ravel().astype(np.int32), slots
-
-
-def _tables(words: DataFrame) -> np.ndarray:
-    """(slots, 2) numbers of 0 and 1 bits over the distinct training words; fixed in size, so it fits the driver."""
+class Bytes:
+    """The bytes of some texts with their contexts, none of which reaches into the text before."""
+
+    def __init__(self, spelt: list[bytes], match: bool = True):
+        n = np.array([len(s) for s in spelt])
+        b = self.b = np.frombuffer(b"".join(spelt), np.uint8).astype(np.uint32)
+        at = np.arange(len(b))
+        self.text = np.repeat(np.arange(len(spelt)), n)
+        begin = np.repeat(np.cumsum(n) - n, n)
+        b1, b2, b3, b4, b5, b6 = (np.where(at - begin >= k, np.roll(b, k), 0).astype(np.uint32) for k in range(1, 7))
+        two = b1 | b2 << np.uint32(8)
+        four = two | b3 << np.uint32(16) | b4 << np.uint32(24)
+        six = four.astype(np.uint64) | (b5 | b6 << np.uint32(8)).astype(np.uint64) << np.uint64(32)
+        # sums of powers give the hash of any stretch of bytes: here from the start of the token before on
+        power = np.cumprod(np.full(len(b) + 1, 0x9E3779B97F4A7C15, np.uint64))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b + np.uint32(1)).astype(np.uint64) * power[:-1])])
+        start = np.maximum.accumulate(np.where((at == begin) | (b1 == 32), at, 0))
+        since = np.where(start > begin, start[np.maximum(start - 1, 0)], start) if len(b) else start
+        inverse = np.cumprod(np.full(len(b) + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
+        pair = (total[:-1] - total[since]) * inverse[since]
+        fold = [(x * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32) for x in (six + np.uint64(1), pair ^ pair >> np.uint64(29))]
+        self.contexts = [np.zeros_like(b), b1, two, two | b3 << np.uint32(16), four, *fold]
+        self.guess, self.sure = np.zeros_like(b), np.zeros(len(b), np.int64)
+        if match and len(b):
+            order = np.argsort(six, kind="stable")
+            same = (six[order[1:]] == six[order[:-1]]) & (self.text[order[1:]] == self.text[order[:-1]])
+            last = np.full(len(b), -1)
+            last[order[1:][same]] = order[:-1][same]
+            last[at - begin < 6] = -1
+            self.guess = b[np.maximum(last, 0)]
+            goes_on = np.concatenate([[False], (last[1:] == last[:-1] + 1) & (last[:-1] >= 0)])
+            run = at - np.maximum.accumulate(np.where(goes_on, 0, at))
+            self.sure = np.where(last >= 0, 1 + (run >= 4) + (run >= 16), 0)
+
+    def bits(self, lo: int, hi: int, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Of the bits of bytes lo to hi: the values, and the slots, a row for each table."""
+        b = self.b[lo:hi]
+        node = _ONES | b[:, None] >> (_SHIFT + np.uint32(1)) & (_ONES - np.uint32(1))
+        salt = node * np.uint32(0x9E3779B1)
+        slots, offset = np.empty((len(sizes), 8 * len(b)), np.int64), 0
+        for k, size in enumerate(sizes):
+            x = self.contexts[k][lo:hi, None]
+            if k < 2:
+                x = x << np.uint32(8) | node
+            else:
+                x = (x * np.uint32(0x85EBCA6B) ^ salt) * np.uint32(0xC2B2AE35)
+                x ^= x >> np.uint32(15)
+                x = x * np.uint32(0x2C1B3C6D) >> np.uint32(32 - size)
+            slots[k] = x.ravel()
+            slots[k] += offset
+            offset += 1 << size
+        return (b[:, None] >> _SHIFT & np.uint32(1)).ravel().astype(np.int32), slots
+
+    def matched(self, lo: int, hi: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The match's prediction of each bit, and how sure it is (0 without one, or if it was wrong in this byte)."""
+        g = self.guess[lo:hi, None]
+        agrees = (_ONES | g >> (_SHIFT + np.uint32(1)) & (_ONES - np.uint32(1))).ravel() == node
+        sure = np.repeat(self.sure[lo:hi], 8) * agrees
+        return np.where(sure > 0, (g >> _SHIFT & np.uint32(1)).ravel() * np.float32(4) - np.float32(2), np.float32(0)), sure
+
+
+def bit_slots(words: list[bytes], sizes: tuple[int, ...] = TABLE_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each bit of each spelling: its text, its value, and its slots in the tables, a row for each."""
+    all_ = Bytes([spelling(w) for w in words], match=False)
+    return np.repeat(all_.text, 8), *all_.bits(0, len(all_.b), sizes)
+
+
+def blocks(spelt: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of about BLOCK bytes, with the place of the first; a longer text is one by itself."""
+    at, held = 0, 0
+    for k, s in enumerate(spelt):
+        if held and held + len(s) > BLOCK:
+            yield at, spelt[at:k]
+            at, held = k, 0
+        held += len(s)
+    if at < len(spelt):
+        yield at, spelt[at:]
+
+
+def packed(n: np.ndarray) -> np.ndarray:
+    """Numbers of 0 and 1 bits as two of 16 bits in one; where one is too large both shrink alike."""
+    n = np.asarray(n, np.float64)
+    most = n.max(axis=1, keepdims=True, initial=0)
+    return (n * np.minimum(1, 65_535 / np.maximum(most, 1))).astype(np.uint16).view(np.uint32).ravel()
+
+
+def _spread(docs: DataFrame) -> DataFrame:
+    """docs in as many partitions as there are cores at least, should the files be fewer."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
+def _training(docs: DataFrame, folds: int, out: int) -> DataFrame:
+    """The training texts in as many partitions as there are cores at most, as each of them makes whole tables."""
+    return docs.where(remainder("doc_id", folds) != out).select(F.col("text").cast("string")).coalesce(docs.sparkSession.sparkContext.defaultParallelism)
+
+
+def _spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            for _, part in blocks([running(tokens(t)) for t in texts(batch.slice(at, 200))]):
+                yield part
+
+
+def _tables(train: DataFrame, sizes: tuple[int, ...]) -> np.ndarray:
+    """packed() numbers of 0 and 1 bits at each slot over all training texts."""
+    slots = sum(1 << b for b in sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.zeros(2 * OFFSETS[-1], np.int32)
-        for batch in batches:
-            own = batch.column("word").to_pylist()
-            for at in range(0, len(own), 20_000):
-                _, bit, slots = bit_slots(own[at : at + 20_000])
-                for k in range(len(slots)):
-                    lo, hi = 2 * OFFSETS[k], 2 * OFFSETS[k + 1]
-                    acc[lo:hi] += np.bincount(2 * slots[k] + bit - lo, minlength=hi - lo).astype(np.int32)
-        acc = acc.reshape(-1, 2)
-        used = np.flatnonzero(acc.any(axis=1))
-        for at in range(0, len(used), 100_000):
-            u = used[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int32)), pa.array(acc[u, 0]), pa.array(acc[u, 1])], names=["s", "n0", "n1"])
-
-    got = words.where("c > 0").select("word").mapInArrow(run, "s int, n0 int, n1 int").groupBy("s").agg(F.sum("n0").cast("float").alias("n0"), F.sum("n1").cast("float").alias("n1")).toArrow()
-    out = np.zeros((OFFSETS[-1], 2), np.float32)
-    out[got.column("s").to_numpy(), 0] = got.column("n0").to_numpy()
-    out[got.column("s").to_numpy(), 1] = got.column("n1").to_numpy()
+        acc = np.zeros(2 * slots, np.uint32)
+        for part in _spelt(batches):
+            all_ = Bytes(part, match=False)
+            for lo in range(0, len(all_.b), STEP):
+                bit, at = all_.bits(lo, lo + STEP, sizes)
+                np.add.at(acc, (2 * at + bit).ravel(), np.uint32(1))
+        for at in range(0, slots, CHUNK):
+            n = acc[2 * at : 2 * (at + CHUNK)]
+            if n.any():
+                kind = np.uint8 if n.max() < 1 << 8 else np.uint16 if n.max() < 1 << 16 else np.uint32
+                yield pa.RecordBatch.from_arrays([pa.array([at // CHUNK], pa.int32()), pa.array([n.astype(kind).tobytes()], pa.binary())], names=["chunk", "n"])
+
+    def add(parts: pa.Table) -> pa.Table:
+        chunk = parts.column("chunk")[0].as_py()
+        size = min(CHUNK, slots - chunk * CHUNK)
+        n = np.zeros(2 * size)
+        for x in parts.column("n").to_pylist():
+            n += np.frombuffer(x, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(x) // (2 * size)])
+        return pa.table({"chunk": pa.array([chunk], pa.int32()), "n": pa.array([packed(n.reshape(-1, 2)).tobytes()], pa.binary())})
+
+    got = train.mapInArrow(run, "chunk int, n binary").groupBy("chunk").applyInArrow(add, "chunk int, n binary").toArrow()
+    out = np.zeros(slots, np.uint32)
+    for chunk, n in zip(got.column("chunk"), got.column("n"), strict=True):
+        at = chunk.as_py() * CHUNK
+        part = np.frombuffer(n.as_buffer(), np.uint32)
+        out[at : at + len(part)] = part
     return out
 
 
-def stretched(n: np.ndarray) -> np.ndarray:
-    p = (n[..., 1] + 0.3) / (n[..., 0] + n[..., 1] + 0.6)
-    return np.log(p / (1 - p))
-
-
-def level(n: np.ndarray) -> np.ndarray:
-    """How much a context has seen, 0 to 7."""
-    return np.minimum(np.log2(n[..., 0] + n[..., 1] + 1), 7).astype(np.uint8)
-
-
 class Mixer:
     """Weights by gate and adaptive maps by the bits before (order 0 slot)."""
 
-    KNOTS = 24
+    KNOTS, GATES = 24, 256
 
-    def __init__(self, orders: int = len(TABLE_BITS)):
-        self.w = np.tile(np.append(np.full(orders, 0.4), 0.0), (64, 1))
+    def __init__(self, inputs: int = len(TABLE_BITS) + 1):
+        self.w = np.tile(np.append(np.full(inputs, 0.25), 0.0), (self.GATES, 1))
         self.maps = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, self.KNOTS))), (256, 1))
+        self.w_seen, self.maps_seen = np.zeros(self.GATES), np.zeros_like(self.maps)
 
     def predict(self, x: np.ndarray, gate: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
-        z = np.clip(np.einsum("ij,ij->j", x, self.w.T[:-1, gate]) + self.w[gate, -1], -8, 8)
+        z = self.w[:, -1][gate]
+        for k in range(len(x)):
+            z += self.w[:, k][gate] * x[k]
+        z = np.clip(z, -8, 8)
         p = 1 / (1 + np.exp(-z))
         at = (z + 8) * ((self.KNOTS - 1) / 16)
         lo = np.minimum(at.astype(np.int64), self.KNOTS - 2)
         f = at - lo
-        fine = self.maps[node, lo] * (1 - f) + self.maps[node, lo + 1] * f
-        return p, np.clip((p + fine) / 2, 1e-6, 1 - 1e-6), lo, f
+        place = node * self.KNOTS + lo
+        maps = self.maps.ravel()
+        fine = maps[place] * (1 - f) + maps[place + 1] * f
+        return p, np.clip((p + fine) / 2, 1e-6, 1 - 1e-6), place, f
 
     def learn(self, x: np.ndarray, gate: np.ndarray, node: np.ndarray, bit: np.ndarray, rate: float) -> None:
-        p, _, lo, f = self.predict(x, gate, node)
-        g = np.zeros_like(self.w)
-        np.add.at(g, gate, np.concatenate([x, np.ones((1, x.shape[1]))]).T * (bit - p)[:, None])
-        self.w += rate * g / np.maximum(np.bincount(gate, minlength=64), 1)[:, None]
-        moved, seen = np.zeros_like(self.maps), np.full_like(self.maps, 30.0)
-        for at, share in ((lo, 1 - f), (lo + 1, f)):
-            np.add.at(moved, (node, at), share * (bit - self.maps[node, at]))
-            np.add.at(seen, (node, at), share)
-        self.maps += moved / seen
-
-
-def train_mixer(tables: np.ndarray, words: list[bytes]) -> Mixer:
-    """Online over groups of 50 words, each seen as if it had not been counted in the tables."""
-    mixer = Mixer()
-    for at in range(0, len(words), 50):
-        _, bit, slots = bit_slots(words[at : at + 50])
-        n = tables[slots]
-        own = np.stack([bit == 0, bit == 1], axis=1)
-        n = np.maximum(n - own[None], 0)
-        mixer.learn(stretched(n), level(n[3]).astype(np.int64) * 8 + level(n[4]), slots[0], bit, 0.1)
-    return mixer
+        p, _, place, f = self.predict(x, gate, node)
+        off = bit - p
+        n = np.bincount(gate, minlength=self.GATES)
+        g = np.stack([*(np.bincount(gate, row * off, self.GATES) for row in x), np.bincount(gate, off, self.GATES)], axis=1)
+        self.w += rate * g / np.maximum(n, 1)[:, None]
+        self.w_seen += n
+        size = self.maps.size
+        seen = np.bincount(place, 1 - f, size) + np.bincount(place + 1, f, size)
+        ones = np.bincount(place, (1 - f) * bit, size) + np.bincount(place + 1, f * bit, size)
+        seen, ones = seen.reshape(self.maps.shape), ones.reshape(self.maps.shape)
+        self.maps += (ones - seen * self.maps) / (self.maps_seen.clip(30, 30_000) + seen)
+        self.maps_seen += seen
+
+
+def merged(mixers: list[Mixer]) -> Mixer:
+    """The mean of what was learned apart, by how many bits each has seen at a gate or knot; as at the start where none has."""
+    out = Mixer()
+    for name in ("w", "maps"):
+        seen = [getattr(m, f"{name}_seen") for m in mixers]
+        total = sum(seen, np.zeros_like(getattr(out, f"{name}_seen")))
+        wide = (lambda a: a[:, None]) if name == "w" else (lambda a: a)
+        mean = sum((getattr(m, name) * wide(s) for m, s in zip(mixers, seen, strict=True)), np.zeros_like(getattr(out, name))) / wide(np.maximum(total, 1e-300))
+        setattr(out, name, np.where(wide(total) > 0, mean, getattr(out, name)))
+        setattr(out, f"{name}_seen", total)
+    return out
 
 
 class Speller:
-    """Tables as stretched predictions and levels, ready for words by the million."""
-
-    def __init__(self, tables: np.ndarray, mixer: Mixer):
-        self.x, self.level, self.mixer = stretched(tables).astype(np.float32), level(tables), mixer
-        self.mixer.w, self.mixer.maps = mixer.w.astype(np.float32), mixer.maps.astype(np.float32)
+    """Tables and weights, ready for texts."""
+
+    def __init__(self, tables: np.ndarray, mixer: Mixer, sizes: tuple[int, ...] = TABLE_BITS):
+        self.tables, self.mixer, self.sizes = tables if tables.ndim == 1 else packed(tables), mixer, sizes
+
+    def steps(self, spelt: list[bytes], without_own: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+        """Text, value, inputs, gate and node of the bits, some at a time; if asked, as if each bit had not been counted."""
+        all_ = Bytes(spelt)
+        for lo in range(0, len(all_.b), STEP):
+            bit, slots = all_.bits(lo, lo + STEP, self.sizes)
+            n = self.tables[slots]
+            n0, n1 = (n & np.uint32(0xFFFF)).astype(np.int32), (n >> np.uint32(16)).astype(np.int32)
+            if without_own:
+                n0, n1 = np.maximum(n0 - (1 - bit), 0), np.maximum(n1 - bit, 0)
+            guess, sure = all_.matched(lo, lo + STEP, slots[0])
+            gate = sure * 64 + _LEVEL[n0[4] + n1[4]].astype(np.int64) * 8 + _LEVEL[n0[6] + n1[6]]
+            yield all_.text[lo : lo + STEP], bit, np.concatenate([_LOG[n1] - _LOG[n0], guess[None]]), gate, slots[0]
+
+    def learn(self, spelt: list[bytes]) -> None:
+        for _, bit, x, gate, node in self.steps(spelt, without_own=True):
+            self.mixer.learn(x, gate, node, bit, 0.05)
 
     def log_probabilities(self, words: list[bytes]) -> np.ndarray:
-        """Natural log of each word's probability as a string of bits."""
-        out = np.empty(len(words))
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            word, bit, slots = bit_slots(part)
-            gate = self.level[slots[3]].astype(np.int32) * 8 + self.level[slots[4]]
-            p = self.mixer.predict(self.x[slots], gate, slots[0])[1]
-            out[at : at + 2000] = np.bincount(word, np.log(np.where(bit == 1, p, 1 - p)), len(part))
+        """Natural log of each text's probability as a string of bits."""
+        out = np.zeros(len(words))
+        for at, part in blocks([spelling(w) for w in words]):
+            for text, bit, x, gate, node in self.steps(part):
+                p = self.mixer.predict(x, gate, node)[1]
+                out[at : at + len(part)] += np.bincount(np.repeat(text, 8), np.log(np.where(bit == 1, p, 1 - p)), len(part))
         return out
 
 
-def earlier(h: np.ndarray) -> np.ndarray:
-    """How often each token came before in the same text."""
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    first = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.empty(0, bool)
-    run = np.arange(len(s))
-    k = np.empty(len(s), np.int64)
-    k[order] = run - np.maximum.accumulate(np.where(first, run, 0)) if len(s) else run
-    return k
-
-
-def fit_mix(docs: list[bytes], known: dict[int, tuple[int, float]], total: int, steps: int = 15) -> np.ndarray:
-    """(gates, 3) weights of frequency, frequency so far and spelling, by EM; each text is seen as if it had not been counted."""
-    parts, gates = [], []
-    for d in docs:
-        h = np.fromiter(map(_words.__getitem__, tokens(d)), np.uint64).astype(np.int64)
-        got = np.array([known.get(int(x), (0, -20.0)) for x in h])
-        t = np.arange(len(h))
-        parts.append(np.stack([np.maximum(got[:, 0] - 1, 0) / max(total, 1), earlier(h) / np.maximum(t, 1), np.exp(got[:, 1])], axis=1))
-        gates.append(np.searchsorted(GATES, t, side="right"))
-    mix = np.tile([0.6, 0.2, 0.2], (len(GATES) + 1, 1))
-    mix[0] = [0.8, 0.0, 0.2]
-    if docs:
-        x, g = np.concatenate(parts), np.concatenate(gates)
-        for _ in range(steps):
-            r = mix[g] * x + 1e-30
-            r /= r.sum(axis=1, keepdims=True)
-            for k in range(len(mix)):
-                mix[k] = (r[g == k].sum(axis=0) + [1, 1 if k else 0, 1]) / ((g == k).sum() + 2 + bool(k))
-    return mix
-
-
-def _hashed(words: DataFrame, tables: np.ndarray, mixer: Mixer) -> DataFrame:
-    sent = words.sparkSession.sparkContext.broadcast(Speller(tables, mixer))
+def _mixer(train: DataFrame, sent, sizes: tuple[int, ...]) -> Mixer:
+    """Learned online over all training texts, by partition, then merged."""
+    names = ("w", "maps", "w_seen", "maps_seen")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = sent.value
+        speller = Speller(sent.value, Mixer(), sizes)
+        for part in _spelt(batches):
+            speller.learn(part)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), *(pa.array([getattr(speller.mixer, x).tobytes()], pa.binary()) for x in names)], names=["task", *names])
+
+    rows = train.mapInArrow(run, "task long, w binary, maps binary, w_seen binary, maps_seen binary").toArrow().to_pylist()
+    mixers = []
+    for row in sorted(rows, key=lambda r: r["task"]):
+        m = Mixer()
+        for x in names:
+            setattr(m, x, np.frombuffer(row[x]).reshape(getattr(m, x).shape))
+        mixers.append(m)
+    return merged(mixers)
+
+
+def _hashed(words: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column("word").to_pylist()
-            h = np.fromiter(map(_words.__getitem__, own), np.uint64, len(own)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("c"), pa.array(speller.log_probabilities(own))], names=["h", "c", "lp"])
+            h = np.fromiter(map(_words.__getitem__, batch.column("word").to_pylist()), np.uint64, batch.num_rows).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("c")], names=["h", "c"])
 
-    return words.mapInArrow(run, "h long, c long, lp double")
+    return words.mapInArrow(run, "h long, c long")
 
 
 def score(docs: DataFrame, folds: int = 7, out: int = 2) -> DataFrame:
@@ -242,19 +345,13 @@ def score(docs: DataFrame, folds: int = 7, out: int = 2) -> DataFrame:
     training and each get their score. Without training texts the base has N = V = 0.
     """
     spark = docs.sparkSession
-    words = saved(_count(docs, folds, out), "word-counts")
-    stats = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    docs = _spread(docs.select("doc_id", "text"))
+    known = saved(_hashed(_count(docs, folds, out)), "words")
+    stats = known.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     total, distinct = int(stats["n"]), int(stats["v"])
-    tables = _tables(words)
-    some = words.where("c > 0").orderBy(F.xxhash64("word"), "word").limit(SAMPLE_WORDS).select("word").toArrow().column("word").to_pylist()
-    known = saved(_hashed(words, tables, train_mixer(tables, some)), "words")
-
-    chosen = docs.where((remainder("doc_id", folds) != out) & (F.octet_length("text") <= SAMPLE_BYTES)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS)
-    sample = sorted(texts(chosen.select(F.col("text").cast("string")).toArrow().combine_chunks()))
-    need = sorted({int(np.int64(np.uint64(_words[w]))) for d in sample for w in tokens(d)})
-    asked = spark.createDataFrame(pa.table({"h": pa.array(need, pa.int64())}))
-    got = known.join(F.broadcast(asked), "h").toArrow().to_pydict()  # at most the sample's words
-    mix = fit_mix(sample, dict(zip(got["h"], zip(got["c"], got["lp"], strict=True), strict=True)), total)
+    train, sizes = _training(docs, folds, out), table_bits(distinct)
+    tables = spark.sparkContext.broadcast(_tables(train, sizes))
+    mixer = _mixer(train, tables, sizes)
 
     steps = known.groupBy(F.least("c", F.lit(10_000)).alias("c")).count().collect()  # at most 10,001 rows
     at, held = 10_000, 0
@@ -266,47 +363,39 @@ def score(docs: DataFrame, folds: int = 7, out: int = 2) -> DataFrame:
     top = known.where(F.col("c") >= at).orderBy(F.desc("c"), "h").limit(FREQUENT) if held > FREQUENT and at == 10_000 else known.where(F.col("c") >= at)
     top = top.toArrow()
     order = np.argsort(top.column("h").to_numpy(), kind="stable")
-    sent = spark.sparkContext.broadcast(tuple(top.column(c).to_numpy()[order] for c in ("h", "c", "lp")))
+    sent = spark.sparkContext.broadcast(tuple(top.column(c).to_numpy()[order] for c in ("h", "c")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fh, fc, fl = sent.value
+        fh, fc = sent.value
+        speller = Speller(tables.value, mixer, sizes)
         task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
-                rows = []
+            for at in range(0, batch.num_rows, 200):
+                b = batch.slice(at, 200)
+                rows, spelt = [], []
                 for doc_id, text in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
-                    h = np.fromiter(map(_words.__getitem__, tokens(text)), np.uint64).astype(np.int64)
-                    k, t = earlier(h), np.arange(len(h))
+                    words = tokens(text)
+                    spelt.append(running(words))
+                    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)).astype(np.int64)
                     i = np.minimum(np.searchsorted(fh, h), max(len(fh) - 1, 0))
                     hit = fh[i] == h if len(fh) else np.zeros(len(h), bool)
-                    c, m = fc[i[hit]], mix[np.searchsorted(GATES, t[hit], side="right")]
-                    p = m[:, 0] * c / total + m[:, 1] * k[hit] / np.maximum(t[hit], 1) + m[:, 2] * np.exp(fl[i[hit]]) if hit.any() else np.empty(0)
+                    c = fc[i[hit]]
                     base = np.log10((c + 1) / (total + distinct + 1)).sum()
-                    rows.append((task << 32 | row, doc_id, len(h), int((c > 0).sum()), float(base), float(np.log10(p).sum()), len(text), h[~hit], k[~hit].astype(np.int32), t[~hit].astype(np.int32)))
+                    rows.append((task << 32 | row, doc_id, len(h), int((c > 0).sum()), float(base), len(text), h[~hit]))
                     row += 1
                 if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds, strict=True)], names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "bytes", "h", "k", "t"])
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64()))
+                    cols = [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(speller.log_probabilities(spelt) / np.log(10))], names=["row", "doc_id", "n_tokens", "n_known", "base", "bytes", "h", "score"])
 
-    kept = "row long, doc_id long, n_tokens long, n_known long, base double, score double, bytes long, h array<long>, k array<int>, t array<int>"
+    kept = "row long, doc_id long, n_tokens long, n_known long, base double, bytes long, h array<long>, score double"
     main = saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kept), "frequent-scores")
-    rare = main.select("row", F.explode(F.arrays_zip("h", "k", "t")).alias("x")).select("row", "x.h", "x.k", "x.t")
-
-    def weight(j: int):
-        w = F.lit(float(mix[-1][j]))
-        for g in range(len(GATES) - 1, -1, -1):
-            w = F.when(F.col("t") < GATES[g], float(mix[g][j])).otherwise(w)
-        return w
-
-    p = weight(0) * F.col("c") / max(total, 1) + weight(1) * F.col("k") / F.greatest("t", F.lit(1)) + weight(2) * F.exp("lp")
-    terms = rare.join(known, "h").select("row", (F.col("c") > 0).cast("long").alias("known"), F.log10((F.col("c") + 1) / F.lit(float(total + distinct + 1))).alias("b"), F.log10(p).alias("s"))
-    sums = terms.groupBy(F.col("row").alias("r")).agg(F.sum("known").alias("r_known"), F.sum("b").alias("r_base"), F.sum("s").alias("r_score"))
-    whole = main.drop("h", "k", "t").join(sums, F.col("row") == F.col("r"), "left")
-    final = F.col("score") + F.coalesce("r_score", F.lit(0.0))
+    terms = main.select("row", F.explode("h").alias("h")).join(known, "h").select("row", (F.col("c") > 0).cast("long").alias("known"), F.log10((F.col("c") + 1) / F.lit(float(total + distinct + 1))).alias("b"))
+    sums = terms.groupBy(F.col("row").alias("r")).agg(F.sum("known").alias("r_known"), F.sum("b").alias("r_base"))
+    whole = main.drop("h").join(sums, F.col("row") == F.col("r"), "left")
     return whole.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("r_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("r_base", F.lit(0.0))).alias("base_score"), final.alias("score"), (final / F.lit(-float(np.log10(2))) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),
+        (F.col("base") + F.coalesce("r_base", F.lit(0.0))).alias("base_score"), "score", (F.col("score") / F.lit(-float(np.log10(2))) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),
     )
 
 

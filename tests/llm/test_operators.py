@@ -226,3 +226,14 @@ def test_spelling_is_a_distribution():
         np.add.at(tables, (slots[k], bit), 1)
     p = np.exp(context_mixing.Speller(tables, mixer).log_probabilities([bytes([k]) for k in range(256) if k not in (9, 10, 11, 12, 13, 32)] + [b"\n"]))
     assert 0 < p.sum() < 1
+
+
+def test_all_training_bytes_reach_the_weights(spark):
+    rows = [(k, f"word{k} and " * (4000 if k == 3 else 5)) for k in range(12)] + [(None, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train, sizes = context_mixing._training(df, 7, 2), context_mixing.table_bits(14)
+    tables = context_mixing._tables(train, sizes)
+    mixer = context_mixing._mixer(train, spark.sparkContext.broadcast(tables), sizes)
+    own = [context_mixing.running(context_mixing.tokens(t.encode())) for k, t in rows if k is not None and zlib.crc32(str(k).encode()) % 7 != 2]
+    assert max(map(len, own)) > 16_384 and mixer.w_seen.sum() == 8 * sum(map(len, own)) == round(mixer.maps_seen.sum())
+    assert max(context_mixing.table_bits(3_600_000)) > max(context_mixing.table_bits(400_000)) > max(context_mixing.table_bits(1000))

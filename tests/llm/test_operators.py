@@ -237,3 +237,12 @@ def test_all_training_bytes_reach_the_weights(spark):
     own = [context_mixing.running(context_mixing.tokens(t.encode())) for k, t in rows if k is not None and zlib.crc32(str(k).encode()) % 7 != 2]
     assert max(map(len, own)) > 16_384 and mixer.w_seen.sum() == 8 * sum(map(len, own)) == round(mixer.maps_seen.sum())
     assert max(context_mixing.table_bits(3_600_000)) > max(context_mixing.table_bits(400_000)) > max(context_mixing.table_bits(1000))
+
+
+def test_order_of_words_changes_the_score(spark):
+    words = "one red fox ran over some low hill".split()
+    said, turned = " ".join(words), " ".join(words[::-1])
+    assert zlib.crc32(b"3") % 7 != 2
+    df = spark.createDataFrame([(3, said)] * 20 + [(None, said), (None, turned)], "doc_id long, text string")
+    got = [r["score"] for r in context_mixing.score(df).collect() if r["doc_id"] is None]
+    assert len(got) == 2 and max(got) - min(got) > 5

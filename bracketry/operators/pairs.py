@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LO, HI = 8.0, 247.0
-#: Rows that may be broadcast as the other side of a dense comparison; beyond, candidates come from hashed bands.
-DENSE_MAX = 8000
+#: Rows of a block, of which each meets each, and the least number of blocks.
+BLOCK, LEAST_BLOCKS = 8000, 8
 BANDS, WIDTH = 64, 10
 
 
@@ -28,28 +28,36 @@ def masked_scores(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def masked_pairs(frames: DataFrame, least: float, overlap: int) -> DataFrame:
-    """a < b, z, n of frames (frame_id, tile) that correlate. Up to DENSE_MAX frames each block meets all; beyond, bands."""
-    if frames.limit(DENSE_MAX + 1).count() <= DENSE_MAX:
-        return _dense(frames, least, overlap)
-    return _scored(frames, band_pairs(frames), least, overlap)
+    """a < b, z, n of frames (frame_id, tile) that correlate: all pairs are compared at every size, block against block."""
+    blocks = max(LEAST_BLOCKS, -(-frames.count() // BLOCK))
 
-
-def _dense(frames: DataFrame, least: float, overlap: int) -> DataFrame:
-    all_ = frames.select("frame_id", "tile").orderBy("frame_id").toArrow()
-    ids, tiles = all_.column("frame_id").to_numpy(), np.array(all_.column("tile").to_pylist(), float)
-    sent = frames.sparkSession.sparkContext.broadcast((ids, tiles))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tiles = sent.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                own = part.column("frame_id").to_numpy()
-                z, n = masked_scores(np.array(part.column("tile").to_pylist(), float), tiles)
-                i, j = np.nonzero((z >= least) & (n >= overlap) & (own[:, None] < ids[None]))
-                yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(ids[j]), pa.array(z[i, j]), pa.array(n[i, j])], names=["a", "b", "z", "n"])
-
-    return frames.select("frame_id", "tile").repartition(32).mapInArrow(run, "a long, b long, z double, n long")
+    def run(both: pa.Table) -> pa.Table:
+        side = both.column("side").to_numpy()
+        (own, x), (ids, y) = ((t.column("frame_id").to_numpy(), _matrix(t.column("tile"))) for t in (both.take(np.flatnonzero(side == k)) for k in (0, 1)))
+        same = both.column("i")[0] == both.column("j")[0]
+        parts = [[] for _ in "abzn"]
+        for at in range(0, len(own) if len(ids) else 0, 200):
+            z, n = masked_scores(x[at : at + 200], y)
+            keep = (z >= least) & (n >= overlap)
+            if same:
+                keep &= own[at : at + 200, None] < ids[None]
+            i, j = np.nonzero(keep)
+            p, q = own[at + i], ids[j]
+            for part, got in zip(parts, (np.minimum(p, q), np.maximum(p, q), z[i, j], n[i, j]), strict=True):
+                part.append(got)
+        kinds = (np.int64, np.int64, np.float64, np.int64)
+        return pa.table({k: np.concatenate([np.empty(0, t), *part]) for k, t, part in zip("abzn", kinds, parts, strict=True)})
+
+    each = frames.select("frame_id", F.transform("tile", lambda v: v.cast("double")).alias("tile"), F.pmod(F.xxhash64("frame_id"), F.lit(blocks)).cast("int").alias("own"))
+    each = each.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = each.where("o >= own").select(F.col("own").alias("i"), F.col("o").alias("j"), F.lit(0).alias("side"), "frame_id", "tile")
+    right = each.where("o <= own").select(F.col("o").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "frame_id", "tile")
+    dealt = left.unionByName(right).repartition(min(2000, blocks * (blocks + 1) // 2), "i", "j")
+    return dealt.groupBy("i", "j").applyInArrow(run, "a long, b long, z double, n long")
+
+
+def _matrix(tiles: pa.ChunkedArray) -> np.ndarray:
+    return tiles.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(tiles), -1) if len(tiles) else np.empty((0, 0))
 
 
 def plane_sign(plane, dim):
@@ -71,7 +79,7 @@ def band_keys(frames: DataFrame, bands: int = BANDS, width: int = WIDTH) -> Data
 
 
 def band_pairs(frames: DataFrame) -> DataFrame:
-    """a < b that share a band."""
+    """a < b that share a band: candidates, of which some are missed; masked_pairs does not use them."""
     k = band_keys(frames)
     return k.select(F.col("frame_id").alias("a"), "band", "key").join(k.select(F.col("frame_id").alias("b"), "band", "key"), ["band", "key"]).where("a < b").select("a", "b").distinct()
 

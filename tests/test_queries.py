@@ -70,6 +70,20 @@ def test_bands_find_what_the_dense_plan_finds(spark):
     assert dense and len(banded & dense) / len(dense) > 0.99 and banded <= dense
 
 
+def test_many_frames_lose_no_pair(spark):
+    rng = np.random.default_rng(2)
+    one = rng.normal(size=(4100, 64))
+    x = np.floor(np.clip(128 + 60 * np.concatenate([one, 0.72 * one + 0.69 * rng.normal(size=one.shape)]), 0, 255))
+    want = set()
+    for at in range(0, len(x), 400):
+        z, n = masked_scores(x[at : at + 400], x)
+        i, j = np.nonzero((z >= 0.6) & (n >= 16))
+        want |= {(int(a + at), int(b)) for a, b in zip(i, j, strict=True) if a + at < b}
+    f = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "frame_id long, tile array<double>")
+    got = [(r["a"], r["b"]) for r in masked_pairs(f, 0.6, 16).select("a", "b").collect()]
+    assert len(x) > 8000 and len(want) > 3000 and len(got) == len(set(got)) and set(got) == want
+
+
 def test_grouping_recovers_scenes(spark):
     row = ev.exact_set_score(q.truth(spark, DATA), q.QUERIES["bracket_grouping"](spark, DATA)).first()
     assert row["total"] == 500 and row["score"] > 0.9

@@ -137,3 +137,50 @@ def top_neighbours(vectors: DataFrame, k: int) -> DataFrame:
     best = left.unionByName(right).groupBy("i", "j").applyInArrow(run, "vec_id long, other long, sim double")
     w = Window.partitionBy("vec_id").orderBy(F.desc(F.round("sim", 9)), "other")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def forest_levels(vectors: DataFrame, level, block: int = 2000) -> DataFrame:
+    """a, b, level of a maximum spanning forest of all vectors by level(dot product), an array of whole numbers; pairs
+    under 0 are no edges. Vectors are linked at a level by the same components as by all pairs of that level or more.
+
+    Each pair of blocks gives its own forest, as an edge that closes a cycle there is not needed in the whole; forests are
+    merged in some tasks and then in one, which holds an edge for each vector."""
+    blocks = max(2, -(-vectors.count() // block))
+
+    def grown(both: pa.Table) -> pa.Table:
+        ids, v = both.column("vec_id").to_numpy(), _matrix(both.column("v"))
+        near, via, out = np.full(len(ids), -1), np.zeros(len(ids), np.int64), []
+        left, at = np.ones(len(ids), bool), 0
+        for _ in range(len(ids)):
+            left[at] = False
+            got = level(v @ v[at])
+            closer = left & (got > near)
+            near[closer], via[closer] = got[closer], at
+            at = int(np.argmax(np.where(left, near, -2)))
+            if near[at] >= 0 and left[at]:
+                out.append((ids[via[at]], ids[at], near[at]))
+        a, b, k = np.array(out, np.int64).reshape(-1, 3).T
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "level": k})
+
+    def merged(edges: pa.Table) -> pa.Table:
+        edges = edges.sort_by([("level", "descending"), ("a", "ascending"), ("b", "ascending")])
+        root, keep = {}, []
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        for a, b in zip(edges.column("a").to_pylist(), edges.column("b").to_pylist(), strict=True):
+            p, q = find(a), find(b)
+            keep.append(p != q)
+            root[p] = q
+        return edges.filter(pa.array(keep, pa.bool_())).select(["a", "b", "level"])
+
+    kind = "a long, b long, level long"
+    v = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("own"))
+    each = v.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where("o <> own")
+    each = each.select(F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "vec_id", "v").repartition(min(2000, blocks * (blocks - 1) // 2), "i", "j")
+    forests = each.groupBy("i", "j").applyInArrow(grown, kind)
+    some = forests.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(16))).groupBy("part").applyInArrow(merged, kind)
+    return some.withColumn("part", F.col("level") * 0).groupBy("part").applyInArrow(merged, kind)

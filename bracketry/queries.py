@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bracketry.functions.frames import capture_number, capture_prefix, exposure_class, last_number
 from bracketry.operators import evaluation as ev
 from bracketry.operators.graph import complement_components, connected_components
-from bracketry.operators.pairs import band_keys, masked_pairs, scene_scores, top_neighbours
+from bracketry.operators.pairs import band_keys, forest_levels, masked_pairs, scene_scores, top_neighbours
 from bracketry.operators.windows import best_and_margin, gap_runs, ladder_step, plateau_threshold
 from bracketry.plans.grouping import group_frames
 from bracketry.sources.frames import bracket_frames, pixels, predictions
@@ -107,7 +108,8 @@ def different_split(spark, d):
 
 
 def count_curve(spark, d):
-    """Vectors less those whose best neighbour is at least t, for each t of the grid: an upper bound of the groups."""
+    """Vectors less those whose best neighbour is at least t, for each t of the grid: those without any
+    neighbour, a lower bound of the groups of component_curve."""
     best = top_neighbours(_table(spark, d, "embeddings"), 1).select(F.round("sim", 9).alias("sim"))
     grid = spark.range(0, 70).select((F.lit(0.2) + F.col("id") * 0.01).alias("t"))
     per = best.groupBy(F.least(F.lit(69), F.greatest(F.lit(-1), F.floor((F.col("sim") - 0.2) * 100))).alias("k")).agg(F.count(F.lit(1)).alias("n"))
@@ -116,8 +118,17 @@ def count_curve(spark, d):
     return rows.select("id", (F.lit(total) - F.col("linked")).alias("c"))
 
 
+def component_curve(spark, d):
+    """Number of connected components of the vectors whose dot product is at least t, for each t of the grid 0.2 to 0.89."""
+    vectors = _table(spark, d, "embeddings").select("vec_id", "embedding")
+    edges = forest_levels(vectors, lambda sim: np.clip(np.floor((np.round(sim, 9) - 0.2) * 100), -1, 69).astype(np.int64))
+    per = edges.groupBy(F.col("level").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    rows = spark.range(0, 70).join(per, F.col("k") >= F.col("id"), "left").groupBy("id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("joined"))
+    return rows.select("id", (F.lit(vectors.count()) - F.col("joined")).alias("c"))
+
+
 def plateau(spark, d):
-    return plateau_threshold(count_curve(spark, d).select(F.col("id").alias("t"), F.col("c").cast("double").alias("c")))
+    return plateau_threshold(component_curve(spark, d).select(F.col("id").alias("t"), F.col("c").cast("double").alias("c")))
 
 
 def event_runs(spark, d):
@@ -176,6 +187,7 @@ QUERIES = {
     "connected_components": components,
     "confident_different_split": different_split,
     "count_curve": count_curve,
+    "component_curve": component_curve,
     "plateau_threshold": plateau,
     "events_capture_gaps": event_runs,
     "run_majority_vote": run_majority,

@@ -87,3 +87,26 @@ def test_many_frames_lose_no_pair(spark):
 def test_grouping_recovers_scenes(spark):
     row = ev.exact_set_score(q.truth(spark, DATA), q.QUERIES["bracket_grouping"](spark, DATA)).first()
     assert row["total"] == 500 and row["score"] > 0.9
+
+
+def test_curve_counts_components(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding").collect()
+    v = np.array([r["embedding"] for r in rows], float)
+    k = np.floor((np.round(v @ v.T, 9) - 0.2) * 100)
+
+    def groups(t):
+        label = np.arange(len(v))
+        while True:
+            new = np.where(k >= t, label[None], len(v)).min(axis=1)
+            new = np.minimum(label, new)
+            if (new == label).all():
+                return len(set(label))
+            label = new
+
+    want = {t: groups(t) for t in range(70)}
+    got = {r["id"]: r["c"] for r in q.QUERIES["component_curve"](spark, DATA).collect()}
+    below = {r["id"]: r["c"] for r in q.QUERIES["count_curve"](spark, DATA).collect()}
+    assert got == want and all(below[t] <= got[t] for t in got) and sum(below.values()) < sum(got.values())
+    slope = {t: (want[t + 3] - want[t - 3]) / 6 for t in range(3, 67) if 2 * want[t] <= max(want.values())}
+    fits = [t for t, s in slope.items() if s <= 1.3 * min(slope.values()) + 0.5]
+    assert q.QUERIES["plateau_threshold"](spark, DATA).first()["threshold"] == min(fits, default=69)

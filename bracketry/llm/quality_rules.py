@@ -49,13 +49,13 @@ def repeat_words(words: list[bytes], ids: _Words) -> int:
     return int(hit.sum())
 
 
-def counts(text: bytes, ids: _Words) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one whole text."""
+def counts(text: bytes, ids: _Words) -> tuple[int, int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (with a word) of one whole text."""
     words = text.split()
     points = len(text) - len(text.translate(None, bytes(range(0x80, 0xC0)))) if not text.isascii() else 0
     chars = len(text.translate(None, _BLANKS)) - points
     lines = [x for x in text.split(b"\n") if x.strip()]
-    return len(words), chars, len(text) - len(text.translate(None, _SYMBOLS)), len(lines) - len(set(lines)), repeat_words(words, ids)
+    return len(words), chars, len(text) - len(text.translate(None, _SYMBOLS)), len(lines) - len(set(lines)), repeat_words(words, ids), len(lines)
 
 
 def measure(docs: DataFrame, host: str) -> DataFrame:
@@ -69,11 +69,11 @@ def measure(docs: DataFrame, host: str) -> DataFrame:
                 if len(ids) > 1_000_000 or len(text) > 2**21 and len(ids) + len(text) > 2**22:
                     ids = _Words()
                 rows.append(counts(text, ids) if len(text) < 2**22 else counts(text, _Words()))
-            got = np.array(rows, np.int64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *(pa.array(c) for c in got.T)], names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+            got = np.array(rows, np.int64).reshape(-1, 6)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *(pa.array(c) for c in got.T)], names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+        run, "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
     )
 
 
@@ -81,7 +81,7 @@ def with_rules(measured: DataFrame) -> DataFrame:
     per_word = F.try_divide("word_chars", "n_words")
     failed = [
         F.col("n_symbols") > MAX_SYMBOLS * F.col("n_words"),
-        F.col("n_dup_lines") >= F.greatest(F.lit(2), MAX_DUP_LINES * (F.col("n_dup_lines") + 1)),
+        F.col("n_dup_lines") >= F.greatest(F.lit(2), MAX_DUP_LINES * F.col("n_lines")),
         F.coalesce((per_word < WORD_CHARS[0]) | (per_word > WORD_CHARS[1]), F.lit(False)),
     ]
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))

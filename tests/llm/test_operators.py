@@ -246,3 +246,11 @@ def test_order_of_words_changes_the_score(spark):
     df = spark.createDataFrame([(3, said)] * 20 + [(None, said), (None, turned)], "doc_id long, text string")
     got = [r["score"] for r in context_mixing.score(df).collect() if r["doc_id"] is None]
     assert len(got) == 2 and max(got) - min(got) > 5
+
+
+def test_few_repeated_lines_of_many_pass(spark):
+    lines = [f"line {k} has words of its own" for k in range(400)]
+    rows = [(1, "\n".join([*lines, *lines[:3]])), (2, "\n".join(lines[:3] * 4)), (3, "\n".join(lines[:3]))]
+    df = spark.createDataFrame([(k, "h", t) for k, t in rows], "doc_id long, source string, text string")
+    got = {r["doc_id"]: (r["n_dup_lines"], r["n_failed"]) for r in quality_rules.with_rules(quality_rules.measure(df, "source")).collect()}
+    assert got == {1: (3, 0), 2: (9, 1), 3: (0, 0)}

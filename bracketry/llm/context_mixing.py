@@ -1,18 +1,23 @@
 """Language model scoring by logistic context mixing.
 
-A text is scored as running text: its tokens, each with a space after it, and an end, byte by byte and bit by bit. Bit
-predictors count, in hashed tables over all training texts, what followed the 0, 1, 2, 3, 4 and 6 bytes before (across
-tokens) and the token before with the bytes of this one. A match predictor follows the last place in the same text with
-the same six bytes before. Their stretched predictions are added up with weights chosen by a gate (the match's length, how
-much two of the contexts have seen), then adaptive maps, by the bits before, refine the probability. Weights and maps are
-learned online over all training texts, by partition, and averaged by what each partition has seen. The tables' sizes
-follow the number of distinct training tokens.
+A text is scored as running text. Its tokens and an end are symbols of a Huffman code made from the training counts, so a
+frequent token costs few binary decisions; a rare token is an escape and then its spelling. Each decision of the running
+text is predicted by hashed contexts that reach across tokens (the last very frequent token, the token before, the two
+tokens before), by the count of the decision itself, and by a match: what followed the last place in the same text with
+the same two tokens before. Each bit of a spelling is predicted by hashed contexts of 1 to 4 bytes before and of the whole
+word so far. The stretched predictions are added up with weights chosen by a gate (the match's length, how much two of the
+contexts have seen), and adaptive maps refine the result.
+
+Statistics cover all training texts. A task goes through its texts online: it predicts a block with what it has counted so
+far, corrects weights and maps, then counts the block. The tasks' counts are added up, and their weights averaged by what
+each has seen. Spellings are learned from all rare training tokens, by their number, and scored once a distinct word.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +28,23 @@ from pyspark.sql import functions as F
 from bracketry.llm.common import ASCII_LOWER, remainder, saved, table, texts
 from bracketry.llm.jaccard_join import Words
 
-#: log2 of the slots of the tables: 0, 1, 2, 3, 4 and 6 bytes before, and the token before; see table_bits().
-TABLE_BITS = (8, 16, 20, 21, 21, 21, 21)
-OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
-#: Most frequent tokens that are broadcast with their counts; all others are joined.
-FREQUENT = 200_000
 END = b"\n"
-#: Bytes whose bits are handled at once, and bytes (of whole texts) whose contexts are.
-STEP, BLOCK = 4096, 1 << 19
-#: Slots that are added up together.
-CHUNK = 1 << 15
+ESCAPE, STOP, FIRST = 0, 1, 2
+#: A token is a symbol of its own if it is at least one in 2**RARE_BITS of all training tokens (and met twice), so there are
+#: at most 2**RARE_BITS of them at any size.
+RARE_BITS = 20
+#: The most frequent tokens, the last of which is a context.
+MARKERS = 32
+#: Least and most log2 of the slots of a hashed table. Between them there are two slots or more a distinct token.
+LEAST_BITS, MOST_BITS = 16, 22
+#: log2 of the slots of the spelling's tables: 1, 2, 3 and 4 bytes before, and the word so far.
+SPELL_BITS = (16, 20, 20, 20, 20)
+#: Tokens (in whole texts) whose contexts are made at once, and decisions after which weights are corrected.
+BLOCK, STEP = 1 << 16, 1 << 13
+CHUNK = 1 << 16
 _words = Words()
-_LOG = np.log(np.arange(1 << 16) + 0.3).astype(np.float32)
-_LEVEL = np.minimum(np.log2(np.arange(1 << 17) + 1), 7).astype(np.uint8)
+_C1, _C2, _C3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0x2C1B3C6D)
+_LEVEL = np.minimum(np.log2(np.arange(128) + 1), 7).astype(np.int64)
 _SHIFT = np.arange(7, -1, -1, dtype=np.uint32)
 _ONES = np.uint32(1) << np.arange(8, dtype=np.uint32)
 
@@ -44,358 +53,544 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.translate(ASCII_LOWER).split(), END]
 
 
-def spelling(word: bytes) -> bytes:
-    return word if word.endswith(END) else word + b" "
+def table_bits(distinct: int) -> int:
+    """log2 of a table's slots for so many distinct training tokens."""
+    return min(max(LEAST_BITS, (2 * distinct - 1).bit_length() if distinct else 0), MOST_BITS)
 
 
-def running(words: list[bytes]) -> bytes:
-    """The text that is scored: tokens() as one string."""
-    return b"".join(map(spelling, words))
+def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return np.log(n1 + np.float32(0.3)) - np.log(n0 + np.float32(0.3))
 
 
-def table_bits(distinct: int) -> tuple[int, ...]:
-    """log2 of the tables' slots for so many distinct training tokens: two for each, where contexts are not few anyway."""
-    b = max(16, (2 * distinct - 1).bit_length() if distinct else 0)
-    return (8, 16, min(b, 20), b, b, b, b)
+def level(n: np.ndarray) -> np.ndarray:
+    """0 to 7: how much has been seen."""
+    return _LEVEL[np.minimum(n, 127).astype(np.int64)]
 
 
-def _count(docs: DataFrame, folds: int, out: int) -> DataFrame:
-    """word, c (its number in training texts, 0 if only others have it)."""
+def coded(n: np.ndarray) -> np.ndarray:
+    """Rows (n0, n1) as a stretched prediction in 13 bits and a level in 3."""
+    n = np.asarray(n, np.float64)
+    x = np.log(n[:, 1] + 0.3) - np.log(n[:, 0] + 0.3)
+    return (np.round((np.clip(x, -15.9, 15.9) + 16) * 256).astype(np.uint16) << 3 | level(n.sum(axis=1)).astype(np.uint16)).astype(np.uint16)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
-            seen.clear()
-            return out
+#: Of each number from coded(): the prediction.
+_DECODED = ((np.arange(1 << 16) >> 3) / 256 - 16).astype(np.float32)
 
-        for batch in batches:
-            for text, train in zip(texts(batch), batch.column("train").to_pylist(), strict=True):
-                if train:
-                    seen.update(tokens(text))
+
+class Code:
+    """A Huffman code: of each symbol the decisions (node and bit) that lead to it. Nodes are numbered from the root on,
+    the heavier first."""
+
+    def __init__(self, counts: np.ndarray):
+        m = len(counts)
+        order = np.argsort(counts, kind="stable")
+        weight = [int(counts[k]) for k in order]
+        leaf, inner, up, side = 0, m, [0] * (2 * m - 1), [0] * (2 * m - 1)
+        for k in range(m, 2 * m - 1):
+            got = []
+            for b in (0, 1):
+                if leaf < m and (inner >= k or weight[leaf] <= weight[inner]):
+                    at, leaf = leaf, leaf + 1
                 else:
-                    for w in tokens(text):
-                        seen.setdefault(w, 0)
-                if len(seen) > 400_000:
-                    yield flush()
-        yield flush()
+                    at, inner = inner, inner + 1
+                up[at], side[at] = k, b
+                got.append(weight[at])
+            weight.append(sum(got))
+        up, side, root = np.array(up), np.array(side, np.uint8), 2 * m - 2
+        place = np.empty(m, np.int64)
+        place[order] = np.arange(m)
+        size, at = np.zeros(m, np.int64), place
+        while (live := at != root).any():
+            size += live
+            at = np.where(live, up[at], at)
+        self.start, self.size = np.cumsum(size) - size, size
+        self.node, self.bit = np.empty(int(size.sum()), np.int32), np.empty(int(size.sum()), np.uint8)
+        at, to, left = place, self.start + size - 1, np.ones(m, bool)
+        while (left := (at != root)).any():
+            self.node[to[left]], self.bit[to[left]] = root - up[at[left]], side[at[left]]
+            at, to = np.where(left, up[at], at), to - 1
+        n = np.zeros((m - 1, 2))
+        np.add.at(n, (self.node, self.bit), np.repeat(np.asarray(counts, float), size))
+        self.own = stretched(n[:, 0].astype(np.float32), n[:, 1].astype(np.float32))
 
-    train = F.coalesce(remainder("doc_id", folds) != out, F.lit(False)).alias("train")
-    parts = docs.select(F.col("text").cast("string"), train).mapInArrow(run, "word binary, c long")
-    return parts.groupBy("word").agg(F.sum("c").alias("c"))
 
+class Mixer:
+    """Weights by gate and adaptive maps by context."""
+
+    KNOTS, GATES, MAPS = 24, 256, 256
+
+    def __init__(self, inputs: int):
+        self.w = np.full((inputs + 1, self.GATES), 0.35, np.float32)
+        self.w[-1] = 0
+        self.square = np.full((inputs + 1, self.GATES), 1e-6)
+        self.maps = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, self.KNOTS))), (self.MAPS, 1)).astype(np.float32)
+        self.w_seen, self.maps_seen = np.zeros(self.GATES), np.zeros(self.maps.shape)
+
+    def predict(self, x: list[np.ndarray], gate: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, ...]:
+        z = self.w[-1].take(gate)
+        for w, row in zip(self.w, x):
+            z += w.take(gate) * row
+        np.clip(z, -8, 8, out=z)
+        p = 1 / (1 + np.exp(-z))
+        at = (z + np.float32(8)) * np.float32((self.KNOTS - 1) / 16)
+        lo = np.minimum(at.astype(np.int64), self.KNOTS - 2)
+        f = at - lo.astype(np.float32)
+        place = context * self.KNOTS + lo
+        a, b = self.maps.ravel().take(place), self.maps.ravel().take(place + 1)
+        return p, np.clip((p + a + (b - a) * f) / 2, 1e-6, 1 - 1e-6), place, f
+
+    def learn(self, x: list[np.ndarray], gate: np.ndarray, context: np.ndarray, bit: np.ndarray, weight: np.ndarray | None = None) -> None:
+        p, _, place, f = self.predict(x, gate, context)
+        off, one = bit - p, np.ones(len(bit), np.float32) if weight is None else weight
+        off = off * one
+        n = np.bincount(gate, one, self.GATES)
+        g = np.stack([*(np.bincount(gate, row * off, self.GATES) for row in x), np.bincount(gate, off, self.GATES)]) / np.maximum(n, 1)
+        self.square += g * g
+        self.w += (0.1 * g / np.sqrt(self.square)).astype(np.float32)
+        self.w_seen += n
+        size = self.maps.size
+        lo, hi = (1 - f) * one, f * one
+        seen = (np.bincount(place, lo, size) + np.bincount(place + 1, hi, size)).reshape(self.maps.shape)
+        ones = (np.bincount(place, lo * bit, size) + np.bincount(place + 1, hi * bit, size)).reshape(self.maps.shape)
+        self.maps += ((ones - seen * self.maps) / (self.maps_seen.clip(30, 30_000) + seen)).astype(np.float32)
+        self.maps_seen += seen
 
-class Bytes:
-    """The bytes of some texts with their contexts, none of which reaches into the text before."""
-
-    def __init__(self, spelt: list[bytes], match: bool = True):
-        n = np.array([len(s) for s in spelt])
-        b = self.b = np.frombuffer(b"".join(spelt), np.uint8).astype(np.uint32)
-        at = np.arange(len(b))
-        self.text = np.repeat(np.arange(len(spelt)), n)
-        begin = np.repeat(np.cumsum(n) - n, n)
-        b1, b2, b3, b4, b5, b6 = (np.where(at - begin >= k, np.roll(b, k), 0).astype(np.uint32) for k in range(1, 7))
-        two = b1 | b2 << np.uint32(8)
-        four = two | b3 << np.uint32(16) | b4 << np.uint32(24)
-        six = four.astype(np.uint64) | (b5 | b6 << np.uint32(8)).astype(np.uint64) << np.uint64(32)
-        # sums of powers give the hash of any stretch of bytes: here from the start of the token before on
-        power = np.cumprod(np.full(len(b) + 1, 0x9E3779B97F4A7C15, np.uint64))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b + np.uint32(1)).astype(np.uint64) * power[:-1])])
-        start = np.maximum.accumulate(np.where((at == begin) | (b1 == 32), at, 0))
-        since = np.where(start > begin, start[np.maximum(start - 1, 0)], start) if len(b) else start
-        inverse = np.cumprod(np.full(len(b) + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
-        pair = (total[:-1] - total[since]) * inverse[since]
-        fold = [(x * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32) for x in (six + np.uint64(1), pair ^ pair >> np.uint64(29))]
-        self.contexts = [np.zeros_like(b), b1, two, two | b3 << np.uint32(16), four, *fold]
-        self.guess, self.sure = np.zeros_like(b), np.zeros(len(b), np.int64)
-        if match and len(b):
-            order = np.argsort(six, kind="stable")
-            same = (six[order[1:]] == six[order[:-1]]) & (self.text[order[1:]] == self.text[order[:-1]])
-            last = np.full(len(b), -1)
-            last[order[1:][same]] = order[:-1][same]
-            last[at - begin < 6] = -1
-            self.guess = b[np.maximum(last, 0)]
-            goes_on = np.concatenate([[False], (last[1:] == last[:-1] + 1) & (last[:-1] >= 0)])
-            run = at - np.maximum.accumulate(np.where(goes_on, 0, at))
-            self.sure = np.where(last >= 0, 1 + (run >= 4) + (run >= 16), 0)
-
-    def bits(self, lo: int, hi: int, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-        """Of the bits of bytes lo to hi: the values, and the slots, a row for each table."""
-        b = self.b[lo:hi]
-        node = _ONES | b[:, None] >> (_SHIFT + np.uint32(1)) & (_ONES - np.uint32(1))
-        salt = node * np.uint32(0x9E3779B1)
-        slots, offset = np.empty((len(sizes), 8 * len(b)), np.int64), 0
-        for k, size in enumerate(sizes):
-            x = self.contexts[k][lo:hi, None]
-            if k < 2:
-                x = x << np.uint32(8) | node
-            else:
-                x = (x * np.uint32(0x85EBCA6B) ^ salt) * np.uint32(0xC2B2AE35)
-                x ^= x >> np.uint32(15)
-                x = x * np.uint32(0x2C1B3C6D) >> np.uint32(32 - size)
-            slots[k] = x.ravel()
-            slots[k] += offset
-            offset += 1 << size
-        return (b[:, None] >> _SHIFT & np.uint32(1)).ravel().astype(np.int32), slots
-
-    def matched(self, lo: int, hi: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The match's prediction of each bit, and how sure it is (0 without one, or if it was wrong in this byte)."""
-        g = self.guess[lo:hi, None]
-        agrees = (_ONES | g >> (_SHIFT + np.uint32(1)) & (_ONES - np.uint32(1))).ravel() == node
-        sure = np.repeat(self.sure[lo:hi], 8) * agrees
-        return np.where(sure > 0, (g >> _SHIFT & np.uint32(1)).ravel() * np.float32(4) - np.float32(2), np.float32(0)), sure
-
-
-def bit_slots(words: list[bytes], sizes: tuple[int, ...] = TABLE_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each bit of each spelling: its text, its value, and its slots in the tables, a row for each."""
-    all_ = Bytes([spelling(w) for w in words], match=False)
-    return np.repeat(all_.text, 8), *all_.bits(0, len(all_.b), sizes)
-
-
-def blocks(spelt: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of about BLOCK bytes, with the place of the first; a longer text is one by itself."""
-    at, held = 0, 0
-    for k, s in enumerate(spelt):
-        if held and held + len(s) > BLOCK:
-            yield at, spelt[at:k]
-            at, held = k, 0
-        held += len(s)
-    if at < len(spelt):
-        yield at, spelt[at:]
+    def state(self) -> list[bytes]:
+        return [self.w.tobytes(), self.maps.tobytes(), self.w_seen.tobytes(), self.maps_seen.tobytes()]
+
+
+def merged(states: list[list[bytes]], inputs: int) -> Mixer:
+    """The mean of what was learned apart, by how much each has seen at a gate or knot; as at the start where none has."""
+    out, sums = Mixer(inputs), {}
+    for w, maps, w_seen, maps_seen in states:
+        for name, value, seen in (("w", w, w_seen), ("maps", maps, maps_seen)):
+            n = np.frombuffer(seen).reshape(getattr(out, f"{name}_seen").shape)
+            v = np.frombuffer(value, np.float32).reshape(getattr(out, name).shape)
+            total, mean = sums.get(name, (0, 0))
+            sums[name] = total + n, mean + v * n
+    for name, (total, mean) in sums.items():
+        setattr(out, name, np.where(total > 0, mean / np.maximum(total, 1e-300), getattr(out, name)).astype(np.float32))
+        setattr(out, f"{name}_seen", total)
+    return out
 
 
-def packed(n: np.ndarray) -> np.ndarray:
-    """Numbers of 0 and 1 bits as two of 16 bits in one; where one is too large both shrink alike."""
-    n = np.asarray(n, np.float64)
-    most = n.max(axis=1, keepdims=True, initial=0)
-    return (n * np.minimum(1, 65_535 / np.maximum(most, 1))).astype(np.uint16).view(np.uint32).ravel()
+def _hashed(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    x = (context ^ node * _C1) * _C2
+    x ^= x >> np.uint32(15)
+    return (x * _C3 >> np.uint32(32 - bits)).astype(np.int64)
+
+
+class Stream:
+    """The tokens of some texts as decisions of the code with their contexts, none of which reaches into the text before.
+    ``rare`` holds the places of escapes, ``known`` whether the match tells the word; ``h`` their hashes."""
+
+    INPUTS = 5
+
+    def __init__(self, code: Code, symbols: np.ndarray, sizes: np.ndarray, h: np.ndarray):
+        self.code, n = code, len(symbols)
+        at, self.text = np.arange(n), np.repeat(np.arange(len(sizes)), sizes)
+        begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.symbols, self.rare = symbols, np.flatnonzero(symbols == ESCAPE)
+        id_ = symbols.astype(np.uint64)
+        id_[self.rare] = h | np.uint64(1 << 63)
+        self.h = h
+        mixed = (id_ + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        one, two = (np.where(at - begin >= k, np.roll(mixed, k), np.uint64(k)) for k in (1, 2))
+        pair = (one * np.uint64(0xBF58476D1CE4E5B9) + two) * np.uint64(0x94D049BB133111EB)
+        last = np.maximum.accumulate(np.where((symbols >= FIRST) & (symbols < FIRST + MARKERS), at, -1))
+        last = np.concatenate([[-1], last[:-1]])
+        marker = np.where(last >= begin, symbols[last], 0)
+        self.contexts = [((c >> np.uint64(32)).astype(np.uint32)) for c in ((marker + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), one * np.uint64(0xD6E8FEB86659FD93), pair)]
+        key = pair + self.text.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
+        before = np.full(n, -1)
+        before[order[1:][same]] = order[:-1][same]
+        before[at - begin < 2] = -1
+        self.guess = np.where(before >= 0, symbols[before], -1)
+        goes_on = np.concatenate([[False], (before[1:] == before[:-1] + 1) & (before[:-1] >= 0)]) if n else np.empty(0, bool)
+        run = at - np.maximum.accumulate(np.where(goes_on, 0, at)) if n else at
+        self.sure = np.where(before >= 0, 1 + (run >= 3) + (run >= 12), 0)
+        told = (self.guess[self.rare] == ESCAPE) if n else np.empty(0, bool)
+        self.told, self.known = told, told & (id_[before[self.rare]] == id_[self.rare]) if n else told
+
+    def steps(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Token, place in the code and depth of some decisions at a time."""
+        size = self.code.size[self.symbols]
+        ends = np.cumsum(size)
+        at = 0
+        while at < len(size):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, side="right")))
+            n = size[at:to]
+            token = np.repeat(np.arange(at, to), n)
+            depth = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+            yield token, self.code.start[self.symbols[token]] + depth, depth
+            at = to
+
+    def bits(self, token: np.ndarray, place: np.ndarray, depth: np.ndarray, size: int) -> tuple:
+        """Bit, slots of the three tables, the match's input, its sureness and node of each decision."""
+        node = self.code.node[place]
+        n32 = node.astype(np.uint32)
+        slots = [_hashed(c[token], n32, size) for c in self.contexts]
+        guess, sure = self.guess[token], self.sure[token]
+        met = np.flatnonzero(sure)
+        x, sure_ = np.zeros(len(token), np.float32), np.zeros(len(token), np.int64)
+        if len(met):
+            g, d = guess[met], depth[met]
+            to = self.code.start[g] + np.minimum(d, self.code.size[g] - 1)
+            agrees = (d < self.code.size[g]) & (self.code.node[to] == node[met])
+            x[met] = np.where(agrees, self.code.bit[to] * np.float32(4) - np.float32(2), 0)
+            sure_[met] = np.where(agrees, sure[met], 0)
+        return self.code.bit[place].astype(np.int32), slots, x, sure_, node
+
+
+class Counts:
+    """Numbers of 0 and 1 bits at hashed slots, for learning online."""
+
+    def __init__(self, sizes: tuple[int, ...]):
+        self.n = [np.zeros(2 << b, np.uint32) for b in sizes]
+
+    def look(self, slots: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        x, seen = [], []
+        for n, at in zip(self.n, slots, strict=True):
+            both = n.view(np.uint64).take(at)
+            n0, n1 = (both & np.uint64(0xFFFFFFFF)).astype(np.float32), (both >> np.uint64(32)).astype(np.float32)
+            x.append(stretched(n0, n1))
+            seen.append(level(n0 + n1))
+        return x, seen
+
+    def add(self, slots: list[np.ndarray], bit: np.ndarray, weight: np.ndarray | None = None) -> None:
+        for n, at in zip(self.n, slots, strict=True):
+            np.add.at(n, 2 * at + bit, np.uint32(1) if weight is None else weight)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1)
+        for k, whole in enumerate(self.n):
+            for at in range(0, len(whole), 2 * CHUNK):
+                n = whole[at : at + 2 * CHUNK]
+                if n.any():
+                    kind = np.uint8 if n.max() < 1 << 8 else np.uint16 if n.max() < 1 << 16 else np.uint32
+                    yield _row(k, at // (2 * CHUNK), pack.compress(n.astype(kind).tobytes()), len(n) * np.dtype(kind).itemsize, [])
+
+
+class Tables:
+    """What all tasks have counted, coded(), for scoring."""
+
+    def __init__(self, codes: list[np.ndarray]):
+        self.codes = codes
+
+    def look(self, slots: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        got = [c.take(at) for c, at in zip(self.codes, slots, strict=True)]
+        return [_DECODED.take(g) for g in got], [(g & 7).astype(np.int64) for g in got]
+
+
+_ROWS = "part int, chunk int, n binary, bytes long, state array<binary>"
+
+
+def _row(part: int, chunk: int, n: bytes, size: int, state: list[bytes]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((part, chunk, n, size, state), kinds, strict=True)], names=["part", "chunk", "n", "bytes", "state"])
+
+
+def _gathered(rows: DataFrame, sizes: tuple[int, ...], inputs: int, raw: bool = False) -> tuple[Tables | Counts, Mixer, np.ndarray]:
+    """The tables (with ``raw`` the counts) added up over all tasks, the merged mixer, and the sum of the tasks' tallies.
+    Their size is bounded by the tables' size, not by the texts."""
+    import zstandard
 
+    def add(parts: pa.Table) -> pa.Table:
+        part, chunk = parts.column("part")[0].as_py(), parts.column("chunk")[0].as_py()
+        size = 2 * min(CHUNK, 1 << sizes[part])
+        n, unpack = np.zeros(size), zstandard.ZstdDecompressor()
+        for x, b in zip(parts.column("n").to_pylist(), parts.column("bytes").to_pylist(), strict=True):
+            n += np.frombuffer(unpack.decompress(x), {1: np.uint8, 2: np.uint16, 4: np.uint32}[b // size])
+        out = np.minimum(n, 2**32 - 1).astype(np.uint32) if raw else coded(n.reshape(-1, 2))
+        return pa.table({"part": pa.array([part], pa.int32()), "chunk": pa.array([chunk], pa.int32()), "n": pa.array([out.tobytes()], pa.binary())})
+
+    stored = saved(rows, "mixing")
+    states = [(r["chunk"], r["state"]) for r in stored.where("part < 0").select("chunk", "state").collect()]  # one a task
+    states = [s for _, s in sorted(states, key=lambda r: r[0])]
+    got = stored.where("part >= 0").groupBy("part", "chunk").applyInArrow(add, "part int, chunk int, n binary").toArrow()
+    kind, wide = (np.uint32, 2) if raw else (np.uint16, 1)
+    start = coded(np.zeros((1, 2)))[0]
+    out = [np.zeros(2 << b, kind) if raw else np.full(1 << b, start, kind) for b in sizes]
+    for part, chunk, n in zip(got.column("part").to_pylist(), got.column("chunk").to_pylist(), got.column("n"), strict=True):
+        x = np.frombuffer(n.as_buffer(), kind)
+        out[part][chunk * CHUNK * wide : chunk * CHUNK * wide + len(x)] = x
+    tally = sum((np.frombuffer(s[4]) for s in states), np.zeros(8))
+    if not raw:
+        return Tables(out), merged([s[:4] for s in states], inputs), tally
+    counts = Counts(())
+    counts.n = out
+    return counts, merged([s[:4] for s in states], inputs), tally
+
+
+class Tokens:
+    """The model of the running text: what is broadcast is bounded by RARE_BITS and MOST_BITS."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray, escapes: int, stops: int, bits: int):
+        self.index = {w: k + FIRST for k, w in enumerate(words)} | {END: STOP}
+        self.code = Code(np.concatenate([[escapes + 1, stops + 1], counts]).astype(np.int64))
+        self.bits = bits
+
+    def stream(self, some: list[list[bytes]]) -> Stream:
+        sizes = np.array([len(w) for w in some], np.int64)
+        flat = [w for words in some for w in words]
+        symbols = np.fromiter(map(self.index.get, flat, repeat(ESCAPE)), np.int64, len(flat))
+        rare = np.flatnonzero(symbols == ESCAPE)
+        return Stream(self.code, symbols, sizes, np.fromiter((_words[flat[k]] for k in rare), np.uint64, len(rare)))
+
+
+def _inputs(tokens_: Tokens, tables, stream: Stream, step: tuple) -> tuple:
+    bit, slots, match, sure, node = stream.bits(*step, tokens_.bits)
+    x, seen = tables.look(slots)
+    return bit, slots, [*x, match, tokens_.code.own.take(node)], sure * 64 + seen[2] * 8 + seen[1], np.minimum(node, Mixer.MAPS - 1).astype(np.int64)
+
+
+def learn_stream(tokens_: Tokens, counts: Counts, mixer: Mixer, tally: np.ndarray, stream: Stream) -> None:
+    """Predicts, corrects weights and maps, then counts. The tally is of rare words that a match tells wrongly and rightly, by its sureness."""
+    for step in stream.steps():
+        bit, slots, x, gate, context = _inputs(tokens_, counts, stream, step)
+        mixer.learn(x, gate, context, bit)
+        counts.add(slots, bit)
+    sure = stream.sure[stream.rare[stream.told]]
+    tally += np.bincount(2 * sure + stream.known[stream.told], minlength=8)
+
+
+def score_stream(tokens_: Tokens, tables, mixer: Mixer, tally: np.ndarray, stream: Stream) -> np.ndarray:
+    """Natural log of the probability of each token's decisions, spellings left out."""
+    out = np.zeros(len(stream.symbols))
+    for step in stream.steps():
+        bit, _, x, gate, context = _inputs(tokens_, tables, stream, step)
+        p = mixer.predict(x, gate, context)[1]
+        out += np.bincount(step[0], np.log(np.where(bit == 1, p, 1 - p)), len(out))
+    sure = stream.sure[stream.rare[stream.told]]
+    right = (tally[1::2] + 0.5) / (tally[::2] + tally[1::2] + 1)
+    out[stream.rare[stream.told]] += np.log(np.where(stream.known[stream.told], right[sure], 1 - right[sure]))
+    return out
 
-def _spread(docs: DataFrame) -> DataFrame:
-    """docs in as many partitions as there are cores at least, should the files be fewer."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 
+def spelling(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Word, value, slots and node (the bits of the byte so far) of each bit of the words, each with a blank after it."""
+    size = np.array([len(w) + 1 for w in words], np.int64)
+    b = np.frombuffer(b" ".join(words) + b" " if words else b"", np.uint8).astype(np.uint32)
+    begin = np.repeat(np.cumsum(size) - size, size)
+    at = np.arange(len(b))
+    b1, b2, b3, b4 = (np.where(at - begin >= k, np.roll(b, k), 0).astype(np.uint32) for k in range(1, 5))
+    # sums of powers give the hash of any stretch of bytes
+    power = np.cumprod(np.full(len(b) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b + np.uint32(1)).astype(np.uint64) * power[:-1])])
+    inverse = np.cumprod(np.full(len(b) + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
+    so_far = (total[:-1] - total[begin]) * inverse[begin]
+    so_far = ((so_far ^ so_far >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32)
+    two = b1 | b2 << np.uint32(8)
+    three = two | b3 << np.uint32(16)
+    node = _ONES | b[:, None] >> (_SHIFT + np.uint32(1)) & (_ONES - np.uint32(1))
+    slots = [(b1[:, None] << np.uint32(8) | node).ravel().astype(np.int64)]
+    for c, bits in zip((two, three, three | b4 << np.uint32(24), so_far), SPELL_BITS[1:], strict=True):
+        slots.append(_hashed(c[:, None], node, bits).ravel())
+    word = np.repeat(np.arange(len(words)), 8 * size)
+    return word, (b[:, None] >> _SHIFT & np.uint32(1)).ravel().astype(np.int32), slots, node.ravel().astype(np.int64)
+
+
+def spelling_scores(tables, mixer: Mixer, words: list[bytes]) -> np.ndarray:
+    """Natural log of the probability of each word's spelling."""
+    word, bit, slots, node = spelling(words)
+    x, seen = tables.look(slots)
+    p = mixer.predict(x, seen[4] * 8 + seen[2], node)[1]
+    return np.bincount(word, np.log(np.where(bit == 1, p, 1 - p)), len(words))
+
+
+def _some(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of a batch of words of which none but a single long word has over 2**16 bytes."""
+    words, at, held = batch.column("word").to_pylist(), 0, 0
+    for k, w in enumerate(words):
+        if k > at and (held + len(w) > 1 << 16 or k - at == rows):
+            yield batch.slice(at, k - at), words[at:k]
+            at, held = k, 0
+        held += len(w)
+    if at < len(words):
+        yield batch.slice(at), words[at:]
 
-def _training(docs: DataFrame, folds: int, out: int) -> DataFrame:
-    """The training texts in as many partitions as there are cores at most, as each of them makes whole tables."""
-    return docs.where(remainder("doc_id", folds) != out).select(F.col("text").cast("string")).coalesce(docs.sparkSession.sparkContext.defaultParallelism)
 
+def _spellings(known: DataFrame, least: int) -> Callable[[DataFrame], DataFrame]:
+    """Learns the spelling of rare training tokens, by their number; gives what adds ``spell`` to words."""
+    spark = known.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    rare = known.where((F.col("c") > 0) & (F.col("c") < least)).select("word", "c").coalesce(cores)
 
-def _spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            for _, part in blocks([running(tokens(t)) for t in texts(batch.slice(at, 200))]):
-                yield part
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(SPELL_BITS)
+        for batch in batches:
+            for part, words in _some(batch):
+                word, bit, slots, _ = spelling(words)
+                counts.add(slots, bit, part.column("c").to_numpy().astype(np.uint32)[word])
+        yield from counts.rows()
 
+    counts, _, _ = _gathered(rare.mapInArrow(count, _ROWS), SPELL_BITS, 5, raw=True)
+    sent = spark.sparkContext.broadcast(counts.n)
 
-def _tables(train: DataFrame, sizes: tuple[int, ...]) -> np.ndarray:
-    """packed() numbers of 0 and 1 bits at each slot over all training texts."""
-    slots = sum(1 << b for b in sizes)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixer = Mixer(len(SPELL_BITS))
+        for batch in batches:
+            for part, words in _some(batch, 200):
+                word, bit, slots, node = spelling(words)
+                x, seen = [], []
+                for n, at in zip(sent.value, slots, strict=True):  # as if this occurrence had not been counted
+                    n0, n1 = n[2 * at].astype(np.float32) - (1 - bit), n[2 * at + 1].astype(np.float32) - bit
+                    x.append(stretched(n0, n1))
+                    seen.append(level(n0 + n1))
+                mixer.learn([v.astype(np.float32) for v in x], seen[4] * 8 + seen[2], node, bit, part.column("c").to_numpy().astype(np.float32)[word])
+        yield _row(-1, TaskContext.get().partitionId(), b"", 0, [*mixer.state(), np.zeros(8).tobytes()])
+
+    _, mixer, _ = _gathered(rare.mapInArrow(learn, _ROWS), SPELL_BITS, len(SPELL_BITS))
+    tables = spark.sparkContext.broadcast(Tables([coded(n.reshape(-1, 2)) for n in counts.n]))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, words in _some(batch):
+                h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), part.column("c"), pa.array(spelling_scores(tables.value, mixer, words))], names=["h", "c", "spell"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.zeros(2 * slots, np.uint32)
-        for part in _spelt(batches):
-            all_ = Bytes(part, match=False)
-            for lo in range(0, len(all_.b), STEP):
-                bit, at = all_.bits(lo, lo + STEP, sizes)
-                np.add.at(acc, (2 * at + bit).ravel(), np.uint32(1))
-        for at in range(0, slots, CHUNK):
-            n = acc[2 * at : 2 * (at + CHUNK)]
-            if n.any():
-                kind = np.uint8 if n.max() < 1 << 8 else np.uint16 if n.max() < 1 << 16 else np.uint32
-                yield pa.RecordBatch.from_arrays([pa.array([at // CHUNK], pa.int32()), pa.array([n.astype(kind).tobytes()], pa.binary())], names=["chunk", "n"])
+    return lambda words: words.select("word", "c").mapInArrow(apply, "h long, c long, spell double")
 
-    def add(parts: pa.Table) -> pa.Table:
-        chunk = parts.column("chunk")[0].as_py()
-        size = min(CHUNK, slots - chunk * CHUNK)
-        n = np.zeros(2 * size)
-        for x in parts.column("n").to_pylist():
-            n += np.frombuffer(x, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(x) // (2 * size)])
-        return pa.table({"chunk": pa.array([chunk], pa.int32()), "n": pa.array([packed(n.reshape(-1, 2)).tobytes()], pa.binary())})
-
-    got = train.mapInArrow(run, "chunk int, n binary").groupBy("chunk").applyInArrow(add, "chunk int, n binary").toArrow()
-    out = np.zeros(slots, np.uint32)
-    for chunk, n in zip(got.column("chunk"), got.column("n"), strict=True):
-        at = chunk.as_py() * CHUNK
-        part = np.frombuffer(n.as_buffer(), np.uint32)
-        out[at : at + len(part)] = part
-    return out
 
+def _count(docs: DataFrame, folds: int, out: int) -> DataFrame:
+    """word, c (its number in training texts, 0 if only others have it)."""
 
-class Mixer:
-    """Weights by gate and adaptive maps by the bits before (order 0 slot)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
 
-    KNOTS, GATES = 24, 256
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
+            seen.clear()
+            return out
 
-    def __init__(self, inputs: int = len(TABLE_BITS) + 1):
-        self.w = np.tile(np.append(np.full(inputs, 0.25), 0.0), (self.GATES, 1))
-        self.maps = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, self.KNOTS))), (256, 1))
-        self.w_seen, self.maps_seen = np.zeros(self.GATES), np.zeros_like(self.maps)
+        for text, train in _texts(batches, "train"):
+            if train:
+                seen.update(tokens(text))
+            else:
+                for w in tokens(text):
+                    seen.setdefault(w, 0)
+            if len(seen) > 400_000:
+                yield flush()
+        yield flush()
 
-    def predict(self, x: np.ndarray, gate: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
-        z = self.w[:, -1][gate]
-        for k in range(len(x)):
-            z += self.w[:, k][gate] * x[k]
-        z = np.clip(z, -8, 8)
-        p = 1 / (1 + np.exp(-z))
-        at = (z + 8) * ((self.KNOTS - 1) / 16)
-        lo = np.minimum(at.astype(np.int64), self.KNOTS - 2)
-        f = at - lo
-        place = node * self.KNOTS + lo
-        maps = self.maps.ravel()
-        fine = maps[place] * (1 - f) + maps[place + 1] * f
-        return p, np.clip((p + fine) / 2, 1e-6, 1 - 1e-6), place, f
-
-    def learn(self, x: np.ndarray, gate: np.ndarray, node: np.ndarray, bit: np.ndarray, rate: float) -> None:
-        p, _, place, f = self.predict(x, gate, node)
-        off = bit - p
-        n = np.bincount(gate, minlength=self.GATES)
-        g = np.stack([*(np.bincount(gate, row * off, self.GATES) for row in x), np.bincount(gate, off, self.GATES)], axis=1)
-        self.w += rate * g / np.maximum(n, 1)[:, None]
-        self.w_seen += n
-        size = self.maps.size
-        seen = np.bincount(place, 1 - f, size) + np.bincount(place + 1, f, size)
-        ones = np.bincount(place, (1 - f) * bit, size) + np.bincount(place + 1, f * bit, size)
-        seen, ones = seen.reshape(self.maps.shape), ones.reshape(self.maps.shape)
-        self.maps += (ones - seen * self.maps) / (self.maps_seen.clip(30, 30_000) + seen)
-        self.maps_seen += seen
+    train = F.coalesce(remainder("doc_id", folds) != out, F.lit(False)).alias("train")
+    parts = docs.select(F.col("text").cast("string"), train).mapInArrow(run, "word binary, c long")
+    return parts.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def merged(mixers: list[Mixer]) -> Mixer:
-    """The mean of what was learned apart, by how many bits each has seen at a gate or knot; as at the start where none has."""
-    out = Mixer()
-    for name in ("w", "maps"):
-        seen = [getattr(m, f"{name}_seen") for m in mixers]
-        total = sum(seen, np.zeros_like(getattr(out, f"{name}_seen")))
-        wide = (lambda a: a[:, None]) if name == "w" else (lambda a: a)
-        mean = sum((getattr(m, name) * wide(s) for m, s in zip(mixers, seen, strict=True)), np.zeros_like(getattr(out, name))) / wide(np.maximum(total, 1e-300))
-        setattr(out, name, np.where(wide(total) > 0, mean, getattr(out, name)))
-        setattr(out, f"{name}_seen", total)
-    return out
+def _texts(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """Text and other columns row by row, of few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            b = batch.slice(at, 200)
+            yield from zip(texts(b), *(b.column(c).to_pylist() for c in columns), strict=True)
 
 
-class Speller:
-    """Tables and weights, ready for texts."""
+def blocks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows (tokens first) in runs of about BLOCK tokens; a longer one is one by itself."""
+    held, n = [], 0
+    for row in rows:
+        if held and n + len(row[0]) > BLOCK:
+            yield held
+            held, n = [], 0
+        held.append(row)
+        n += len(row[0])
+    if held:
+        yield held
 
-    def __init__(self, tables: np.ndarray, mixer: Mixer, sizes: tuple[int, ...] = TABLE_BITS):
-        self.tables, self.mixer, self.sizes = tables if tables.ndim == 1 else packed(tables), mixer, sizes
 
-    def steps(self, spelt: list[bytes], without_own: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
-        """Text, value, inputs, gate and node of the bits, some at a time; if asked, as if each bit had not been counted."""
-        all_ = Bytes(spelt)
-        for lo in range(0, len(all_.b), STEP):
-            bit, slots = all_.bits(lo, lo + STEP, self.sizes)
-            n = self.tables[slots]
-            n0, n1 = (n & np.uint32(0xFFFF)).astype(np.int32), (n >> np.uint32(16)).astype(np.int32)
-            if without_own:
-                n0, n1 = np.maximum(n0 - (1 - bit), 0), np.maximum(n1 - bit, 0)
-            guess, sure = all_.matched(lo, lo + STEP, slots[0])
-            gate = sure * 64 + _LEVEL[n0[4] + n1[4]].astype(np.int64) * 8 + _LEVEL[n0[6] + n1[6]]
-            yield all_.text[lo : lo + STEP], bit, np.concatenate([_LOG[n1] - _LOG[n0], guess[None]]), gate, slots[0]
+def _spread(docs: DataFrame) -> DataFrame:
+    """docs in as many partitions as there are cores at least, should the files be fewer."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 
-    def learn(self, spelt: list[bytes]) -> None:
-        for _, bit, x, gate, node in self.steps(spelt, without_own=True):
-            self.mixer.learn(x, gate, node, bit, 0.05)
 
-    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
-        """Natural log of each text's probability as a string of bits."""
-        out = np.zeros(len(words))
-        for at, part in blocks([spelling(w) for w in words]):
-            for text, bit, x, gate, node in self.steps(part):
-                p = self.mixer.predict(x, gate, node)[1]
-                out[at : at + len(part)] += np.bincount(np.repeat(text, 8), np.log(np.where(bit == 1, p, 1 - p)), len(part))
-        return out
+def _training(docs: DataFrame, folds: int, out: int) -> DataFrame:
+    """The training texts in as many partitions as there are cores at most, as each of them makes whole tables."""
+    return docs.where(remainder("doc_id", folds) != out).select(F.col("text").cast("string")).coalesce(docs.sparkSession.sparkContext.defaultParallelism)
 
 
-def _mixer(train: DataFrame, sent, sizes: tuple[int, ...]) -> Mixer:
-    """Learned online over all training texts, by partition, then merged."""
-    names = ("w", "maps", "w_seen", "maps_seen")
+def _learned(train: DataFrame, sent, sizes: tuple[int, ...]) -> tuple[Tables, Mixer, np.ndarray]:
+    """Tables, mixer and tally of the running text, online over all training texts by partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller(sent.value, Mixer(), sizes)
-        for part in _spelt(batches):
-            speller.learn(part)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), *(pa.array([getattr(speller.mixer, x).tobytes()], pa.binary()) for x in names)], names=["task", *names])
-
-    rows = train.mapInArrow(run, "task long, w binary, maps binary, w_seen binary, maps_seen binary").toArrow().to_pylist()
-    mixers = []
-    for row in sorted(rows, key=lambda r: r["task"]):
-        m = Mixer()
-        for x in names:
-            setattr(m, x, np.frombuffer(row[x]).reshape(getattr(m, x).shape))
-        mixers.append(m)
-    return merged(mixers)
-
-
-def _hashed(words: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = np.fromiter(map(_words.__getitem__, batch.column("word").to_pylist()), np.uint64, batch.num_rows).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("c")], names=["h", "c"])
+        counts, mixer, tally = Counts(sizes), Mixer(Stream.INPUTS), np.zeros(8)
+        for some in blocks((tokens(t),) for (t,) in _texts(batches)):
+            learn_stream(sent.value, counts, mixer, tally, sent.value.stream([w for (w,) in some]))
+        yield from counts.rows()
+        yield _row(-1, TaskContext.get().partitionId(), b"", 0, [*mixer.state(), tally.tobytes()])
 
-    return words.mapInArrow(run, "h long, c long")
+    return _gathered(train.mapInArrow(run, _ROWS), sizes, Stream.INPUTS)
 
 
 def score(docs: DataFrame, folds: int = 7, out: int = 2) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row (doc_id, text).
 
     Null text is empty: one end token. Rows without doc_id are scored, never learned from. Repeated rows each count in
-    training and each get their score. Without training texts the base has N = V = 0.
+    training and each get their score. Extra columns are ignored. Without training texts the base has N = V = 0. An empty
+    table gives an empty result. A long text is a block by itself, its decisions are made in steps.
     """
     spark = docs.sparkSession
     docs = _spread(docs.select("doc_id", "text"))
-    known = saved(_hashed(_count(docs, folds, out)), "words")
+    known = saved(_count(docs, folds, out), "words")
     stats = known.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     total, distinct = int(stats["n"]), int(stats["v"])
-    train, sizes = _training(docs, folds, out), table_bits(distinct)
-    tables = spark.sparkContext.broadcast(_tables(train, sizes))
-    mixer = _mixer(train, tables, sizes)
-
-    steps = known.groupBy(F.least("c", F.lit(10_000)).alias("c")).count().collect()  # at most 10,001 rows
-    at, held = 10_000, 0
-    for r in sorted(steps, key=lambda r: -r["c"]):
-        held += r["count"]
-        if held > FREQUENT or r["c"] < 1:
-            break
-        at = r["c"]
-    top = known.where(F.col("c") >= at).orderBy(F.desc("c"), "h").limit(FREQUENT) if held > FREQUENT and at == 10_000 else known.where(F.col("c") >= at)
-    top = top.toArrow()
-    order = np.argsort(top.column("h").to_numpy(), kind="stable")
-    sent = spark.sparkContext.broadcast(tuple(top.column(c).to_numpy()[order] for c in ("h", "c")))
+    least = max(2, total >> RARE_BITS)
+    frequent = F.col("c") >= least
+    top = known.where(frequent & (F.col("word") != F.lit(END))).orderBy(F.desc("c"), "word").toArrow()  # at most 2**RARE_BITS rows
+    stops = known.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    words, counts = top.column("word").to_pylist(), top.column("c").to_numpy()
+    bits = table_bits(distinct)
+    tokens_ = Tokens(words, counts, total - int(counts.sum()) - stops, stops, bits)
+    sent = spark.sparkContext.broadcast(tokens_)
+    tables, mixer, tally = _learned(_training(docs, folds, out), sent, (bits,) * 3)
+    ready = spark.sparkContext.broadcast((tables, mixer, tally))
+    known_counts = np.concatenate([[0, stops], counts]).astype(np.float64)
+    base_of = spark.sparkContext.broadcast((np.log10((known_counts + 1) / (total + distinct + 1)), known_counts > 0))
+    rare = saved(_spellings(known, least)(known.where(~frequent & (F.col("word") != F.lit(END)))), "rare-words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fh, fc = sent.value
-        speller = Speller(tables.value, mixer, sizes)
-        task, row = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                b = batch.slice(at, 200)
-                rows, spelt = [], []
-                for doc_id, text in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
-                    words = tokens(text)
-                    spelt.append(running(words))
-                    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)).astype(np.int64)
-                    i = np.minimum(np.searchsorted(fh, h), max(len(fh) - 1, 0))
-                    hit = fh[i] == h if len(fh) else np.zeros(len(h), bool)
-                    c = fc[i[hit]]
-                    base = np.log10((c + 1) / (total + distinct + 1)).sum()
-                    rows.append((task << 32 | row, doc_id, len(h), int((c > 0).sum()), float(base), len(text), h[~hit]))
-                    row += 1
-                if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64()))
-                    cols = [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(speller.log_probabilities(spelt) / np.log(10))], names=["row", "doc_id", "n_tokens", "n_known", "base", "bytes", "h", "score"])
-
-    kept = "row long, doc_id long, n_tokens long, n_known long, base double, bytes long, h array<long>, score double"
-    main = saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kept), "frequent-scores")
-    terms = main.select("row", F.explode("h").alias("h")).join(known, "h").select("row", (F.col("c") > 0).cast("long").alias("known"), F.log10((F.col("c") + 1) / F.lit(float(total + distinct + 1))).alias("b"))
-    sums = terms.groupBy(F.col("row").alias("r")).agg(F.sum("known").alias("r_known"), F.sum("b").alias("r_base"))
-    whole = main.drop("h").join(sums, F.col("row") == F.col("r"), "left")
+        own, (base, is_known), row = (*ready.value,), base_of.value, TaskContext.get().partitionId() << 32
+        for some in blocks((tokens(t), d, len(t)) for t, d in _texts(batches, "doc_id")):
+            stream = sent.value.stream([w for w, *_ in some])
+            n = len(some)
+            scores = np.bincount(stream.text, score_stream(sent.value, *own, stream), n) / np.log(10)
+            plain = stream.symbols != ESCAPE
+            bases = np.bincount(stream.text, np.where(plain, base[stream.symbols], 0), n)
+            knowns = np.bincount(stream.text, plain & is_known[stream.symbols], n).astype(np.int64)
+            edges = np.searchsorted(stream.text[stream.rare], np.arange(n + 1))
+            h, spelt, times, sizes = [], [], [], []
+            for a, b in zip(edges, edges[1:]):
+                each, inverse, c = np.unique(stream.h[a:b].astype(np.int64), return_inverse=True, return_counts=True)
+                h.append(each)
+                times.append(c)
+                spelt.append(np.bincount(inverse, ~stream.known[a:b], len(each)).astype(np.int64))
+                sizes.append(len(each))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(np.int64))) for x in (h, times, spelt)]
+            cols = [pa.array(row + np.arange(n)), pa.array([d for _, d, _ in some], pa.int64()), pa.array([len(w) for w, *_ in some], pa.int64()), pa.array(knowns), pa.array(bases), pa.array([s for *_, s in some], pa.int64()), pa.array(scores), *lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "n_tokens", "n_known", "base", "bytes", "score", "h", "times", "spelt"])
+            row += n
+
+    kept = "row long, doc_id long, n_tokens long, n_known long, base double, bytes long, score double, h array<long>, times array<long>, spelt array<long>"
+    main = saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kept), "running-scores")
+    each = main.select("row", F.explode(F.arrays_zip("h", "times", "spelt")).alias("e")).select("row", F.col("e.h").alias("h"), F.col("e.times").alias("times"), F.col("e.spelt").alias("spelt"))
+    terms = each.join(rare, "h").select(
+        F.col("row").alias("r"), F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("known"),
+        (F.col("times") * F.log10((F.col("c") + 1) / F.lit(float(total + distinct + 1)))).alias("b"), (F.col("spelt") * F.col("spell") / F.lit(float(np.log(10)))).alias("s"),
+    )
+    sums = terms.groupBy("r").agg(F.sum("known").alias("r_known"), F.sum("b").alias("r_base"), F.sum("s").alias("r_score"))
+    whole = main.drop("h", "times", "spelt").join(sums, F.col("row") == F.col("r"), "left")
+    result = F.col("score") + F.coalesce("r_score", F.lit(0.0))
     return whole.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("r_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("r_base", F.lit(0.0))).alias("base_score"), "score", (F.col("score") / F.lit(-float(np.log10(2))) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),
+        (F.col("base") + F.coalesce("r_base", F.lit(0.0))).alias("base_score"), result.alias("score"), (result / F.lit(-float(np.log10(2))) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),
     )
 
 

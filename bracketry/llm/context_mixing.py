@@ -3,7 +3,7 @@
 A text is scored as running text. Its tokens and an end are symbols of a Huffman code made from the training counts, so a
 frequent token costs few binary decisions; a rare token is an escape and then its spelling. Each decision of the running
 text is predicted by hashed contexts that reach across tokens (the last very frequent token, the token before, the two
-tokens before), by the count of the decision itself, and by a match: what followed the last place in the same text with
+tokens before) and by a match: what followed the last place in the same text with
 the same two tokens before. Each bit of a spelling is predicted by hashed contexts of 1 to 4 bytes before and of the whole
 word so far. The stretched predictions are added up with weights chosen by a gate (the match's length, how much two of the
 contexts have seen), and adaptive maps refine the result.
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +41,12 @@ LEAST_BITS, MOST_BITS = 16, 22
 SPELL_BITS = (16, 20, 20, 20, 20)
 #: Tokens (in whole texts) whose contexts are made at once, and decisions after which weights are corrected.
 BLOCK, STEP = 1 << 16, 1 << 13
+#: Levels of the code whose counts for a context lie side by side.
+GROUP = 4
 CHUNK = 1 << 16
 _words = Words()
 _C1, _C2, _C3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0x2C1B3C6D)
 _LEVEL = np.minimum(np.log2(np.arange(128) + 1), 7).astype(np.int64)
-_SHIFT = np.arange(7, -1, -1, dtype=np.uint32)
-_ONES = np.uint32(1) << np.arange(8, dtype=np.uint32)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -110,9 +110,14 @@ class Code:
         while (left := (at != root)).any():
             self.node[to[left]], self.bit[to[left]] = root - up[at[left]], side[at[left]]
             at, to = np.where(left, up[at], at), to - 1
-        n = np.zeros((m - 1, 2))
-        np.add.at(n, (self.node, self.bit), np.repeat(np.asarray(counts, float), size))
-        self.own = stretched(n[:, 0].astype(np.float32), n[:, 1].astype(np.float32))
+        # nodes of GROUP levels share a line of the tables: the line's first node, and the place in the line
+        start = np.repeat(self.start, size)
+        depth = np.arange(len(self.node)) - start
+        first, place = start + depth // GROUP * GROUP, np.ones(len(depth), np.uint32)
+        for k in range(GROUP - 1):
+            on = depth % GROUP > k
+            place[on] = 2 * place[on] + self.bit[first[on] + k]
+        self.line = self.node[first].astype(np.uint32) << np.uint32(GROUP) | place
 
 
 class Mixer:
@@ -150,9 +155,9 @@ class Mixer:
         self.w += (0.1 * g / np.sqrt(self.square)).astype(np.float32)
         self.w_seen += n
         size = self.maps.size
-        lo, hi = (1 - f) * one, f * one
-        seen = (np.bincount(place, lo, size) + np.bincount(place + 1, hi, size)).reshape(self.maps.shape)
-        ones = (np.bincount(place, lo * bit, size) + np.bincount(place + 1, hi * bit, size)).reshape(self.maps.shape)
+        near = place + (f > 0.5)
+        seen = np.bincount(near, one, size).reshape(self.maps.shape)
+        ones = np.bincount(near, one * bit, size).reshape(self.maps.shape)
         self.maps += ((ones - seen * self.maps) / (self.maps_seen.clip(30, 30_000) + seen)).astype(np.float32)
         self.maps_seen += seen
 
@@ -175,17 +180,27 @@ def merged(states: list[list[bytes]], inputs: int) -> Mixer:
     return out
 
 
-def _hashed(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    x = (context ^ node * _C1) * _C2
+def _hashed(context: np.ndarray, salt: np.ndarray, bits: int) -> np.ndarray:
+    x = context ^ salt
+    x *= _C2
     x ^= x >> np.uint32(15)
-    return (x * _C3 >> np.uint32(32 - bits)).astype(np.int64)
+    x *= _C3
+    x >>= np.uint32(32 - bits)
+    return x
+
+
+def _lined(context: np.ndarray, salt: np.ndarray, place: np.ndarray, bits: int) -> np.ndarray:
+    """Slots of a line for each context and group, in an order of its own."""
+    x = _hashed(context, salt, bits)
+    x ^= place
+    return x.astype(np.int64)
 
 
 class Stream:
     """The tokens of some texts as decisions of the code with their contexts, none of which reaches into the text before.
     ``rare`` holds the places of escapes, ``known`` whether the match tells the word; ``h`` their hashes."""
 
-    INPUTS = 5
+    INPUTS = 4
 
     def __init__(self, code: Code, symbols: np.ndarray, sizes: np.ndarray, h: np.ndarray):
         self.code, n = code, len(symbols)
@@ -231,19 +246,20 @@ class Stream:
 
     def bits(self, token: np.ndarray, place: np.ndarray, depth: np.ndarray, size: int) -> tuple:
         """Bit, slots of the three tables, the match's input, its sureness and node of each decision."""
-        node = self.code.node[place]
-        n32 = node.astype(np.uint32)
-        slots = [_hashed(c[token], n32, size) for c in self.contexts]
-        guess, sure = self.guess[token], self.sure[token]
+        node, line = self.code.node.take(place), self.code.line.take(place)
+        salt = (line >> np.uint32(GROUP)) * _C1
+        line &= np.uint32((1 << GROUP) - 1)
+        slots = [_lined(c.take(token), salt, line, size) for c in self.contexts]
+        sure = self.sure.take(token)
         met = np.flatnonzero(sure)
         x, sure_ = np.zeros(len(token), np.float32), np.zeros(len(token), np.int64)
         if len(met):
-            g, d = guess[met], depth[met]
+            g, d = self.guess[token[met]], depth[met]
             to = self.code.start[g] + np.minimum(d, self.code.size[g] - 1)
             agrees = (d < self.code.size[g]) & (self.code.node[to] == node[met])
             x[met] = np.where(agrees, self.code.bit[to] * np.float32(4) - np.float32(2), 0)
             sure_[met] = np.where(agrees, sure[met], 0)
-        return self.code.bit[place].astype(np.int32), slots, x, sure_, node
+        return self.code.bit.take(place), slots, x, sure_, node
 
 
 class Counts:
@@ -255,10 +271,10 @@ class Counts:
     def look(self, slots: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         x, seen = [], []
         for n, at in zip(self.n, slots, strict=True):
-            both = n.view(np.uint64).take(at)
-            n0, n1 = (both & np.uint64(0xFFFFFFFF)).astype(np.float32), (both >> np.uint64(32)).astype(np.float32)
-            x.append(stretched(n0, n1))
-            seen.append(level(n0 + n1))
+            both = n.view(np.uint64).take(at).view(np.uint32).reshape(-1, 2).astype(np.float32)
+            log = np.log(both + np.float32(0.3))
+            x.append(log[:, 1] - log[:, 0])
+            seen.append(level(both[:, 0] + both[:, 1]))
         return x, seen
 
     def add(self, slots: list[np.ndarray], bit: np.ndarray, weight: np.ndarray | None = None) -> None:
@@ -341,13 +357,13 @@ class Tokens:
         flat = [w for words in some for w in words]
         symbols = np.fromiter(map(self.index.get, flat, repeat(ESCAPE)), np.int64, len(flat))
         rare = np.flatnonzero(symbols == ESCAPE)
-        return Stream(self.code, symbols, sizes, np.fromiter((_words[flat[k]] for k in rare), np.uint64, len(rare)))
+        return Stream(self.code, symbols, sizes, np.fromiter(map(_words.__getitem__, compress(flat, symbols == ESCAPE)), np.uint64, len(rare)))
 
 
 def _inputs(tokens_: Tokens, tables, stream: Stream, step: tuple) -> tuple:
     bit, slots, match, sure, node = stream.bits(*step, tokens_.bits)
     x, seen = tables.look(slots)
-    return bit, slots, [*x, match, tokens_.code.own.take(node)], sure * 64 + seen[2] * 8 + seen[1], np.minimum(node, Mixer.MAPS - 1).astype(np.int64)
+    return bit, slots, [*x, match], sure * 64 + seen[2] * 8 + seen[1], np.minimum(node, Mixer.MAPS - 1).astype(np.int64)
 
 
 def learn_stream(tokens_: Tokens, counts: Counts, mixer: Mixer, tally: np.ndarray, stream: Stream) -> None:
@@ -373,8 +389,16 @@ def score_stream(tokens_: Tokens, tables, mixer: Mixer, tally: np.ndarray, strea
     return out
 
 
-def spelling(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """Word, value, slots and node (the bits of the byte so far) of each bit of the words, each with a blank after it."""
+def letters(words: list[bytes], counts: np.ndarray) -> Code:
+    """A code of all bytes, the blank after a word included, from frequent words and their counts."""
+    n = np.ones(256)
+    for w, c in zip(words, counts, strict=True):
+        np.add.at(n, np.frombuffer(w + b" ", np.uint8), c)
+    return Code(n.astype(np.int64))
+
+
+def spelling(words: list[bytes], code: Code) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Word, value, slots and node of each decision of the words, each with a blank after it."""
     size = np.array([len(w) + 1 for w in words], np.int64)
     b = np.frombuffer(b" ".join(words) + b" " if words else b"", np.uint8).astype(np.uint32)
     begin = np.repeat(np.cumsum(size) - size, size)
@@ -388,17 +412,21 @@ def spelling(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarra
     so_far = ((so_far ^ so_far >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32)
     two = b1 | b2 << np.uint32(8)
     three = two | b3 << np.uint32(16)
-    node = _ONES | b[:, None] >> (_SHIFT + np.uint32(1)) & (_ONES - np.uint32(1))
-    slots = [(b1[:, None] << np.uint32(8) | node).ravel().astype(np.int64)]
+    each = code.size[b]
+    byte = np.repeat(at, each)
+    place = code.start[b[byte]] + np.arange(len(byte)) - np.repeat(np.cumsum(each) - each, each)
+    node, line = code.node.take(place), code.line.take(place)
+    salt = (line >> np.uint32(GROUP)) * _C1
+    line &= np.uint32((1 << GROUP) - 1)
+    slots = [(b1.take(byte) << np.uint32(8) | node.astype(np.uint32)).astype(np.int64)]
     for c, bits in zip((two, three, three | b4 << np.uint32(24), so_far), SPELL_BITS[1:], strict=True):
-        slots.append(_hashed(c[:, None], node, bits).ravel())
-    word = np.repeat(np.arange(len(words)), 8 * size)
-    return word, (b[:, None] >> _SHIFT & np.uint32(1)).ravel().astype(np.int32), slots, node.ravel().astype(np.int64)
+        slots.append(_lined(c.take(byte), salt, line, bits))
+    return np.repeat(np.arange(len(words)), size).take(byte), code.bit.take(place), slots, node.astype(np.int64)
 
 
-def spelling_scores(tables, mixer: Mixer, words: list[bytes]) -> np.ndarray:
+def spelling_scores(tables, mixer: Mixer, words: list[bytes], code: Code) -> np.ndarray:
     """Natural log of the probability of each word's spelling."""
-    word, bit, slots, node = spelling(words)
+    word, bit, slots, node = spelling(words, code)
     x, seen = tables.look(slots)
     p = mixer.predict(x, seen[4] * 8 + seen[2], node)[1]
     return np.bincount(word, np.log(np.where(bit == 1, p, 1 - p)), len(words))
@@ -416,7 +444,7 @@ def _some(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[tuple[pa.RecordBa
         yield batch.slice(at), words[at:]
 
 
-def _spellings(known: DataFrame, least: int) -> Callable[[DataFrame], DataFrame]:
+def _spellings(known: DataFrame, least: int, code: Code) -> Callable[[DataFrame], DataFrame]:
     """Learns the spelling of rare training tokens, by their number; gives what adds ``spell`` to words."""
     spark = known.sparkSession
     cores = spark.sparkContext.defaultParallelism
@@ -426,7 +454,7 @@ def _spellings(known: DataFrame, least: int) -> Callable[[DataFrame], DataFrame]
         counts = Counts(SPELL_BITS)
         for batch in batches:
             for part, words in _some(batch):
-                word, bit, slots, _ = spelling(words)
+                word, bit, slots, _ = spelling(words, code)
                 counts.add(slots, bit, part.column("c").to_numpy().astype(np.uint32)[word])
         yield from counts.rows()
 
@@ -437,13 +465,14 @@ def _spellings(known: DataFrame, least: int) -> Callable[[DataFrame], DataFrame]
         mixer = Mixer(len(SPELL_BITS))
         for batch in batches:
             for part, words in _some(batch, 200):
-                word, bit, slots, node = spelling(words)
+                word, bit, slots, node = spelling(words, code)
                 x, seen = [], []
                 for n, at in zip(sent.value, slots, strict=True):  # as if this occurrence had not been counted
-                    n0, n1 = n[2 * at].astype(np.float32) - (1 - bit), n[2 * at + 1].astype(np.float32) - bit
+                    both = n.view(np.uint64).take(at).view(np.uint32).reshape(-1, 2).astype(np.float32)
+                    n0, n1 = both[:, 0] - (1 - bit.astype(np.float32)), both[:, 1] - bit
                     x.append(stretched(n0, n1))
                     seen.append(level(n0 + n1))
-                mixer.learn([v.astype(np.float32) for v in x], seen[4] * 8 + seen[2], node, bit, part.column("c").to_numpy().astype(np.float32)[word])
+                mixer.learn(x, seen[4] * 8 + seen[2], node, bit, part.column("c").to_numpy().astype(np.float32)[word])
         yield _row(-1, TaskContext.get().partitionId(), b"", 0, [*mixer.state(), np.zeros(8).tobytes()])
 
     _, mixer, _ = _gathered(rare.mapInArrow(learn, _ROWS), SPELL_BITS, len(SPELL_BITS))
@@ -453,7 +482,7 @@ def _spellings(known: DataFrame, least: int) -> Callable[[DataFrame], DataFrame]
         for batch in batches:
             for part, words in _some(batch):
                 h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), part.column("c"), pa.array(spelling_scores(tables.value, mixer, words))], names=["h", "c", "spell"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), part.column("c"), pa.array(spelling_scores(tables.value, mixer, words, code))], names=["h", "c", "spell"])
 
     return lambda words: words.select("word", "c").mapInArrow(apply, "h long, c long, spell double")
 
@@ -553,7 +582,7 @@ def score(docs: DataFrame, folds: int = 7, out: int = 2) -> DataFrame:
     ready = spark.sparkContext.broadcast((tables, mixer, tally))
     known_counts = np.concatenate([[0, stops], counts]).astype(np.float64)
     base_of = spark.sparkContext.broadcast((np.log10((known_counts + 1) / (total + distinct + 1)), known_counts > 0))
-    rare = saved(_spellings(known, least)(known.where(~frequent & (F.col("word") != F.lit(END)))), "rare-words")
+    rare = saved(_spellings(known, least, letters(words, counts))(known.where(~frequent & (F.col("word") != F.lit(END)))), "rare-words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, (base, is_known), row = (*ready.value,), base_of.value, TaskContext.get().partitionId() << 32

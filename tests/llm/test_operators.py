@@ -218,25 +218,81 @@ def test_scores_count_every_token(spark, docs, none):
     assert all(r["score"] < 0 for r in got) and context_mixing.score(none).count() == 0
 
 
-def test_spelling_is_a_distribution():
-    mixer = context_mixing.Mixer()
-    tables = np.zeros((context_mixing.OFFSETS[-1], 2), np.float32)
-    _, bit, slots = context_mixing.bit_slots([b"ab", b"abc"])
-    for k in range(len(slots)):
-        np.add.at(tables, (slots[k], bit), 1)
-    p = np.exp(context_mixing.Speller(tables, mixer).log_probabilities([bytes([k]) for k in range(256) if k not in (9, 10, 11, 12, 13, 32)] + [b"\n"]))
-    assert 0 < p.sum() < 1
-
-
-def test_all_training_bytes_reach_the_weights(spark):
+def small_model(rows, bits=16):
+    some = [context_mixing.tokens((t or "").encode()) for t in rows]
+    c = Counter(w for ws in some for w in ws)
+    stops = c.pop(b"\n")
+    words = sorted((w for w, n in c.items() if n >= 3), key=lambda w: (-c[w], w))
+    counts = np.array([c[w] for w in words])
+    model = context_mixing.Tokens(words, counts, sum(c.values()) - int(counts.sum()), stops, bits)
+    n, mixer, tally = context_mixing.Counts((bits,) * 3), context_mixing.Mixer(4), np.zeros(8)
+    for at in range(0, len(some), 5):
+        context_mixing.learn_stream(model, n, mixer, tally, model.stream(some[at : at + 5]))
+    return some, words, counts, model, context_mixing.Tables([context_mixing.coded(x.reshape(-1, 2)) for x in n.n]), mixer, tally
+
+
+def test_next_token_is_a_distribution():
+    some, words, _, model, tables, mixer, tally = small_model([t for _, t, *_ in some_docs()])
+    one = mixer.predict([np.zeros(1, np.float32)] * 4, np.zeros(1, np.int64), np.zeros(1, np.int64))[1][0]
+    assert 0 < one < 1
+    for start in (some[0][:7], some[5][:-1], words[:1], []):
+        p = 0.0
+        for w in [*words, b"\n", b"never met"]:
+            s = model.stream([[*start, w]])
+            p += np.exp(context_mixing.score_stream(model, tables, mixer, np.zeros(8), s)[-1]) / (0.5 if len(s.told) and s.told[-1] and w == b"never met" else 1)
+        assert abs(p - 1) < 1e-5
+
+
+def test_texts_do_not_reach_into_each_other():
+    some, _, _, model, tables, mixer, tally = small_model([t for _, t, *_ in some_docs()])
+    s = model.stream(some)
+    whole = np.bincount(s.text, context_mixing.score_stream(model, tables, mixer, tally, s))
+    alone = [context_mixing.score_stream(model, tables, mixer, tally, model.stream([x])).sum() for x in some]
+    assert np.allclose(whole, alone, rtol=1e-5)
+
+
+def test_code_paths():
+    rng = np.random.default_rng(4)
+    for m in (2, 3, 50, 1000):
+        counts = rng.integers(1, 10_000, m)
+        code = context_mixing.Code(counts)
+        assert abs((0.5**code.size).sum() - 1) < 1e-12 and set(code.node.tolist()) == set(range(m - 1))
+        paths = {tuple(zip(code.node[s : s + n].tolist(), code.bit[s : s + n].tolist(), strict=True)) for s, n in zip(code.start, code.size, strict=True)}
+        assert len(paths) == m and all(p[0][0] == 0 for p in paths)
+        assert len({(int(x), int(y)) for x, y in zip(code.line, code.node, strict=True)}) == m - 1 == len(set(code.line.tolist()))
+        mean = (counts * code.size).sum() / counts.sum()
+        h = -(counts / counts.sum() * np.log2(counts / counts.sum())).sum()
+        assert h <= mean < h + 1
+
+
+def test_spelling_against_single_decisions():
+    words = [b"ab", b"abc", b"b", "é".encode(), b"abab" * 50]
+    code = context_mixing.letters(words, np.arange(1, 6))
+    n = context_mixing.Counts(context_mixing.SPELL_BITS)
+    word, bit, slots, node = context_mixing.spelling(words, code)
+    n.add(slots, bit)
+    tables, mixer = context_mixing.Tables([context_mixing.coded(x.reshape(-1, 2)) for x in n.n]), context_mixing.Mixer(5)
+    got = context_mixing.spelling_scores(tables, mixer, words, code)
+    want = np.zeros(len(words))
+    for k in range(len(bit)):
+        x, seen = tables.look([s[k : k + 1] for s in slots])
+        p = mixer.predict(x, seen[4] * 8 + seen[2], node[k : k + 1])[1][0]
+        want[word[k]] += math.log(p if bit[k] else 1 - p)
+    assert np.allclose(got, want, rtol=1e-5)
+    each = np.exp(context_mixing.spelling_scores(tables, mixer, [bytes([k]) for k in range(256) if k != 32], code))
+    assert 0 < each.sum() < 1 and len(bit) == sum(code.size[c] for w in words for c in w + b" ")
+
+
+def test_all_training_tokens_reach_the_weights(spark):
     rows = [(k, f"word{k} and " * (4000 if k == 3 else 5)) for k in range(12)] + [(None, "none")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    train, sizes = context_mixing._training(df, 7, 2), context_mixing.table_bits(14)
-    tables = context_mixing._tables(train, sizes)
-    mixer = context_mixing._mixer(train, spark.sparkContext.broadcast(tables), sizes)
-    own = [context_mixing.running(context_mixing.tokens(t.encode())) for k, t in rows if k is not None and zlib.crc32(str(k).encode()) % 7 != 2]
-    assert max(map(len, own)) > 16_384 and mixer.w_seen.sum() == 8 * sum(map(len, own)) == round(mixer.maps_seen.sum())
-    assert max(context_mixing.table_bits(3_600_000)) > max(context_mixing.table_bits(400_000)) > max(context_mixing.table_bits(1000))
+    own = [context_mixing.tokens(t.encode()) for k, t in rows if k is not None and zlib.crc32(str(k).encode()) % 7 != 2]
+    c = Counter(w for ws in own for w in ws)
+    model = context_mixing.Tokens([b"and"], np.array([c[b"and"]]), sum(c.values()) - c[b"and"] - len(own), len(own), 16)
+    tables, mixer, _ = context_mixing._learned(context_mixing._training(df, 7, 2), spark.sparkContext.broadcast(model), (16,) * 3)
+    decisions = sum(int(model.code.size[model.index.get(w, 0)]) for ws in own for w in ws)
+    assert mixer.w_seen.sum() == decisions == round(mixer.maps_seen.sum())
+    assert context_mixing.table_bits(3_600_000) > context_mixing.table_bits(400_000) > context_mixing.table_bits(1000)
 
 
 def test_order_of_words_changes_the_score(spark):

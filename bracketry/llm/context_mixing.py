@@ -32,15 +32,16 @@ END = b"\n"
 ESCAPE, STOP, FIRST = 0, 1, 2
 #: A token is a symbol of its own if it is at least one in 2**RARE_BITS of all training tokens (and met twice), so there are
 #: at most 2**RARE_BITS of them at any size.
-RARE_BITS = 20
+RARE_BITS = 18
 #: The most frequent tokens, the last of which is a context.
 MARKERS = 32
 #: Least and most log2 of the slots of a hashed table. Between them there are two slots or more a distinct token.
 LEAST_BITS, MOST_BITS = 16, 22
 #: log2 of the slots of the spelling's tables: 1, 2, 3 and 4 bytes before, and the word so far.
 SPELL_BITS = (16, 20, 20, 20, 20)
-#: Tokens (in whole texts) whose contexts are made at once, and decisions after which weights are corrected.
-BLOCK, STEP = 1 << 16, 1 << 13
+#: Tokens (in whole texts) whose contexts are made at once, and decisions that are handled at once. Weights are corrected
+#: after as many, at first after LEAST_STEP, then after a 32nd of those seen so far.
+BLOCK, STEP, LEAST_STEP = 1 << 16, 1 << 16, 1 << 11
 #: Levels of the code whose counts for a context lie side by side.
 GROUP = 4
 CHUNK = 1 << 16
@@ -132,32 +133,42 @@ class Mixer:
         self.maps = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, self.KNOTS))), (self.MAPS, 1)).astype(np.float32)
         self.w_seen, self.maps_seen = np.zeros(self.GATES), np.zeros(self.maps.shape)
 
-    def predict(self, x: list[np.ndarray], gate: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, ...]:
+    def mix(self, x: list[np.ndarray], gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The probability of a 1 before maps, and its place among the knots."""
         z = self.w[-1].take(gate)
         for w, row in zip(self.w, x):
-            z += w.take(gate) * row
+            part = w.take(gate)
+            part *= row
+            z += part
         np.clip(z, -8, 8, out=z)
         p = 1 / (1 + np.exp(-z))
-        at = (z + np.float32(8)) * np.float32((self.KNOTS - 1) / 16)
+        z += np.float32(8)
+        z *= np.float32((self.KNOTS - 1) / 16)
+        return p, z
+
+    def predict(self, x: list[np.ndarray], gate: np.ndarray, context: np.ndarray) -> np.ndarray:
+        p, at = self.mix(x, gate)
         lo = np.minimum(at.astype(np.int64), self.KNOTS - 2)
         f = at - lo.astype(np.float32)
         place = context * self.KNOTS + lo
-        a, b = self.maps.ravel().take(place), self.maps.ravel().take(place + 1)
-        return p, np.clip((p + a + (b - a) * f) / 2, 1e-6, 1 - 1e-6), place, f
+        maps = self.maps.ravel()
+        a, b = maps.take(place), maps.take(place + 1)
+        return np.clip((p + a + (b - a) * f) / 2, 1e-6, 1 - 1e-6)
 
     def learn(self, x: list[np.ndarray], gate: np.ndarray, context: np.ndarray, bit: np.ndarray, weight: np.ndarray | None = None) -> None:
-        p, _, place, f = self.predict(x, gate, context)
-        off, one = bit - p, np.ones(len(bit), np.float32) if weight is None else weight
-        off = off * one
-        n = np.bincount(gate, one, self.GATES)
+        p, at = self.mix(x, gate)
+        off = bit - p
+        if weight is not None:
+            off *= weight
+        n = np.bincount(gate, weight, self.GATES)
         g = np.stack([*(np.bincount(gate, row * off, self.GATES) for row in x), np.bincount(gate, off, self.GATES)]) / np.maximum(n, 1)
         self.square += g * g
         self.w += (0.1 * g / np.sqrt(self.square)).astype(np.float32)
         self.w_seen += n
-        size = self.maps.size
-        near = place + (f > 0.5)
-        seen = np.bincount(near, one, size).reshape(self.maps.shape)
-        ones = np.bincount(near, one * bit, size).reshape(self.maps.shape)
+        at += np.float32(0.5)
+        near, size = context * self.KNOTS + at.astype(np.int64), self.maps.size
+        seen = np.bincount(near, weight, size).reshape(self.maps.shape)
+        ones = np.bincount(near, bit if weight is None else weight * bit, size).reshape(self.maps.shape)
         self.maps += ((ones - seen * self.maps) / (self.maps_seen.clip(30, 30_000) + seen)).astype(np.float32)
         self.maps_seen += seen
 
@@ -231,13 +242,13 @@ class Stream:
         told = (self.guess[self.rare] == ESCAPE) if n else np.empty(0, bool)
         self.told, self.known = told, told & (id_[before[self.rare]] == id_[self.rare]) if n else told
 
-    def steps(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Token, place in the code and depth of some decisions at a time."""
+    def steps(self, step: Callable[[], int] = lambda: STEP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Token, place in the code and depth of some decisions at a time, about as many as asked for each time."""
         size = self.code.size[self.symbols]
         ends = np.cumsum(size)
         at = 0
         while at < len(size):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, side="right")))
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step(), side="right")))
             n = size[at:to]
             token = np.repeat(np.arange(at, to), n)
             depth = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
@@ -268,14 +279,17 @@ class Counts:
     def __init__(self, sizes: tuple[int, ...]):
         self.n = [np.zeros(2 << b, np.uint32) for b in sizes]
 
-    def look(self, slots: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        x, seen = [], []
-        for n, at in zip(self.n, slots, strict=True):
-            both = n.view(np.uint64).take(at).view(np.uint32).reshape(-1, 2).astype(np.float32)
-            log = np.log(both + np.float32(0.3))
-            x.append(log[:, 1] - log[:, 0])
-            seen.append(level(both[:, 0] + both[:, 1]))
-        return x, seen
+    def look(self, slots: list[np.ndarray], gates: tuple[int, int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Stretched predictions of all tables, and of two how much they have seen."""
+        x, seen = [], {}
+        for k, (n, at) in enumerate(zip(self.n, slots, strict=True)):
+            both = n.view(np.uint64).take(at).view(np.uint32).astype(np.float32)
+            both += np.float32(0.3)
+            if k in gates:
+                seen[k] = level(both[::2] + both[1::2])
+            np.log(both, out=both)
+            x.append(both[1::2] - both[::2])
+        return x, [seen[k] for k in gates]
 
     def add(self, slots: list[np.ndarray], bit: np.ndarray, weight: np.ndarray | None = None) -> None:
         for n, at in zip(self.n, slots, strict=True):
@@ -299,9 +313,9 @@ class Tables:
     def __init__(self, codes: list[np.ndarray]):
         self.codes = codes
 
-    def look(self, slots: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def look(self, slots: list[np.ndarray], gates: tuple[int, int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         got = [c.take(at) for c, at in zip(self.codes, slots, strict=True)]
-        return [_DECODED.take(g) for g in got], [(g & 7).astype(np.int64) for g in got]
+        return [_DECODED.take(g) for g in got], [(got[k] & 7).astype(np.int64) for k in gates]
 
 
 _ROWS = "part int, chunk int, n binary, bytes long, state array<binary>"
@@ -362,13 +376,13 @@ class Tokens:
 
 def _inputs(tokens_: Tokens, tables, stream: Stream, step: tuple) -> tuple:
     bit, slots, match, sure, node = stream.bits(*step, tokens_.bits)
-    x, seen = tables.look(slots)
-    return bit, slots, [*x, match], sure * 64 + seen[2] * 8 + seen[1], np.minimum(node, Mixer.MAPS - 1).astype(np.int64)
+    x, (high, low) = tables.look(slots, (2, 1))
+    return bit, slots, [*x, match], sure * 64 + high * 8 + low, np.minimum(node, Mixer.MAPS - 1).astype(np.int64)
 
 
 def learn_stream(tokens_: Tokens, counts: Counts, mixer: Mixer, tally: np.ndarray, stream: Stream) -> None:
     """Predicts, corrects weights and maps, then counts. The tally is of rare words that a match tells wrongly and rightly, by its sureness."""
-    for step in stream.steps():
+    for step in stream.steps(lambda: int(min(max(mixer.w_seen.sum() / 32, LEAST_STEP), STEP))):
         bit, slots, x, gate, context = _inputs(tokens_, counts, stream, step)
         mixer.learn(x, gate, context, bit)
         counts.add(slots, bit)
@@ -381,8 +395,10 @@ def score_stream(tokens_: Tokens, tables, mixer: Mixer, tally: np.ndarray, strea
     out = np.zeros(len(stream.symbols))
     for step in stream.steps():
         bit, _, x, gate, context = _inputs(tokens_, tables, stream, step)
-        p = mixer.predict(x, gate, context)[1]
-        out += np.bincount(step[0], np.log(np.where(bit == 1, p, 1 - p)), len(out))
+        p = mixer.predict(x, gate, context)
+        first = step[0][0]
+        got = np.bincount(step[0] - first, np.log(np.where(bit == 1, p, 1 - p)))
+        out[first : first + len(got)] = got
     sure = stream.sure[stream.rare[stream.told]]
     right = (tally[1::2] + 0.5) / (tally[::2] + tally[1::2] + 1)
     out[stream.rare[stream.told]] += np.log(np.where(stream.known[stream.told], right[sure], 1 - right[sure]))
@@ -427,8 +443,8 @@ def spelling(words: list[bytes], code: Code) -> tuple[np.ndarray, np.ndarray, li
 def spelling_scores(tables, mixer: Mixer, words: list[bytes], code: Code) -> np.ndarray:
     """Natural log of the probability of each word's spelling."""
     word, bit, slots, node = spelling(words, code)
-    x, seen = tables.look(slots)
-    p = mixer.predict(x, seen[4] * 8 + seen[2], node)[1]
+    x, (high, low) = tables.look(slots, (4, 2))
+    p = mixer.predict(x, high * 8 + low, node)
     return np.bincount(word, np.log(np.where(bit == 1, p, 1 - p)), len(words))
 
 
@@ -466,12 +482,13 @@ def _spellings(known: DataFrame, least: int, code: Code) -> Callable[[DataFrame]
         for batch in batches:
             for part, words in _some(batch, 200):
                 word, bit, slots, node = spelling(words, code)
-                x, seen = [], []
-                for n, at in zip(sent.value, slots, strict=True):  # as if this occurrence had not been counted
+                x, seen = [], {}
+                for k, (n, at) in enumerate(zip(sent.value, slots, strict=True)):  # as if this occurrence had not been counted
                     both = n.view(np.uint64).take(at).view(np.uint32).reshape(-1, 2).astype(np.float32)
                     n0, n1 = both[:, 0] - (1 - bit.astype(np.float32)), both[:, 1] - bit
                     x.append(stretched(n0, n1))
-                    seen.append(level(n0 + n1))
+                    if k in (2, 4):
+                        seen[k] = level(n0 + n1)
                 mixer.learn(x, seen[4] * 8 + seen[2], node, bit, part.column("c").to_numpy().astype(np.float32)[word])
         yield _row(-1, TaskContext.get().partitionId(), b"", 0, [*mixer.state(), np.zeros(8).tobytes()])
 

@@ -233,7 +233,7 @@ def small_model(rows, bits=16):
 
 def test_next_token_is_a_distribution():
     some, words, _, model, tables, mixer, tally = small_model([t for _, t, *_ in some_docs()])
-    one = mixer.predict([np.zeros(1, np.float32)] * 4, np.zeros(1, np.int64), np.zeros(1, np.int64))[1][0]
+    one = mixer.predict([np.zeros(1, np.float32)] * 4, np.zeros(1, np.int64), np.zeros(1, np.int64))[0]
     assert 0 < one < 1
     for start in (some[0][:7], some[5][:-1], words[:1], []):
         p = 0.0
@@ -275,8 +275,8 @@ def test_spelling_against_single_decisions():
     got = context_mixing.spelling_scores(tables, mixer, words, code)
     want = np.zeros(len(words))
     for k in range(len(bit)):
-        x, seen = tables.look([s[k : k + 1] for s in slots])
-        p = mixer.predict(x, seen[4] * 8 + seen[2], node[k : k + 1])[1][0]
+        x, (high, low) = tables.look([s[k : k + 1] for s in slots], (4, 2))
+        p = mixer.predict(x, high * 8 + low, node[k : k + 1])[0]
         want[word[k]] += math.log(p if bit[k] else 1 - p)
     assert np.allclose(got, want, rtol=1e-5)
     each = np.exp(context_mixing.spelling_scores(tables, mixer, [bytes([k]) for k in range(256) if k != 32], code))

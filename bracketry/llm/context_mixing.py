@@ -32,7 +32,7 @@ END = b"\n"
 ESCAPE, STOP, FIRST = 0, 1, 2
 #: A token is a symbol of its own if it is at least one in 2**RARE_BITS of all training tokens (and met twice), so there are
 #: at most 2**RARE_BITS of them at any size.
-RARE_BITS = 18
+RARE_BITS = 17
 #: The most frequent tokens, the last of which is a context.
 MARKERS = 32
 #: Least and most log2 of the slots of a hashed table. Between them there are two slots or more a distinct token.
@@ -118,13 +118,14 @@ class Code:
         for k in range(GROUP - 1):
             on = depth % GROUP > k
             place[on] = 2 * place[on] + self.bit[first[on] + k]
-        self.line = self.node[first].astype(np.uint32) << np.uint32(GROUP) | place
+        self.salt, self.within = (self.node[first].astype(np.uint32) + np.uint32(1)) * _C1, place
+        self.context = np.minimum(self.node, Mixer.MAPS - 1).astype(np.int64)
 
 
 class Mixer:
     """Weights by gate and adaptive maps by context."""
 
-    KNOTS, GATES, MAPS = 24, 256, 256
+    KNOTS, GATES, MAPS = 49, 256, 256
 
     def __init__(self, inputs: int):
         self.w = np.full((inputs + 1, self.GATES), 0.35, np.float32)
@@ -134,7 +135,7 @@ class Mixer:
         self.w_seen, self.maps_seen = np.zeros(self.GATES), np.zeros(self.maps.shape)
 
     def mix(self, x: list[np.ndarray], gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The probability of a 1 before maps, and its place among the knots."""
+        """The probability of a 1 before maps, and the knot next to it."""
         z = self.w[-1].take(gate)
         for w, row in zip(self.w, x):
             part = w.take(gate)
@@ -144,19 +145,18 @@ class Mixer:
         p = 1 / (1 + np.exp(-z))
         z += np.float32(8)
         z *= np.float32((self.KNOTS - 1) / 16)
-        return p, z
+        z += np.float32(0.5)
+        return p, z.astype(np.int64)
 
     def predict(self, x: list[np.ndarray], gate: np.ndarray, context: np.ndarray) -> np.ndarray:
-        p, at = self.mix(x, gate)
-        lo = np.minimum(at.astype(np.int64), self.KNOTS - 2)
-        f = at - lo.astype(np.float32)
-        place = context * self.KNOTS + lo
-        maps = self.maps.ravel()
-        a, b = maps.take(place), maps.take(place + 1)
-        return np.clip((p + a + (b - a) * f) / 2, 1e-6, 1 - 1e-6)
+        p, near = self.mix(x, gate)
+        near += context * self.KNOTS
+        p += self.maps.ravel().take(near)
+        p *= np.float32(0.5)
+        return p
 
     def learn(self, x: list[np.ndarray], gate: np.ndarray, context: np.ndarray, bit: np.ndarray, weight: np.ndarray | None = None) -> None:
-        p, at = self.mix(x, gate)
+        p, near = self.mix(x, gate)
         off = bit - p
         if weight is not None:
             off *= weight
@@ -165,8 +165,8 @@ class Mixer:
         self.square += g * g
         self.w += (0.1 * g / np.sqrt(self.square)).astype(np.float32)
         self.w_seen += n
-        at += np.float32(0.5)
-        near, size = context * self.KNOTS + at.astype(np.int64), self.maps.size
+        near += context * self.KNOTS
+        size = self.maps.size
         seen = np.bincount(near, weight, size).reshape(self.maps.shape)
         ones = np.bincount(near, bit if weight is None else weight * bit, size).reshape(self.maps.shape)
         self.maps += ((ones - seen * self.maps) / (self.maps_seen.clip(30, 30_000) + seen)).astype(np.float32)
@@ -191,19 +191,12 @@ def merged(states: list[list[bytes]], inputs: int) -> Mixer:
     return out
 
 
-def _hashed(context: np.ndarray, salt: np.ndarray, bits: int) -> np.ndarray:
+def _lined(context: np.ndarray, salt: np.ndarray, within: np.ndarray, bits: int) -> np.ndarray:
+    """Slots of a line for each context and group, in an order of its own. Contexts are hashes already."""
     x = context ^ salt
     x *= _C2
-    x ^= x >> np.uint32(15)
-    x *= _C3
     x >>= np.uint32(32 - bits)
-    return x
-
-
-def _lined(context: np.ndarray, salt: np.ndarray, place: np.ndarray, bits: int) -> np.ndarray:
-    """Slots of a line for each context and group, in an order of its own."""
-    x = _hashed(context, salt, bits)
-    x ^= place
+    x ^= within
     return x.astype(np.int64)
 
 
@@ -242,8 +235,8 @@ class Stream:
         told = (self.guess[self.rare] == ESCAPE) if n else np.empty(0, bool)
         self.told, self.known = told, told & (id_[before[self.rare]] == id_[self.rare]) if n else told
 
-    def steps(self, step: Callable[[], int] = lambda: STEP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Token, place in the code and depth of some decisions at a time, about as many as asked for each time."""
+    def steps(self, step: Callable[[], int] = lambda: STEP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Token and place in the code of some decisions at a time, about as many as asked for each time."""
         size = self.code.size[self.symbols]
         ends = np.cumsum(size)
         at = 0
@@ -251,26 +244,26 @@ class Stream:
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step(), side="right")))
             n = size[at:to]
             token = np.repeat(np.arange(at, to), n)
-            depth = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
-            yield token, self.code.start[self.symbols[token]] + depth, depth
+            place = np.arange(len(token))
+            place += np.repeat(self.code.start[self.symbols[at:to]] - np.cumsum(n) + n, n)
+            yield token, place
             at = to
 
-    def bits(self, token: np.ndarray, place: np.ndarray, depth: np.ndarray, size: int) -> tuple:
-        """Bit, slots of the three tables, the match's input, its sureness and node of each decision."""
-        node, line = self.code.node.take(place), self.code.line.take(place)
-        salt = (line >> np.uint32(GROUP)) * _C1
-        line &= np.uint32((1 << GROUP) - 1)
-        slots = [_lined(c.take(token), salt, line, size) for c in self.contexts]
+    def bits(self, token: np.ndarray, place: np.ndarray, size: int) -> tuple:
+        """Bit, slots of the tables, the match's input and its sureness of each decision."""
+        salt, within = self.code.salt.take(place), self.code.within.take(place)
+        slots = [_lined(c.take(token), salt, within, size) for c in self.contexts]
         sure = self.sure.take(token)
         met = np.flatnonzero(sure)
-        x, sure_ = np.zeros(len(token), np.float32), np.zeros(len(token), np.int64)
+        x = np.zeros(len(token), np.float32)
         if len(met):
-            g, d = self.guess[token[met]], depth[met]
+            g, s, at = self.guess[token[met]], self.symbols[token[met]], place[met]
+            d = at - self.code.start[s]
             to = self.code.start[g] + np.minimum(d, self.code.size[g] - 1)
-            agrees = (d < self.code.size[g]) & (self.code.node[to] == node[met])
+            agrees = (d < self.code.size[g]) & (self.code.node[to] == self.code.node[at])
             x[met] = np.where(agrees, self.code.bit[to] * np.float32(4) - np.float32(2), 0)
-            sure_[met] = np.where(agrees, sure[met], 0)
-        return self.code.bit.take(place), slots, x, sure_, node
+            sure[met] *= agrees
+        return self.code.bit.take(place), slots, x, sure
 
 
 class Counts:
@@ -315,7 +308,7 @@ class Tables:
 
     def look(self, slots: list[np.ndarray], gates: tuple[int, int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         got = [c.take(at) for c, at in zip(self.codes, slots, strict=True)]
-        return [_DECODED.take(g) for g in got], [(got[k] & 7).astype(np.int64) for k in gates]
+        return [_DECODED.take(g) for g in got], [got[k] & np.uint16(7) for k in gates]
 
 
 _ROWS = "part int, chunk int, n binary, bytes long, state array<binary>"
@@ -375,9 +368,13 @@ class Tokens:
 
 
 def _inputs(tokens_: Tokens, tables, stream: Stream, step: tuple) -> tuple:
-    bit, slots, match, sure, node = stream.bits(*step, tokens_.bits)
+    bit, slots, match, gate = stream.bits(*step, tokens_.bits)
     x, (high, low) = tables.look(slots, (2, 1))
-    return bit, slots, [*x, match], sure * 64 + high * 8 + low, np.minimum(node, Mixer.MAPS - 1).astype(np.int64)
+    gate *= 8
+    gate += high
+    gate *= 8
+    gate += low
+    return bit, slots, [*x, match], gate, tokens_.code.context.take(step[1])
 
 
 def learn_stream(tokens_: Tokens, counts: Counts, mixer: Mixer, tally: np.ndarray, stream: Stream) -> None:
@@ -431,12 +428,12 @@ def spelling(words: list[bytes], code: Code) -> tuple[np.ndarray, np.ndarray, li
     each = code.size[b]
     byte = np.repeat(at, each)
     place = code.start[b[byte]] + np.arange(len(byte)) - np.repeat(np.cumsum(each) - each, each)
-    node, line = code.node.take(place), code.line.take(place)
-    salt = (line >> np.uint32(GROUP)) * _C1
-    line &= np.uint32((1 << GROUP) - 1)
+    node, salt, within = code.node.take(place), code.salt.take(place), code.within.take(place)
     slots = [(b1.take(byte) << np.uint32(8) | node.astype(np.uint32)).astype(np.int64)]
     for c, bits in zip((two, three, three | b4 << np.uint32(24), so_far), SPELL_BITS[1:], strict=True):
-        slots.append(_lined(c.take(byte), salt, line, bits))
+        c = c * _C3
+        c ^= c >> np.uint32(15)
+        slots.append(_lined(c.take(byte), salt, within, bits))
     return np.repeat(np.arange(len(words)), size).take(byte), code.bit.take(place), slots, node.astype(np.int64)
 
 
@@ -444,7 +441,7 @@ def spelling_scores(tables, mixer: Mixer, words: list[bytes], code: Code) -> np.
     """Natural log of the probability of each word's spelling."""
     word, bit, slots, node = spelling(words, code)
     x, (high, low) = tables.look(slots, (4, 2))
-    p = mixer.predict(x, high * 8 + low, node)
+    p = mixer.predict(x, high.astype(np.int64) * 8 + low, node)
     return np.bincount(word, np.log(np.where(bit == 1, p, 1 - p)), len(words))
 
 

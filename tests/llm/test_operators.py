@@ -259,7 +259,8 @@ def test_code_paths():
         assert abs((0.5**code.size).sum() - 1) < 1e-12 and set(code.node.tolist()) == set(range(m - 1))
         paths = {tuple(zip(code.node[s : s + n].tolist(), code.bit[s : s + n].tolist(), strict=True)) for s, n in zip(code.start, code.size, strict=True)}
         assert len(paths) == m and all(p[0][0] == 0 for p in paths)
-        assert len({(int(x), int(y)) for x, y in zip(code.line, code.node, strict=True)}) == m - 1 == len(set(code.line.tolist()))
+        lines = set(zip(code.salt.tolist(), code.within.tolist(), strict=True))
+        assert len(lines) == m - 1 and max(code.within) < 1 << context_mixing.GROUP
         mean = (counts * code.size).sum() / counts.sum()
         h = -(counts / counts.sum() * np.log2(counts / counts.sum())).sum()
         assert h <= mean < h + 1
@@ -276,7 +277,7 @@ def test_spelling_against_single_decisions():
     want = np.zeros(len(words))
     for k in range(len(bit)):
         x, (high, low) = tables.look([s[k : k + 1] for s in slots], (4, 2))
-        p = mixer.predict(x, high * 8 + low, node[k : k + 1])[0]
+        p = mixer.predict(x, high.astype(np.int64) * 8 + low, node[k : k + 1])[0]
         want[word[k]] += math.log(p if bit[k] else 1 - p)
     assert np.allclose(got, want, rtol=1e-5)
     each = np.exp(context_mixing.spelling_scores(tables, mixer, [bytes([k]) for k in range(256) if k != 32], code))

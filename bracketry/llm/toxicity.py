@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: only documents are labelled, sentences are scored.
 
-A sentence's probability is logistic in its words; a document's is the noisy-or of its sentences, 1 - prod(1 - p). The
-weights are fitted to the documents' labels; the sentences of high probability are then the offending ones.
+A sentence's probability is logistic in its words, and 0 without any word that the model knows, so that a text does not
+become likelier toxic by its length alone; a document's is the noisy-or of its sentences, 1 - prod(1 - p), those of the same words once. The weights are
+fitted to the documents' labels; the sentences of high probability are then the offending ones.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bracketry.llm.common import held_out, table, texts
+from bracketry.llm.common import held_out, sliced, table, texts
 from bracketry.llm.quality_crf import sample
 
 #: Labelled documents to fit on at most, and the bytes of a text to be among them.
@@ -23,6 +24,8 @@ SAMPLE, SAMPLE_BYTES = 5_000, 16_384
 #: errors over the others', the strongest first. A feature is a word or the first 4, 5 or 6 bytes of a longer one.
 VOCABULARY, MIN_DOCS, MIN_Z = 2_000, 6, 5.0
 PREFIXES = (4, 5, 6)
+#: Bound of the bias, so that a word of little weight is no evidence.
+MOST_BIAS = -2.0
 THRESHOLD, OFFENDING = 0.7, 0.5
 
 _END = b".!?\n\r"
@@ -35,8 +38,9 @@ def sentences(text: bytes) -> list[bytes]:
     return [s for s in text.translate(_TABLE).split(b"\n") if not s.isspace() and s]
 
 
-def bags(text: bytes) -> list[set[bytes]]:
-    return [set(s.split()) for s in sentences(text)]
+def bags(text: bytes) -> list[frozenset[bytes]]:
+    """The distinct sets of words of the sentences."""
+    return list(dict.fromkeys(frozenset(s.split()) for s in sentences(text)))
 
 
 def features(word: bytes) -> list[bytes]:
@@ -69,12 +73,13 @@ def choose(documents: Iterator[set[bytes]], labels: np.ndarray) -> list[bytes]:
 
 
 def fit(docs: list[list[set[bytes]]], labels: np.ndarray, steps: int = 500, l2: float = 1e-5) -> dict:
-    """Weights of words and a bias, by Adam on the documents' likelihood. One class only: the rate of toxic documents, as a bias."""
+    """Weights of words and a bias, by Adam on the documents' likelihood. Without labels of both
+    classes the model knows no word, and all scores are 0."""
     if len(set(labels.tolist())) < 2:
-        return {"words": {}, "bias": -12.0 if not len(labels) or not labels.any() else 2.0}
+        return {"words": {}, "bias": -12.0}
     whole = ({f for s in d for w in s for f in features(w)} for d in docs)
     index = {w: k for k, w in enumerate(choose(whole, labels))}
-    at, word, doc_of, plain = [], [], [], np.zeros(len(docs))  # sentences with words of the index; of the others only the number matters
+    at, word, doc_of = [], [], []  # of sentences with words of the index
     n = 0
     for k, d in enumerate(docs):
         for s in d:
@@ -83,23 +88,21 @@ def fit(docs: list[list[set[bytes]]], labels: np.ndarray, steps: int = 500, l2:
                 word += found
                 doc_of.append(k)
                 n += 1
-            else:
-                plain[k] += 1
     at, word, doc_of = np.array(at, np.int64), np.array(word, np.int64), np.array(doc_of, np.int64)
     w, bias = np.zeros(len(index)), -4.0
     m = v = np.zeros(len(w) + 1)
     y, size = labels.astype(float), len(docs)
     for k in range(1, steps + 1):
         x = np.clip(bias + np.bincount(at, w[word], n), -30, 30)
-        p, p0 = 1 / (1 + np.exp(-x)), 1 / (1 + np.exp(-bias))
-        none = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), size) + plain * np.log1p(-p0)  # log P(no sentence is toxic)
+        p = 1 / (1 + np.exp(-x))
+        none = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), size)  # log P(no sentence is toxic)
         none = np.minimum(none, -1e-9)
         d_none = (1 - y) - y * np.exp(none) / -np.expm1(none)  # of the log likelihood
         d_x = -p * d_none[doc_of]
-        g = np.append(np.bincount(word, d_x[at], len(w)), d_x.sum() - p0 * (plain @ d_none)) / size - l2 * np.append(w, 0.0)
+        g = np.append(np.bincount(word, d_x[at], len(w)), d_x.sum()) / size - l2 * np.append(w, 0.0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-10)
-        w, bias = w + step[:-1], min(bias + step[-1], -2.0)
+        w, bias = w + step[:-1], min(bias + step[-1], MOST_BIAS)
     return {"words": {x: float(w[k]) for x, k in index.items() if abs(w[k]) > 1e-3}, "bias": float(bias)}
 
 
@@ -107,19 +110,25 @@ def sentence_scores(model: dict, text: bytes, weights: _Weights | None = None) -
     """P(toxic) of each sentence; a text without any has one empty sentence. A word counts once a sentence."""
     weight = (weights if weights is not None else _Weights(model)).__getitem__
     own = sentences(text)
+    p = np.zeros(max(1, len(own)))
     if any(map(weight, set(text.translate(_TABLE).split()))):
-        x = np.array([sum(map(weight, set(s.split()))) for s in own])
-    else:
-        x = np.zeros(max(1, len(own)))
-    return 1 / (1 + np.exp(-np.clip(model["bias"] + x, -30, 30)))
+        for k, s in enumerate(own):
+            if found := sorted(w for w in map(weight, set(s.split())) if w):
+                p[k] = 1 / (1 + np.exp(-np.clip(model["bias"] + sum(found), -30, 30)))
+    return p
 
 
-def noisy_or(p: np.ndarray) -> float:
+def noisy_or(text: bytes, p: np.ndarray) -> float:
+    """1 - prod(1 - p) over the sentences of different words."""
+    if not p.any():
+        return 0.0
+    own = sentences(text)
+    p = np.array(list({frozenset(own[k].split()): p[k] for k in np.flatnonzero(p)}.values()))
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
 def document_score(model: dict, text: bytes, weights: _Weights | None = None) -> float:
-    return noisy_or(sentence_scores(model, text, weights))
+    return noisy_or(text, sentence_scores(model, text, weights))
 
 
 def offending(text: bytes, p: np.ndarray) -> list[dict]:
@@ -135,7 +144,8 @@ def offending(text: bytes, p: np.ndarray) -> list[dict]:
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, rows: int = SAMPLE) -> dict:
-    """The model, fitted on the driver on at most ``rows`` texts of at most SAMPLE_BYTES."""
+    """The model, fitted on the driver on at most ``rows`` texts of at most SAMPLE_BYTES. Null texts are empty, copies with
+    the same label count once, null labels and other columns are not read; an empty table gives the model without words."""
     got = sample(docs, labels, "toxic", folds, out, rows, SAMPLE_BYTES).toArrow().slice(0, 2 * rows).combine_chunks()
     pairs = sorted(set(zip(texts(got), got.column("label").to_pylist(), strict=True)))  # copies count once
     return fit([bags(t) for t, _ in pairs], np.array([y for _, y in pairs], np.int64))
@@ -148,11 +158,11 @@ def apply(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = _Weights(sent.value)
-        for batch in batches:
+        for batch in sliced(batches):
             scores, found = [], []
             for t in texts(batch):
                 p = sentence_scores(sent.value, t, weights)
-                scores.append(noisy_or(p))
+                scores.append(noisy_or(t, p))
                 found.append(offending(t, p) if p.max() >= OFFENDING else [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(found, spans)], names=["doc_id", "score", "sentences"])
 
@@ -165,7 +175,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = _Weights(sent.value)
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array([document_score(sent.value, t, weights) < threshold for t in texts(batch)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

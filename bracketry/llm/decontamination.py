@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bracketry.llm.common import saved, small, table
+from bracketry.llm.common import salt, saved, small, spread_over, table
 
 N = 10
 #: Windows of the benchmark that are broadcast; a larger benchmark is joined by a shuffle on the windows' hashes.
 BROADCAST_WINDOWS = 1_000_000
+#: Tasks that the rows of one text are spread over where they meet its hits.
+SALTS = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -40,16 +42,23 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     lengths = sorted(r[0] for r in grams.select("k").distinct().collect())  # n values at most
     if not lengths:
         return docs.select(_key("text").alias("__key"), F.array().cast("array<int>").alias("positions"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_hit")).limit(0)
-    if small(grams, BROADCAST_WINDOWS):
+    near = small(grams, BROADCAST_WINDOWS)
+    if near:
         grams = F.broadcast(grams)
     # explode_outer: for explode, Spark would infer a filter on the windows and compute them twice. The windows are a
     # column of their own, so that explode and join compile into one loop which
     # copies neither a text's words nor its windows unless a hash is met
     split = docs.select(_key("text").alias("__key"), words("text").alias("w"))
     split = split.select("__key", "w", F.concat(*(_windows(F.col("w"), k) for k in lengths)).alias("at"))
-    at = split.select("__key", "w", F.explode_outer("at").alias("x"))
-    same = (F.col("x.h") == F.col("h")) & (F.col("x.k") == F.col("k")) & (F.slice("w", F.col("x.i") + 1, F.col("k")) == F.col("gram"))
-    rows = at.join(grams, same).select("__key", F.col("x.i").alias("i"), "k", "item_id")
+    met = (F.col("x.h") == F.col("h")) & (F.col("x.k") == F.col("k"))
+    if near:
+        at = split.select("__key", "w", F.explode_outer("at").alias("x"))
+        rows = at.join(grams, met & (F.slice("w", F.col("x.i") + 1, F.col("k")) == F.col("gram"))).select("__key", F.col("x.i").alias("i"), "k", "item_id")
+    else:
+        # windows go to the grams without their texts; a text's words are joined back, for texts that met a hash only
+        at = split.select("__key", F.explode_outer("at").alias("x")).join(grams, met).select(F.col("__key").alias("hit_key"), F.col("x.i").alias("i"), "k", "item_id", "gram").distinct()
+        rows = at.join(split.select("__key", "w").dropDuplicates(["__key"]), F.col("hit_key") == F.col("__key"))
+        rows = rows.where(F.slice("w", F.col("i") + 1, F.col("k")) == F.col("gram")).select("__key", "i", "k", "item_id")
     spots = rows.groupBy("__key").agg(F.collect_set(F.struct("i", "k")).alias("s"), F.sort_array(F.collect_set("item_id")).alias("items"))
     covered = F.array_distinct(F.flatten(F.transform("s", lambda x: F.sequence(x["i"], x["i"] + x["k"] - 1))))
     return spots.select("__key", covered.alias("positions"), "items").withColumn("n_hit", F.size("positions").cast("long"))
@@ -59,14 +68,21 @@ def _key(text: str):
     return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
 
 
+def _salt(docs: DataFrame):
+    """By the other columns, so that copies of a text are told apart."""
+    plain = [c for c, kind in docs.dtypes if c.lower() != "text" and not kind.startswith("map")]
+    return salt(SALTS, *plain)
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """``docs`` with n_words, n_hit, positions, items, n_items, items_sha256, contaminated. Rows stay, repeated ones too; a null text has no words."""
     new = ["n_words", "n_hit", "positions", "items", "n_items", "items_sha256", "contaminated"]
     kept = docs.drop(*(c for c in docs.columns if c.lower() in new))
-    found = hits(docs, benchmark, n).withColumnRenamed("__key", "__hit_key")
-    joined = kept.withColumns({"__key": _key("text"), "n_words": F.size(words("text")).cast("long")}).join(found, F.col("__key") == F.col("__hit_key"), "left")
+    found = spread_over(hits(docs, benchmark, n), SALTS).withColumnsRenamed({"__key": "__hit_key", "__salt": "__hit_salt"})
+    keyed = kept.withColumns({"__key": _key("text"), "__salt": _salt(kept), "n_words": F.size(words("text")).cast("long")})
+    joined = keyed.join(found, (F.col("__key") == F.col("__hit_key")) & (F.col("__salt") == F.col("__hit_salt")), "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return joined.drop("__key", "__hit_key").withColumns(
+    return joined.drop("__key", "__hit_key", "__salt", "__hit_salt").withColumns(
         {
             "n_hit": F.coalesce("n_hit", F.lit(0).cast("long")),
             "positions": F.coalesce("positions", F.array().cast("array<int>")),
@@ -80,8 +96,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """The rows of ``docs`` without any hit, in their own columns."""
-    found = hits(docs, benchmark, n).select("__key")
-    return docs.withColumn("__key", _key("text")).join(found, "__key", "left_anti").select(*docs.columns)
+    found = spread_over(hits(docs, benchmark, n).select("__key"), SALTS)
+    return docs.withColumns({"__key": _key("text"), "__salt": _salt(docs)}).join(found, ["__key", "__salt"], "left_anti").select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bracketry.llm.common import ASCII_LOWER, saved, table, texts
+from bracketry.llm.common import ASCII_LOWER, salt, saved, sliced, spread_over, table, texts
 
 SHINGLE, PERCENT = 5, 80
 MIN_BITS = 512
@@ -31,6 +31,8 @@ PIVOTS = 8
 FIRST_KEYS = 4
 #: Bits for an involved document in the filter that is sent to the scan; beyond FILTER_BYTES all documents' arrays are joined.
 FILTER_BITS, FILTER_BYTES = 12, 64 << 20
+#: Tasks that the documents of one shingle are spread over where they meet its pivots or its main component.
+SALTS = 16
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -142,13 +144,6 @@ def level_of(count: np.ndarray) -> np.ndarray:
     return np.minimum(8 * np.log2(1.0 + count), 255).astype(np.uint8)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The same in batches of so many rows at most, so that few texts are held as Python objects at once."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _sets(docs: DataFrame) -> DataFrame:
     """doc_id, n, fp of every row, and of each task its counters of distinct sets' shingles, block by block."""
     import xxhash
@@ -311,11 +306,13 @@ def _mixed(postings: DataFrame) -> DataFrame:
     return saved(hot.join(mixed, "h", "left_semi"), "hot-postings")
 
 
-def _met(x: DataFrame, others: DataFrame) -> DataFrame:
-    """Pairs (a, b) of x (h, x, xn, xc, xp) and others that share h, of different comps, of sizes and places that can link."""
+def _met(x: DataFrame, others: DataFrame, spread: bool = False) -> DataFrame:
+    """Pairs (a, b) of x (h, x, xn, xc, xp) and others that share h, of different comps, of sizes and places that can link.
+    With ``spread`` others are few a shingle, and x is dealt over tasks by salts."""
     later = F.least(F.col("n") - F.col("place"), F.col("xn") - F.col("xp"))
     fit = (F.col("xc") != F.col("comp")) & (100 * F.least("n", "xn") >= PERCENT * F.greatest("n", "xn")) & ((100 + PERCENT) * later >= PERCENT * (F.col("n") + F.col("xn")))
-    return x.join(others, "h").where(fit).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+    both = x.withColumn("__salt", salt(SALTS, "x")).join(spread_over(others, SALTS), ["h", "__salt"]) if spread else x.join(others, "h")
+    return both.where(fit).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
 
 
 def _as_x(postings: DataFrame) -> DataFrame:
@@ -327,17 +324,21 @@ def _main(mixed: DataFrame) -> DataFrame:
     return mixed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max(F.struct("c", "comp")).alias("m")).select("h", F.col("m.comp").alias("main"))
 
 
+def _with_main(mixed: DataFrame) -> DataFrame:
+    return mixed.withColumn("__salt", salt(SALTS, "id")).join(spread_over(_main(mixed), SALTS), ["h", "__salt"]).drop("__salt")
+
+
 def _pivot_pairs(mixed: DataFrame) -> DataFrame:
     """A few documents of each common shingle's main comp, the same ones wherever they can be, meet those of other comps."""
-    own = mixed.join(_main(mixed), "h")
+    own = _with_main(mixed)
     row = F.struct("id", "n", "comp", "place")
     pivots = own.where("comp = main").groupBy("h", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("k")).agg(F.min_by(row, F.xxhash64("id")).alias("p")).select("h", "p.*")
-    return _met(_as_x(own.where("comp <> main")), pivots)
+    return _met(_as_x(own.where("comp <> main")), pivots, spread=True)
 
 
 def _hot_pairs(mixed: DataFrame) -> DataFrame:
     """Of each common shingle's documents those outside its main comp meet all those of other comps."""
-    return _met(_as_x(mixed.join(_main(mixed), "h").where("comp <> main")), mixed)
+    return _met(_as_x(_with_main(mixed).where("comp <> main")), mixed)
 
 
 def _possible(pairs: DataFrame, lite: DataFrame) -> DataFrame:
@@ -427,7 +428,7 @@ def groups(docs: DataFrame) -> DataFrame:
 
     keys = _first_keys(classes)
     pivots = keys.groupBy("h").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "p")
-    stars = keys.join(pivots, "h").where("id <> p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
+    stars = keys.withColumn("__salt", salt(SALTS, "id")).join(spread_over(pivots, SALTS), ["h", "__salt"]).where("id <> p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
     first = saved(_verified(docs, saved(_possible(stars, lite), "first-pairs")), "first-links")
 
     def marked(links_: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ SAMPLE, SAMPLE_BYTES = 4000, 65_536
 THRESHOLD = 0.3
 _SYMBOLS, _MARKS = b"#*$%&|<>", b"!|*#$%&<>=~^@_{}[]\\"
 _UPPER, _LOWER, _DIGITS = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
+#: Lines x documents that go through the recursion at once.
+CELLS = 1 << 17
 #: Features of a line by itself.
 OWN = 13
 
@@ -82,9 +84,12 @@ def marginals(unary: np.ndarray, trans: np.ndarray, starts: np.ndarray, counts:
     good, pairs, log_z = np.empty(len(unary)), np.zeros((2, 2)), np.empty(len(counts))
     top = unary.max(axis=1, keepdims=True)
     psi, move = np.exp(unary - top), np.exp(trans - trans.max())
-    order = np.argsort(counts, kind="stable")
-    for at in range(0, len(order), 256):
-        docs = order[at : at + 256]
+    order = np.argsort(-counts, kind="stable")
+    at = 0
+    while at < len(order):
+        # the longest first, as many at once as keep lines x documents within CELLS; a longer document goes alone
+        docs = order[at : at + min(256, max(1, CELLS // int(counts[order[at]])))]
+        at += len(docs)
         n, s = counts[docs], starts[docs]
         steps = int(n.max())
         alpha, scale = np.ones((steps, len(docs), 2)), np.ones((steps, len(docs)))
@@ -188,7 +193,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, out: int,
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, out: int = 0, rows: int = SAMPLE) -> dict:
-    """The model, fitted on the driver on features of at most ``rows`` documents (SAMPLE_BYTES of text each at most)."""
+    """The model, fitted on the driver on features of at most ``rows`` documents (SAMPLE_BYTES of text each at most). A null
+    text is empty, null labels are not read; without labels of both classes all documents get the share of good ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +208,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, out: int = 0, rows
 
 
 def apply(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, score and bad_lines (places of the lines, among those with words, that are likelier bad) of every row."""
+    """doc_id, score and bad_lines (places of the lines, among those with words, that are likelier bad) of every row. A null
+    or empty text is one empty line; repeated rows stay, other columns are not read, an empty table gives an empty one."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

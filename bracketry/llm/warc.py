@@ -23,8 +23,8 @@ from bracketry.llm.common import scratch_dir, small, table
 REVISIT_BYTES = 1000
 #: Repeated digests that are broadcast; more of them are joined by a shuffle.
 BROADCAST_DIGESTS = 100_000
-#: Records of an archive file, so that a file fits a task when it is read back.
-FILE_RECORDS = 2_000
+#: Records of an archive file at most, and the bytes of records of mean size, so that a file fits a task when it is read back.
+FILE_RECORDS, FILE_BYTES = 2_000, 64 << 20
 
 # fixed values: ARC header fields by version
 ARC1 = ("url", "ip", "date", "type", "length")
@@ -32,9 +32,14 @@ ARC2 = ("url", "ip", "date", "type", "result", "checksum", "location", "offset",
 _REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
+def clean_url(url: str) -> str:
+    """Blanks and controls as %20 and so on; - for none."""
+    return re.sub(r"[\s\x00-\x1f]", lambda m: f"%{ord(m[0]):02X}", url) or "-"
+
+
 def arc_record(version: int, url: str, ip: str, date: str, mime: str, body: bytes, result: int = 200) -> bytes:
     """One ARC record: a header line of that version, the body, a line end. Blanks in the url are %20."""
-    fields = {"url": re.sub(r"\s", lambda m: f"%{ord(m[0]):02X}", url) or "-", "ip": ip, "date": date, "type": mime, "length": str(len(body)), "result": str(result), "checksum": "-", "location": "-", "offset": "0", "filename": "-"}
+    fields = {"url": clean_url(url), "ip": ip, "date": date, "type": mime, "length": str(len(body)), "result": str(result), "checksum": "-", "location": "-", "offset": "0", "filename": "-"}
     return " ".join(fields[f] for f in (ARC1 if version == 1 else ARC2)).encode() + b"\n" + body + b"\n"
 
 
@@ -80,8 +85,9 @@ def record_id(url: str, date: str, key: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{date} {key} {url}')}>"
 
 
-def warc_record(arc: dict, key: str, sha1: str, refers_to: str | None = None) -> bytes:
-    """A WARC/1.0 record made from an ARC one: response with the body, or revisit of another record without it."""
+def warc_record(arc: dict, key: str, sha1: str, refers_to: str | None = None, refers_url: str | None = None) -> bytes:
+    """A WARC/1.0 record made from an ARC one: response with the body, or revisit (of the record of that key and url, made
+    on the same date) without it."""
     date, digest = warc_date(arc["date"]), base64.b32encode(bytes.fromhex(sha1)).decode()
     http = f"HTTP/1.1 {arc.get('result', '200')} OK\r\nContent-Type: {arc['type']}\r\nContent-Length: {len(arc['body'])}\r\n\r\n".encode()
     block = http if refers_to is not None else http + arc["body"]
@@ -90,7 +96,8 @@ def warc_record(arc: dict, key: str, sha1: str, refers_to: str | None = None) ->
         ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response"), ("X-Key", key), ("X-Payload-Bytes", str(len(arc["body"]))),
     ]
     if refers_to is not None:
-        head += [("WARC-Profile", _REVISIT), ("WARC-Refers-To-Key", refers_to)]
+        url = clean_url(refers_url or "-")
+        head += [("WARC-Profile", _REVISIT), ("WARC-Refers-To", record_id(url, date, refers_to)), ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", date), ("X-Refers-To-Key", refers_to)]
     head.append(("Content-Length", str(len(block))))
     return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -123,31 +130,32 @@ def arcs(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("key", "url", "html")), strict=True)
             made = [arc_record(2 if (key or "0")[-1] in "02468" else 1, url or "-", "0.0.0.0", "19700101000000", "text/html", (html or "").encode()) for key, url, html in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("sha1"), batch.column("refers_to"), pa.array(made, pa.binary())], names=["key", "sha1", "refers_to", "arc"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "sha1", "refers_to", "refers_url")), pa.array(made, pa.binary())], names=["key", "sha1", "refers_to", "refers_url", "arc"])
 
-    return pages.select("key", "sha1", "refers_to", "url", "html").mapInArrow(run, "key string, sha1 string, refers_to string, arc binary")
+    return pages.select("key", "sha1", "refers_to", "refers_url", "url", "html").mapInArrow(run, "key string, sha1 string, refers_to string, refers_url string, arc binary")
 
 
 def convert(arc: DataFrame) -> DataFrame:
-    """warc: the WARC records of rows of ARC data (key, sha1 of the payload or null, refers_to or null, arc)."""
+    """warc: the WARC records of rows of ARC data (key, sha1 of the payload or null, refers_to and refers_url or null, arc)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for key, sha1, refers_to, data in zip(*(batch.column(c).to_pylist() for c in ("key", "sha1", "refers_to", "arc")), strict=True):
+            for key, sha1, refers_to, url, data in zip(*(batch.column(c).to_pylist() for c in ("key", "sha1", "refers_to", "refers_url", "arc")), strict=True):
                 records = parse_arc(data or b"")
                 for k, r in enumerate(records):
                     own = key if len(records) == 1 else f"{key}.{k}"
-                    made.append(warc_record(r, own or "", sha1 if sha1 and len(records) == 1 else hashlib.sha1(r["body"]).hexdigest(), refers_to))
+                    made.append(warc_record(r, own or "", sha1 if sha1 and len(records) == 1 else hashlib.sha1(r["body"]).hexdigest(), refers_to, url))
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["warc"])
 
     return arc.mapInArrow(run, "warc binary")
 
 
-def write(warc: DataFrame, path: str) -> None:
-    """Archive files (gzip as a whole) under path."""
+def write(warc: DataFrame, path: str, mean_bytes: float = 0) -> None:
+    """Archive files (gzip as a whole) under path; with large records fewer go to a file."""
+    records = max(1, min(FILE_RECORDS, int(FILE_BYTES / max(mean_bytes, 1))))
     lines = warc.select(F.substring("warc", F.lit(1), F.length("warc") - 1).cast("string").alias("value"))
-    lines.write.option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    lines.write.option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -165,7 +173,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     if payload is not None and hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"payload of {h['WARC-Record-ID']} doesn't match its digest")
                     size = int(h["X-Payload-Bytes"]) if payload is None else len(payload)
-                    rows.append((h.get("X-Key") or None, h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Date"], h["WARC-Target-URI"], size, digest, h.get("WARC-Refers-To-Key")))
+                    rows.append((h.get("X-Key") or None, h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Date"], h["WARC-Target-URI"], size, digest, h.get("X-Refers-To-Key")))
                 for at in range(0, len(rows), 10_000):
                     part = list(zip(*rows[at : at + 10_000]))
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 5 else pa.string()) for k, c in enumerate(part)], names=["key", "record_type", "record_id", "date", "url", "payload_bytes", "payload_digest", "refers_to"])
@@ -183,20 +191,22 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     body = F.coalesce("html", F.lit("")).cast("binary")
     keyed = pages.select(F.col("page_id").cast("long").cast("string").alias("key"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     keyed = keyed.withColumns({"sha1": F.sha1(body), "n": F.length(body)})
-    large = pages.select("page_id", F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("b")).where(F.length("b") >= REVISIT_BYTES)
-    groups = large.groupBy(F.sha1("b").alias("d")).agg(F.max(F.col("page_id").cast("long")).alias("last"), F.count(F.lit(1)).alias("c")).where("c > 1 and last is not null")
-    groups = groups.select("d", F.col("last").cast("string").alias("last"))
+    large = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("b")).where(F.length("b") >= REVISIT_BYTES)
+    groups = large.groupBy(F.sha1("b").alias("d")).agg(F.max(F.col("page_id").cast("long")).alias("last"), F.max_by(F.col("url").cast("string"), F.col("page_id").cast("long")).alias("last_url"), F.count(F.lit(1)).alias("c")).where("c > 1 and last is not null")
+    groups = groups.select("d", F.col("last").cast("string").alias("last"), "last_url")
     if small(groups, BROADCAST_DIGESTS):
         groups = F.broadcast(groups)
     joined = keyed.join(groups, F.col("sha1") == F.col("d"), "left")
-    return joined.withColumn("refers_to", F.when(F.col("key").isNull() | (F.col("key") != F.col("last")), F.col("last"))).select("key", "url", "html", "sha1", "refers_to")
+    other = F.col("key").isNull() | (F.col("key") != F.col("last"))
+    return joined.withColumns({"refers_to": F.when(other, F.col("last")), "refers_url": F.when(other, F.col("last_url"))}).select("key", "url", "html", "sha1", "refers_to", "refers_url")
 
 
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Pages through ARC records to WARC archives under path, and the archives read back."""
     spark = pages.sparkSession
     path = path or f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write(convert(arcs(with_revisits(pages))), path)
+    mean = pages.agg(F.avg(F.octet_length(F.col("html").cast("string")))).first()[0]
+    write(convert(arcs(with_revisits(pages))), path, (mean or 0) + 1000)
     return read(spark, path)
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bracketry.llm.common import table, texts
+from bracketry.llm.common import sliced, table, texts
 from bracketry.llm.jaccard_join import Words, _mix
 
 SHINGLE, CONTAINED, BANDS = 5, 0.8, 64
@@ -33,6 +33,10 @@ TEMPLATES = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("LGPL-3.0-or-later", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 ]
 
@@ -64,6 +68,10 @@ class Index:
     def __init__(self, templates: list[tuple[str, str]]):
         self.names = [n for n, _ in templates]
         self.sets = [np.unique(shingle_row(tokens(t.encode()))) for _, t in templates]
+        self.turns = []  # of each shingle of a set, in its order: where it first comes in the template
+        for (_, t), own in zip(templates, self.sets, strict=True):
+            row = shingle_row(tokens(t.encode()))
+            self.turns.append(np.array([int(np.flatnonzero(row == h)[0]) for h in own], np.int64))
         self.seeds = [np.uint64(int(_mix(np.array([k + 1], np.uint64))[0])) for k in range(BANDS)]
         self.all = np.unique(np.concatenate(self.sets)) if self.sets else np.empty(0, np.uint64)
         self.classes: dict[int, list[int]] = {}  # largest size of the class -> its templates
@@ -77,7 +85,7 @@ class Index:
         return np.arange(0, max(1, n - m + step), step), m + step
 
     def find(self, text: bytes) -> list[dict]:
-        """name, template, start, end (places of shingles), containment of each template found; of overlapping windows the best place."""
+        """name, template, start, end (places of shingles), containment of each occurrence of each template; occurrences that follow each other are told apart."""
         x = shingle_row(tokens(text))
         if not len(x) or not len(self.all):
             return []
@@ -91,24 +99,43 @@ class Index:
             total = np.concatenate([[0], np.cumsum(known)])
             ends = np.minimum(starts + size, len(x))
             live = np.flatnonzero(total[ends] > total[starts])
-            best: dict[int, list[tuple]] = {}
+            hit: dict[int, list[tuple[int, int]]] = {}  # template -> stretches of windows that hold it
             for at in live:
                 s, e = int(starts[at]), int(ends[at])
                 window = np.unique(x[s:e])
                 keys = [int(_mix(window ^ seed).min()) for seed in self.seeds]
                 for k in members:
-                    if any(a == b for a, b in zip(keys, self.keys(k), strict=True)):
-                        own = self.sets[k]
-                        c = len(np.intersect1d(own, window, assume_unique=True)) / len(own)
-                        if c >= CONTAINED:
-                            got = best.setdefault(k, [])
-                            if got and s < got[-1][1]:
-                                got[-1] = max(got[-1], (s, e, c), key=lambda r: r[2])
-                            else:
-                                got.append((s, e, c))
-            out += [{"license": self.names[k], "template": k, "start": s, "end": e, "containment": c} for k, rs in best.items() for s, e, c in rs]
+                    if any(a == b for a, b in zip(keys, self.keys(k), strict=True)) and len(np.intersect1d(self.sets[k], window, assume_unique=True)) >= CONTAINED * len(self.sets[k]):
+                        got = hit.setdefault(k, [])
+                        if got and s <= got[-1][1]:
+                            got[-1] = (got[-1][0], e)
+                        else:
+                            got.append((s, e))
+            out += [{"license": self.names[k], "template": k, "start": a, "end": b, "containment": c} for k, rs in hit.items() for s, e in rs for a, b, c in self.places(k, x, s, e)]
         return sorted(out, key=lambda r: (r["start"], r["template"]))
 
+    def places(self, k: int, x: np.ndarray, s: int, e: int) -> list[tuple[int, int, float]]:
+        """Start, end and containment of each occurrence of template k between s and e. One ends where the text goes back
+        by half of the template or more, or is outside of it for its whole length."""
+        own, turn = self.sets[k], self.turns[k]
+        at = np.flatnonzero(own[np.minimum(np.searchsorted(own, x[s:e]), len(own) - 1)] == x[s:e]) + s
+        to = turn[np.searchsorted(own, x[at])]
+        half, runs, first, far = max(1, len(own) // 2), [], 0, -1
+        for j in range(len(at)):
+            if j > first and (to[j] <= far - half or at[j] - at[j - 1] > len(own)):
+                runs.append((first, j))
+                first, far = j, -1
+            far = max(far, int(to[j]))
+        runs.append((first, len(at)))
+        out = []
+        for a, b in runs:
+            c = len(np.unique(to[a:b])) / len(own)
+            if c >= CONTAINED:
+                out.append((int(at[a]), int(at[b - 1]) + 1, c))
+        if not out:  # the windows hold it, but not in this order: the whole stretch
+            out.append((int(at[0]), int(at[-1]) + 1, len(np.unique(to)) / len(own)))
+        return out
+
     def keys(self, k: int) -> list[int]:
         if not hasattr(self, "_keys"):
             self._keys = {}
@@ -124,7 +151,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(templates)
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([index.find(t) for t in texts(batch)], kind)], names=["doc_id", "matches"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, matches array<struct<license:string,template:int,start:int,end:int,containment:double>>")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bracketry.llm.common import saved, small, table, texts
+from bracketry.llm.common import saved, sliced, small, table, texts
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Limits of the method's own rules: symbols a word, lines that repeat, code points a word.
@@ -36,9 +36,13 @@ def repeat_words(words: list[bytes], ids: _Words) -> int:
     if n < 4:
         return 0
     w = np.fromiter(map(ids.__getitem__, words), np.int64, n)
-    keys = (w[:-2] << 42) | (w[1:-1] << 21) | w[2:]
-    order = np.argsort(keys, kind="stable")
-    same = np.diff(keys[order]) == 0
+    if w.max() < 1 << 21:
+        keys = (w[:-2] << 42) | (w[1:-1] << 21) | w[2:]
+        order = np.argsort(keys, kind="stable")
+        same = np.diff(keys[order]) == 0
+    else:  # three numbers don't fit one key
+        order = np.lexsort((w[2:], w[1:-1], w[:-2]))
+        same = (w[order[1:]] == w[order[:-1]]) & (w[order[1:] + 1] == w[order[:-1] + 1]) & (w[order[1:] + 2] == w[order[:-1] + 2])
     twice = np.zeros(n - 2, bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
@@ -63,7 +67,7 @@ def measure(docs: DataFrame, host: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Words()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for text in texts(batch):
                 if len(ids) > 1_000_000 or len(text) > 2**21 and len(ids) + len(text) > 2**22:

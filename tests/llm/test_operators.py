@@ -311,3 +311,73 @@ def test_few_repeated_lines_of_many_pass(spark):
     df = spark.createDataFrame([(k, "h", t) for k, t in rows], "doc_id long, source string, text string")
     got = {r["doc_id"]: (r["n_dup_lines"], r["n_failed"]) for r in quality_rules.with_rules(quality_rules.measure(df, "source")).collect()}
     assert got == {1: (3, 0), 2: (9, 1), 3: (0, 0)}
+
+
+def test_windows_of_more_words_than_a_key_holds():
+    ids = quality_rules._Words()
+    words = [f"a{k}".encode() for k in range(1 << 21)] + [b"x", b"y", b"z", b"q"]
+    assert quality_rules.repeat_words(words, ids) == 0
+    assert quality_rules.repeat_words([*words, b"x", b"y", b"z"], ids) == 6
+
+
+def test_long_texts_of_lines_stay_small():
+    n = 20_000
+    rng = np.random.default_rng(1)
+    counts = np.array([n, *[1] * 300])
+    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    unary, trans = rng.normal(size=(counts.sum(), 2)), rng.normal(size=(2, 2))
+    good, _, log_z = quality_crf.marginals(unary, trans, starts, counts)
+    one, _, z = quality_crf.marginals(unary[:n], trans, starts[:1], counts[:1])
+    assert np.allclose(good[:n], one) and np.isclose(log_z[0], z[0])
+    assert np.allclose(good[n:], 1 / (1 + np.exp(unary[n:, 0] - unary[n:, 1])))
+
+
+def test_length_alone_is_not_toxic():
+    model = {"words": {b"vile": 3.0}, "bias": -4.0}
+    clean, weak = b"some words here. and others.\n" * 50_000, b"a vile thing.\n"
+    assert toxicity.document_score(model, clean) == 0
+    assert toxicity.document_score(model, weak * 1000) == toxicity.document_score(model, weak) < 0.5
+    assert toxicity.document_score(model, b"") == 0
+
+
+@pytest.mark.parametrize("near", [1_000_000, 0])
+def test_decontamination_both_sides_of_the_switch(spark, docs, near, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", near)
+    rows = [(1, " ".join(some_docs()[5][1].split()[20:40])), (2, "one two"), (7, " ".join(some_docs()[6][1].split()[:15]))]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    got = Counter((r["doc_id"], r["n_hit"], tuple(r["items"])) for r in decontamination.mark(docs, bench).collect())
+    want = Counter()
+    for k, t, *_ in some_docs():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+        hit, items = set(), set()
+        for i, b in rows:
+            b = b.split()
+            m = min(10, len(b))
+            grams = {tuple(b[j : j + m]) for j in range(len(b) - m + 1)}
+            at = [j for j in range(len(w) - m + 1) if tuple(w[j : j + m]) in grams]
+            hit |= {p for j in at for p in range(j, j + m)}
+            items |= {str(i)} if at else set()
+        want[k, len(hit), tuple(sorted(items))] += 1
+    assert got == want
+
+
+def test_licenses_back_to_back():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    k = next(k for k, (n, _) in enumerate(license_scan.TEMPLATES) if n == "BSD")
+    text = license_scan.TEMPLATES[k][1]
+    m = len(license_scan.shingle_row(license_scan.tokens(text.encode())))
+    for times in (1, 2, 4):
+        pad = " ".join(WORDS[:60])
+        found = [r for r in index.find((pad + " " + (text + " ") * times + pad).encode()) if r["template"] == k]
+        own = m + 4
+        assert [(r["start"], r["end"]) for r in found] == [(60 + j * own, 60 + j * own + m) for j in range(times)]
+
+
+def test_revisits_name_the_record(spark):
+    big = "y" * 1200
+    rows = [(1, "http://a b/", big), (9, "http://z/", big)]
+    made = warc.convert(warc.arcs(warc.with_revisits(spark.createDataFrame(rows, "page_id long, url string, html string")))).collect()
+    heads = [next(warc.parse_warc(bytes(r["warc"])))["head"] for r in made]
+    ids = {h["X-Key"]: h["WARC-Record-ID"] for h in heads}
+    revisit = next(h for h in heads if h["WARC-Type"] == "revisit")
+    assert revisit["WARC-Refers-To"] == ids["9"] and revisit["WARC-Refers-To-Target-URI"] == "http://z/"

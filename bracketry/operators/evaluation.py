@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bracketry.operators.ranking import running
+
 
 def group_keys(rows: DataFrame, group: str) -> DataFrame:
-    """group, members: the sorted filenames of each group as one string."""
-    return rows.groupBy(group).agg(F.concat_ws(",", F.sort_array(F.collect_set("filename"))).alias("members"))
+    """group, members: the sorted filenames of each group."""
+    return rows.groupBy(group).agg(F.sort_array(F.collect_set("filename")).alias("members"))
 
 
 def matched(truth: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -62,5 +64,33 @@ def partners(truth: DataFrame, predicted: DataFrame) -> DataFrame:
 def rank_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """auc by the rank sum with mean ranks of ties: counts by distinct score, so rows never meet in one task."""
     t = df.groupBy(score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("q"))
-    t = t.withColumn("below", F.coalesce(F.sum("q").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    t = running(t, [score], F.col("q"), "below")
     return t.agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("q"))), F.sum("p") * F.sum("q")).alias("auc"))
+
+
+def audit(truth: DataFrame, predicted: DataFrame, left_out: DataFrame) -> DataFrame:
+    """total, matched, excluded, failures (missed, not excluded) and the shares of matched and of failures, in percent."""
+    groups = truth.select("group_id").distinct()
+    hit = matched(truth, predicted).withColumn("hit", F.lit(1))
+    out = groups.join(hit, "group_id", "left").join(left_out.select("group_id").distinct().withColumn("out", F.lit(1)), "group_id", "left")
+    n = out.agg(F.count(F.lit(1)).alias("total"), F.count("hit").alias("matched"), F.count("out").alias("excluded"), F.count(F.when(F.col("hit").isNull() & F.col("out").isNull(), 1)).alias("failures"))
+    share = lambda c: F.coalesce(F.try_divide(100.0 * F.col(c), F.col("total")), F.lit(0.0))
+    return n.withColumns({"matched_percent": share("matched"), "failed_percent": share("failures")})
+
+
+def best_cut(df: DataFrame, label: str, score: str) -> DataFrame:
+    """threshold, accuracy: the score from which on rows count as positive that gives the best balanced accuracy; the least of equals."""
+    t = df.groupBy(score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("q"))
+    t = running(running(t, [score], F.col("p"), "p_below"), [score], F.col("q"), "q_below")
+    n = df.agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("ps"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("qs")).first()
+    ps, qs = F.lit(n["ps"]), F.lit(n["qs"])
+    a = t.withColumn("accuracy", (F.try_divide(ps - F.col("p_below"), ps) + F.try_divide(F.col("q_below"), qs)) / 2)
+    best = a.agg(F.max(F.struct(F.round("accuracy", 12).alias("accuracy"), (-F.col(score)).alias("t"))).alias("b"))
+    return best.select((-F.col("b.t")).alias("threshold"), F.col("b.accuracy").alias("accuracy"))
+
+
+def outliers(df: DataFrame, by: str, value: str) -> DataFrame:
+    """df with z: how far value is from the median of its ``by``, in medians of that distance."""
+    mid = df.groupBy(by).agg(F.median(value).alias("__m"))
+    far = df.join(mid, by).withColumn("__d", F.abs(F.col(value) - F.col("__m")))
+    return far.join(far.groupBy(by).agg(F.median("__d").alias("__s")), by).withColumn("z", F.col("__d") / (1.4826 * F.col("__s") + 1e-9)).drop("__m", "__d", "__s")

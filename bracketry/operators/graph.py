@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="bracketry-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
@@ -23,13 +25,13 @@ def _stored(df: DataFrame) -> DataFrame:
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, label: the least node that each reaches; nodes without edges are their own. Labels spread by edges and by
     labels of labels until none changes; every round is written to the shared folder."""
-    both = _stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = _stored(nodes.select("node", F.col("node").alias("label")))
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    labels = stored(nodes.select("node", F.col("node").alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("on"))
-        new = _stored(step.join(jump, "label").select("node", "was", F.least("label", "on").alias("label")))
+        new = stored(step.join(jump, "label").select("node", "was", F.least("label", "on").alias("label")))
         labels = new.select("node", "label")
         if not new.where("was <> label").limit(1).count():
             return labels

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bracketry.functions.frames import capture_number, capture_prefix, exposure_class, last_number
+from bracketry.functions.frames import CLIPPED_BANDS, WELL_BANDS, capture_number, capture_prefix, category, clipped, exposure_class, group_of_name, last_number, number_or_minus_one, prefix_or_stem, sequence_key, well
 from bracketry.operators import evaluation as ev
+from bracketry.operators import features, passes
 from bracketry.operators.graph import complement_components, connected_components
 from bracketry.operators.pairs import band_keys, forest_levels, masked_pairs, scene_scores, top_neighbours
 from bracketry.operators.windows import best_and_margin, gap_runs, ladder_step, plateau_threshold
-from bracketry.plans.grouping import group_frames
+from bracketry.plans.grouping import group_frames, group_images
 from bracketry.sources.frames import bracket_frames, pixels, predictions
 
 ROUND = 6
@@ -48,16 +50,21 @@ def anchor_masks(spark, d):
 
 
 def tile_sobel(spark, d):
-    """Mean edge magnitude of each tile, borders mirrored without the edge pixel."""
-    px = pixels(frames(spark, d)).select("frame_id", F.floor(F.col("p") / 8).cast("int").alias("y"), (F.col("p") % 8).alias("x"), "v")
-    offsets = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1))))
+    """Mean edge magnitude of each tile, borders mirrored without the edge pixel; nine look-ups in the row's own array."""
+    v = F.col("tile")
 
     def mirror(c):
-        return F.when(c < 0, -c).when(c > 7, 14 - c).otherwise(c)
+        return F.lit(7) - F.abs(F.lit(7) - F.abs(c))
 
-    near = px.select("frame_id", F.col("y").alias("cy"), F.col("x").alias("cx"), offsets.alias("o")).select("frame_id", "cy", "cx", "o.dy", "o.dx", mirror(F.col("cy") + F.col("o.dy")).alias("y"), mirror(F.col("cx") + F.col("o.dx")).alias("x"))
-    s = near.join(px, ["frame_id", "y", "x"]).groupBy("frame_id", "cy", "cx").agg(F.sum(F.col("dx") * (2 - F.abs("dy")) * F.col("v")).alias("gx"), F.sum(F.col("dy") * (2 - F.abs("dx")) * F.col("v")).alias("gy"))
-    return s.groupBy("frame_id").agg(F.round(F.avg(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))), ROUND).alias("magnitude"))
+    def size(p):
+        y, x = F.floor(p / 8).cast("int"), (p % 8).cast("int")
+        at = {(dy, dx): F.get(v, mirror(y + dy) * 8 + mirror(x + dx)) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx}
+        gx = sum(((2 - abs(dy)) * dx * at[dy, dx] for dy, dx in at if dx), F.lit(0.0))
+        gy = sum(((2 - abs(dx)) * dy * at[dy, dx] for dy, dx in at if dy), F.lit(0.0))
+        return F.sqrt(gx * gx + gy * gy)
+
+    total = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), size), F.lit(0.0), lambda s, m: s + m)
+    return frames(spark, d).select("frame_id", F.round(total / 64, ROUND).alias("magnitude"))
 
 
 def mid_exposure(spark, d):
@@ -168,6 +175,132 @@ def chroma_hist(spark, d):
     return b.groupBy("vec_id", "r", "g").agg(F.round(F.count(F.lit(1)) / 21.0, ROUND).alias("share"))
 
 
+#: Tiles of 8 x 8 are compared as they are, and over 24 pixels at least.
+SMALL = passes.Params(edges=False, least=24)
+
+
+def by_first(f, group):
+    """frame_id, label: groups by their least frame_id."""
+    w = Window.partitionBy(group)
+    return f.select("frame_id", F.min("frame_id").over(w).alias("label"))
+
+
+def stray(spark, d):
+    """Scenes whose near-white frames stand alone in every fifth one, near-black ones in every seventh."""
+    f = frames(spark, d)
+    alone = ((F.col("lvl") == 3) & (F.col("scene") % 5 == 0)) | ((F.col("lvl") == 0) & (F.col("scene") % 7 == 0))
+    return by_first(f.withColumn("g", F.when(alone, -1 - F.col("frame_id")).otherwise(F.col("scene"))), "g")
+
+
+def halves(spark, d):
+    """Scenes cut between their two darker and two brighter frames."""
+    return by_first(frames(spark, d).withColumn("g", F.col("scene") * 2 + F.floor(F.col("lvl") / 2)), "g")
+
+
+def doubled(spark, d):
+    """Two scenes to a group."""
+    return by_first(frames(spark, d).withColumn("g", F.floor(F.col("scene") / 2)), "g")
+
+
+def unit_tiles(spark, d):
+    """Each tile at length 1."""
+    n = F.sqrt(F.aggregate("tile", F.lit(0.0), lambda s, v: s + v * v)) + 1e-9
+    return frames(spark, d).select("frame_id", F.posexplode(F.transform("tile", lambda v: v / n)).alias("p", "u")).select("frame_id", "p", F.round("u", ROUND).alias("u"))
+
+
+def bands(spark, d):
+    b = F.col("brightness")
+    flags = [clipped(b, *v).alias(f"clipped_{k}") for k, v in CLIPPED_BANDS.items()] + [well(b, *v).alias(f"well_{k}") for k, v in WELL_BANDS.items()]
+    return frames(spark, d).select("frame_id", *flags)
+
+
+def key_variants(spark, d):
+    names = frames(spark, d).select("frame_id", F.when(F.col("lvl") == 0, F.concat(F.lit("g"), F.col("scene").cast("string"), F.lit("_AJ - 124A"), F.col("frame_id").cast("string"), F.lit(".JPG"))).when(F.col("lvl") == 1, F.format_string("DJI_%d_D.png", "frame_id")).otherwise(F.col("filename")).alias("n"))
+    prefix, number = sequence_key(F.col("n"))
+    return names.select("frame_id", prefix.alias("prefix"), number.alias("number"), number_or_minus_one(F.col("n")).alias("only"), prefix_or_stem(F.col("n")).alias("stem"), group_of_name(F.col("n")).alias("grp"))
+
+
+def anchors_of(spark, d):
+    """Overlap of dark and of bright places of the pairs of a scene, and what both rules make of it."""
+    k = max(1, round(0.06 * 64))
+    order = F.transform(F.array_sort(F.transform("tile", lambda v, p: F.struct(v.alias("v"), p.alias("p")))), lambda x: x["p"])
+    f = frames(spark, d).select("scene", "frame_id", "brightness", F.slice(order, 1, k).alias("dark"), F.slice(order, 64 - k + 1, k).alias("bright"))
+    g = f.select("scene", F.col("frame_id").alias("other"), F.col("brightness").alias("b2"), F.col("dark").alias("dark2"), F.col("bright").alias("bright2"))
+    share = lambda a, b: F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    p = f.join(g, "scene").where("frame_id < other").withColumns({"d": share("dark", "dark2"), "b": share("bright", "bright2"), "lo": F.least("brightness", "b2"), "hi": F.greatest("brightness", "b2")})
+    loose = F.when((F.col("lo") < 30) & (F.col("hi") > 225), F.greatest("d", "b")).when(F.col("lo") < 30, F.col("b")).when(F.col("hi") > 225, F.col("d")).otherwise((F.col("d") + F.col("b")) / 2)
+    strict = F.when((F.col("lo") <= 110) & (F.col("hi") < 146), F.col("b")).when((F.col("lo") > 110) & (F.col("hi") >= 146), F.col("d")).otherwise(F.least("d", "b"))
+    return p.select("scene", "frame_id", "other", F.round(loose, ROUND).alias("match"), F.round(strict, ROUND).alias("agreement"))
+
+
+def nearest_exposure(spark, d):
+    """For each clipped frame the frame of the scene before and after that is nearest in brightness; ties go to the first."""
+    f = frames(spark, d).select("frame_id", "scene", "brightness")
+    q = f.where(clipped(F.col("brightness"), 45, 210)).select(F.col("frame_id").alias("orphan"), F.col("brightness").alias("b0"), F.explode(F.array(F.col("scene") - 1, F.col("scene") + 1)).alias("scene"))
+    gap = F.abs(F.col("brightness") - F.col("b0"))
+    return q.join(f, "scene").groupBy("orphan", "scene").agg(F.min_by("frame_id", F.struct(gap, "frame_id")).alias("member"), F.round(F.min(gap), ROUND).alias("gap"))
+
+
+def chroma_chi2(spark, d):
+    """Half of the chi square between the chroma histograms of each vector and the next."""
+    h = chroma_hist(spark, d)
+    a, b = h.select("vec_id", "r", "g", F.col("share").alias("x")), h.select((F.col("vec_id") - 1).alias("vec_id"), "r", "g", F.col("share").alias("y"))
+    x, y = F.coalesce("x", F.lit(0.0)), F.coalesce("y", F.lit(0.0))
+    n = _table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0]
+    return a.join(b, ["vec_id", "r", "g"], "full").where((F.col("vec_id") >= 0) & (F.col("vec_id") < n)).groupBy("vec_id").agg(F.round(0.5 * F.sum((x - y) * (x - y) / (x + y + 1e-9)), ROUND).alias("chi2"))
+
+
+def cohesion(spark, d):
+    """Of each scene's darker and brighter half: the least correlation inside and the largest across."""
+    f = frames(spark, d).select("frame_id", F.floor(F.col("lvl") / 2).alias("half"))
+    z = scene_scores(pixels(frames(spark, d))).join(f.select(F.col("frame_id").alias("a"), F.col("half").alias("ha")), "a").join(f.select(F.col("frame_id").alias("b"), F.col("half").alias("hb")), "b")
+    same = F.col("ha") == F.col("hb")
+    return z.groupBy("scene").agg(F.round(F.min(F.when(same, F.col("z"))), ROUND).alias("inner"), F.round(F.max(F.when(~same, F.col("z"))), ROUND).alias("outer"))
+
+
+def candidates(spark, d):
+    return passes.merge_candidates(halves(spark, d), frames(spark, d))
+
+
+def cluster_levels(spark, d):
+    return frames(spark, d).groupBy("scene").agg(*(F.round(fn("brightness"), ROUND).alias(n) for n, fn in (("mean", F.avg), ("lo", F.min), ("hi", F.max))))
+
+
+def unit_centroids(spark, d):
+    c = centroids(spark, d)
+    n = c.groupBy("label").agg((F.sqrt(F.sum(F.col("mean") * F.col("mean"))) + 1e-9).alias("n"))
+    return c.join(n, "label").select("label", "dim", F.round(F.col("mean") / F.col("n"), ROUND).alias("x"))
+
+
+def reasons(spark, d):
+    e = _table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Information-limited: "), "event_type")).when(F.col("event_id") % 3 == 1, F.concat(F.col("event_type"), F.lit(" Duplicate-Frame"))).otherwise(F.col("event_type")).alias("reason"))
+    return e.select("event_id", category(F.col("reason")).alias("category"))
+
+
+def outlying(spark, d):
+    return ev.outliers(frames(spark, d).select("frame_id", "lvl", "brightness"), "lvl", "brightness").select("frame_id", F.round("z", ROUND).alias("z"))
+
+
+def brackets(spark, d):
+    """Frames of a doubled group with the bracket they are in (from 0), by capture order."""
+    f = frames(spark, d).join(doubled(spark, d), "frame_id")
+
+    def run(rows):
+        g = passes.Group(rows.column("frame_id").to_numpy(), rows.column("filename").to_pylist(), rows.column("brightness").to_numpy(), rows.column("tile").to_pylist(), SMALL)
+        found = passes.brackets_of(g, g.order())
+        return pa.table({"frame_id": [int(g.ids[k]) for b in found for k in b], "bracket": [n for n, b in enumerate(found) for _ in b]})
+
+    return f.select("label", "frame_id", "filename", "brightness", "tile").groupBy("label").applyInArrow(run, "frame_id long, bracket long")
+
+
+def _pass(labels, fn):
+    return lambda s, d: fn(labels(s, d), frames(s, d), SMALL)
+
+
+def _split(name):
+    return lambda s, d: passes.split(doubled(s, d), frames(s, d), [name], SMALL)
+
+
 QUERIES = {
     "frame_brightness": lambda s, d: frames(s, d).select("frame_id", F.round("brightness", ROUND).alias("brightness")),
     "exposure_class": lambda s, d: frames(s, d).select("frame_id", exposure_class(F.col("brightness")).alias("class")),
@@ -204,6 +337,31 @@ QUERIES = {
     "rank_auc": lambda s, d: ev.rank_auc(frames(s, d).select((F.col("lvl") >= 2).cast("int").alias("y"), "brightness"), "y", "brightness").select(F.round("auc", ROUND).alias("auc")),
     "predictions_sink": lambda s, d: predictions(shifted(s, d)),
     "bracket_grouping": lambda s, d: group_frames(frames(s, d)),
+    "unit_tiles": unit_tiles,
+    "exposure_bands": bands,
+    "capture_key_variants": key_variants,
+    "anchor_match": anchors_of,
+    "nearest_exposure": nearest_exposure,
+    "chroma_chi2": chroma_chi2,
+    "scene_cohesion": cohesion,
+    "merge_candidates": candidates,
+    "cluster_levels": cluster_levels,
+    "unit_centroids": unit_centroids,
+    "reason_category": reasons,
+    "brightness_outliers": outlying,
+    "audit_rollup": lambda s, d: ev.audit(truth(s, d), shifted(s, d), left_out(s, d)).withColumns({c: F.round(c, ROUND) for c in ("matched_percent", "failed_percent")}),
+    "best_cut": lambda s, d: ev.best_cut(frames(s, d).select((F.col("lvl") >= 2).cast("int").alias("y"), "brightness"), "y", "brightness").select(*(F.round(c, ROUND).alias(c) for c in ("threshold", "accuracy"))),
+    "scene_brackets": brackets,
+    "edge_descriptors": lambda s, d: features.edge_descriptors(frames(s, d), 8),
+    "wavelet_embeddings": lambda s, d: features.wavelet_embeddings(frames(s, d)),
+    "image_grouping": lambda s, d: group_images(frames(s, d), SMALL, 8),
+    "orphan_candidates": _pass(stray, passes.orphan_candidates),
+    "orphan_reattachment": _pass(stray, passes.attach_orphans),
+    "cluster_merging": _pass(halves, passes.merge_groups),
+    "clipped_reattachment": _pass(stray, passes.attach_clipped),
+    "anchor_reattachment": _pass(stray, passes.attach_by_anchors),
+    "drift_reattachment": _pass(halves, passes.attach_drifted),
+    **{f"{name}_split": _split(name) for name in passes.SPLITS},
 }
 
 _F = """px AS (SELECT vec_id, unnest(range(0, 64)) AS p, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
@@ -227,6 +385,15 @@ _N = """sim AS (SELECT a.vec_id AS vec_id, b.vec_id AS other, list_dot_product(a
 nn AS (SELECT vec_id, other, sim, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 9) DESC, other) AS rank FROM sim)"""
 _R = """r AS (SELECT *, CASE WHEN us - lag(us) OVER w > 3600000000 THEN 1 ELSE 0 END AS brk FROM (SELECT *, epoch_us(ts) AS us FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
 runs AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM r)"""
+_A = _F + """,
+r AS (SELECT frame_id, p, row_number() OVER (PARTITION BY frame_id ORDER BY v, p) AS r FROM tiles),
+m AS (SELECT frame_id, list(p) FILTER (r <= 4) AS dark, list(p) FILTER (r > 60) AS bright FROM r GROUP BY frame_id),
+f AS (SELECT * FROM frames JOIN m USING (frame_id)),
+o AS (SELECT x.scene AS scene, x.frame_id AS frame_id, y.frame_id AS other, len(list_intersect(x.dark, y.dark)) / len(list_distinct(list_concat(x.dark, y.dark)))::DOUBLE AS d, len(list_intersect(x.bright, y.bright)) / len(list_distinct(list_concat(x.bright, y.bright)))::DOUBLE AS b,
+  least(x.brightness, y.brightness) AS lo, greatest(x.brightness, y.brightness) AS hi FROM f x JOIN f y ON x.scene = y.scene AND x.frame_id < y.frame_id)"""
+_H = """v AS (SELECT vec_id, i, floor(128 + 300 * CAST(embedding[3 * i + 1] AS DOUBLE)) AS b, floor(128 + 300 * CAST(embedding[3 * i + 2] AS DOUBLE)) AS g, floor(128 + 300 * CAST(embedding[3 * i + 3] AS DOUBLE)) AS r FROM embeddings, range(0, 21) t(i)),
+c AS (SELECT vec_id, CAST(least(7, greatest(0, floor(8 * r / (b + g + r + 1e-6)))) AS INTEGER) AS r, CAST(least(7, greatest(0, floor(8 * g / (b + g + r + 1e-6)))) AS INTEGER) AS g FROM v),
+h AS (SELECT vec_id, r, g, round(count(*) / 21.0::DOUBLE, 6) AS share FROM c GROUP BY vec_id, r, g)"""
 _CC = """l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(node, r) AS (SELECT node, node FROM nodes UNION SELECT reach.node, l.b FROM reach JOIN l ON reach.r = l.a)"""
 
 ORACLE_SQL = {
@@ -267,4 +434,30 @@ SELECT frame_id, candidate, round(score, 6) AS score, round(margin, 6) AS margin
     "group_coherence": f"WITH {_Z}, m AS (SELECT scene, median(z) AS m FROM z GROUP BY scene), f AS (SELECT scene, count(*) AS size, max(brightness) - min(brightness) AS spread FROM frames GROUP BY scene) SELECT scene, size, round(spread, 6) AS spread, round(coalesce(m, 1.0), 6) AS coherence FROM f LEFT JOIN m USING (scene)",
     "rank_auc": f"WITH {_F}, t AS (SELECT brightness, sum(CASE WHEN lvl >= 2 THEN 1 ELSE 0 END) AS p, sum(CASE WHEN lvl >= 2 THEN 0 ELSE 1 END) AS q FROM frames GROUP BY brightness), b AS (SELECT p, q, coalesce(sum(q) OVER (ORDER BY brightness ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM t) SELECT round(CAST(sum(p * (below + 0.5 * q)) AS DOUBLE) / CAST(sum(p) * sum(q) AS DOUBLE), 6) AS auc FROM b",
     "predictions_sink": f"WITH {_E}, f AS (SELECT label, min(filename) AS first FROM pred GROUP BY label), g AS (SELECT label, CAST(dense_rank() OVER (ORDER BY first, label) - 1 AS INTEGER) AS group_id FROM f) SELECT filename, group_id FROM pred JOIN g USING (label)",
+    "unit_tiles": f"WITH {_F}, n AS (SELECT frame_id, sqrt(sum(v * v)) + 1e-9 AS n FROM tiles GROUP BY frame_id) SELECT frame_id, CAST(p AS INTEGER) AS p, round(v / n, 6) AS u FROM tiles JOIN n USING (frame_id)",
+    "exposure_bands": f"WITH {_F} SELECT frame_id, " + ", ".join([f"(brightness < {a} OR brightness > {b}) AS clipped_{k}" for k, (a, b) in CLIPPED_BANDS.items()] + [f"brightness BETWEEN {a} AND {b} AS well_{k}" for k, (a, b) in WELL_BANDS.items()]) + " FROM frames",
+    "capture_key_variants": rf"""WITH {_F}, n AS (SELECT frame_id, CASE lvl WHEN 0 THEN 'g' || scene || '_AJ - 124A' || frame_id || '.JPG' WHEN 1 THEN 'DJI_' || frame_id || '_D.png' ELSE filename END AS n FROM frames),
+t AS (SELECT frame_id, n, regexp_replace(regexp_replace(n, '\.[^.]*$', ''), '^g\d+_', '') AS st FROM n), k AS (SELECT *, regexp_matches(st, '\d$') AS has FROM t)
+SELECT frame_id, CASE WHEN has THEN regexp_replace(st, '\d+$', '') ELSE n END AS prefix, CASE WHEN has THEN CAST(regexp_extract(st, '(\d+)$', 1) AS BIGINT) ELSE -1 END AS number,
+  CASE WHEN has THEN CAST(regexp_extract(st, '(\d+)$', 1) AS BIGINT) ELSE -1 END AS only, CASE WHEN has THEN regexp_replace(st, '\d+$', '') ELSE st END AS stem, nullif(regexp_extract(n, '^g(\d+)_', 1), '') AS grp FROM k""",
+    "anchor_match": f"""WITH {_A} SELECT scene, frame_id, other, round(CASE WHEN lo < 30 AND hi > 225 THEN greatest(d, b) WHEN lo < 30 THEN b WHEN hi > 225 THEN d ELSE (d + b) / 2 END, 6) AS match,
+round(CASE WHEN lo <= 110 AND hi < 146 THEN b WHEN lo > 110 AND hi >= 146 THEN d ELSE least(d, b) END, 6) AS agreement FROM o""",
+    "nearest_exposure": f"""WITH {_F}, c AS (SELECT q.frame_id AS orphan, f.scene AS scene, f.frame_id AS member, abs(f.brightness - q.brightness) AS gap FROM frames q JOIN frames f ON abs(f.scene - q.scene) = 1 WHERE q.brightness < 45 OR q.brightness > 210),
+k AS (SELECT *, row_number() OVER (PARTITION BY orphan, scene ORDER BY gap, member) AS k FROM c) SELECT orphan, scene, member, round(gap, 6) AS gap FROM k WHERE k = 1""",
+    "chroma_chi2": f"WITH {_H}, j AS (SELECT coalesce(a.vec_id, b.vec_id - 1) AS vec_id, coalesce(a.share, 0) AS x, coalesce(b.share, 0) AS y FROM h a FULL JOIN h b ON b.vec_id = a.vec_id + 1 AND a.r = b.r AND a.g = b.g) SELECT vec_id, round(0.5::DOUBLE * sum((x - y) * (x - y) / (x + y + 1e-9)), 6) AS chi2 FROM j WHERE vec_id >= 0 AND vec_id < (SELECT max(vec_id) FROM embeddings) GROUP BY vec_id",
+    "scene_cohesion": f"WITH {_Z} SELECT scene, round(min(CASE WHEN (a % 4) // 2 = (b % 4) // 2 THEN z END), 6) AS inner, round(max(CASE WHEN (a % 4) // 2 <> (b % 4) // 2 THEN z END), 6) AS outer FROM z GROUP BY scene",
+    "merge_candidates": f"""WITH {_F}, l AS (SELECT frame_id, brightness, frame_id // 2 * 2 AS label FROM frames),
+s AS (SELECT label, avg(brightness) AS mean, count(*) AS size, max(CASE WHEN brightness < 45 OR brightness > 210 THEN 1 ELSE 0 END) AS clipped FROM l GROUP BY label),
+n AS (SELECT DISTINCT x.label AS a, y.label AS b FROM l x JOIN l y ON abs(x.frame_id - y.frame_id) = 1 AND x.label <> y.label),
+k AS (SELECT x.label AS a, y.label AS b, row_number() OVER (PARTITION BY x.label ORDER BY abs(x.mean - y.mean), y.label) AS k FROM s x JOIN s y ON x.label <> y.label WHERE x.size <= 3 OR x.clipped = 1)
+SELECT a, b FROM n UNION SELECT a, b FROM k WHERE k <= 14""",
+    "cluster_levels": f"WITH {_F} SELECT scene, round(avg(brightness), 6) AS mean, round(min(brightness), 6) AS lo, round(max(brightness), 6) AS hi FROM frames GROUP BY scene",
+    "unit_centroids": "WITH c AS (SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM (SELECT label, unnest(range(0, 64)) AS dim, unnest(embedding) AS x FROM embeddings) GROUP BY label, dim), n AS (SELECT label, sqrt(sum(mean * mean)) + 1e-9 AS n FROM c GROUP BY label) SELECT label, dim, round(mean / n, 6) AS x FROM c JOIN n USING (label)",
+    "reason_category": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Information-limited' WHEN 1 THEN 'Duplicate frame shared across groups' ELSE 'Mislabeled ground truth (multi-scene)' END AS category FROM events",
+    "brightness_outliers": f"WITH {_F}, m AS (SELECT lvl, median(brightness) AS m FROM frames GROUP BY lvl), d AS (SELECT frame_id, lvl, abs(brightness - m) AS d FROM frames JOIN m USING (lvl)), s AS (SELECT lvl, median(d) AS s FROM d GROUP BY lvl) SELECT frame_id, round(d / (1.4826::DOUBLE * s + 1e-9), 6) AS z FROM d JOIN s USING (lvl)",
+    "audit_rollup": f"WITH {_E}, n AS (SELECT count(*) AS total, (SELECT count(*) FROM hit) AS matched, (SELECT count(*) FROM lo) AS excluded, (SELECT count(*) FROM (SELECT group_id FROM tk EXCEPT SELECT group_id FROM lo EXCEPT SELECT group_id FROM hit)) AS failures FROM tk) SELECT total, matched, excluded, failures, round(100.0::DOUBLE * matched / total, 6) AS matched_percent, round(100.0::DOUBLE * failures / total, 6) AS failed_percent FROM n",
+    "best_cut": f"""WITH {_F}, t AS (SELECT DISTINCT brightness AS t FROM frames), a AS (SELECT t, round(((SELECT count(*) FROM frames WHERE lvl >= 2 AND brightness >= t) / (SELECT count(*) FROM frames WHERE lvl >= 2)::DOUBLE + (SELECT count(*) FROM frames WHERE lvl < 2 AND brightness < t) / (SELECT count(*) FROM frames WHERE lvl < 2)::DOUBLE) / 2, 12) AS a FROM t)
+SELECT round(t, 6) AS threshold, round(a, 6) AS accuracy FROM a ORDER BY a DESC, t LIMIT 1""",
+    "component_curve": f"""WITH RECURSIVE {_N}, ids AS (SELECT id FROM range(0, 70) t(id)), e AS (SELECT least(69, floor((round(sim, 9) - 0.2::DOUBLE) * 100)) AS k, vec_id AS a, other AS b FROM sim WHERE round(sim, 9) >= 0.2 - 1e-12),
+reach(id, node, r) AS (SELECT id, vec_id, vec_id FROM ids, embeddings UNION SELECT reach.id, reach.node, e.b FROM reach JOIN e ON reach.r = e.a AND e.k >= reach.id), m AS (SELECT id, node, min(r) AS r FROM reach GROUP BY id, node) SELECT id, count(DISTINCT r) AS c FROM m GROUP BY id""",
 }

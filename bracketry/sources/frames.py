@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bracketry.operators.ranking import numbered
+
 #: Gains at which the bracket fixture exposes each scene.
 GAINS = (0.15, 0.5, 1.0, 1.9)
 SUFFIXES = r"(?i)\.(jpg|jpeg|png)$"
@@ -32,9 +34,13 @@ def image_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """filename, group_id by header, whatever the column order; of a repeated filename the last row of the file counts."""
-    rows = spark.read.option("header", True).csv(path).select("filename", "group_id").withColumn("at", F.monotonically_increasing_id())
-    return rows.groupBy("filename").agg(F.max_by("group_id", "at").alias("group_id"))
+    """filename, group_id by header, whatever the column order; every row stays, as in an answer key."""
+    return spark.read.option("header", True).csv(path).select("filename", "group_id")
+
+
+def last_wins(rows: DataFrame) -> DataFrame:
+    """Of a repeated filename of predictions (filename, group_id) the last row of the file."""
+    return rows.withColumn("at", F.monotonically_increasing_id()).groupBy("filename").agg(F.max_by("group_id", "at").alias("group_id"))
 
 
 def excluded(spark: SparkSession, path: str) -> DataFrame:
@@ -52,12 +58,10 @@ def failures(spark: SparkSession, path: str) -> DataFrame:
 def predictions(labels: DataFrame) -> DataFrame:
     """filename, group_id of (filename, label): groups numbered by their first filename, rows by group and filename."""
     first = labels.groupBy("label").agg(F.min("filename").alias("first"))
-    # groups are few against files; their numbers come from a window over one row a group
-    numbered = first.withColumn("group_id", F.dense_rank().over(Window.orderBy("first", "label")) - 1)
-    return labels.join(numbered, "label").select("filename", "group_id")
+    return labels.join(numbered(first, ["first", "label"], "group_id"), "label").select("filename", F.col("group_id").cast("int").alias("group_id"))
 
 
 def write_predictions(labels: DataFrame, path: str) -> int:
     out = predictions(labels)
     out.orderBy("group_id", "filename").write.option("header", True).csv(path)
-    return out.select("group_id").distinct().count()
+    return out.count()

@@ -116,6 +116,31 @@ def drift_correlation(a: np.ndarray, b: np.ndarray, most: float = 64) -> tuple[f
     return correlation(a[ya, xa], b[yb, xb]), size
 
 
+def drift_correlations(a: np.ndarray, b: np.ndarray, most: float = 64) -> tuple[np.ndarray, np.ndarray]:
+    """drift_correlation of one edge map with each of b (n, h, w); those of one whole shift are compared at once."""
+    n, h, w = b.shape
+    f = np.fft.fft2(b) * np.conj(np.fft.fft2(a))[None]
+    r = np.real(np.fft.ifft2(f / np.maximum(np.abs(f), 1e-12)))
+    top = r.reshape(n, -1).argmax(axis=1)
+    y, x = (top // w)[:, None] + np.arange(-2, 3), (top % w)[:, None] + np.arange(-2, 3)
+    part = np.maximum(r[np.arange(n)[:, None, None], y[:, :, None] % h, x[:, None] % w], 0)
+    total = np.maximum(part.sum(axis=(1, 2)), 1e-12)
+    dy, dx = (part.sum(axis=2) * y).sum(axis=1) / total, (part.sum(axis=1) * x).sum(axis=1) / total
+    dy, dx = np.where(dy > h / 2, dy - h, dy), np.where(dx > w / 2, dx - w, dx)
+    size, z = np.hypot(dy, dx), np.zeros(n)
+    whole = np.stack([np.round(dy), np.round(dx)], axis=1).astype(int)
+    near = size <= most
+    for sy, sx in np.unique(whole[near], axis=0):
+        at = np.flatnonzero(near & (whole == (sy, sx)).all(axis=1))
+        p = a[max(0, -sy) : h - max(0, sy), max(0, -sx) : w - max(0, sx)]
+        q = b[at, max(0, sy) : h - max(0, -sy), max(0, sx) : w - max(0, -sx)]
+        if p.size >= 2:
+            p, q = p.ravel() - p.mean(), q.reshape(len(at), -1)
+            q = q - q.mean(axis=1, keepdims=True)
+            z[at] = q @ p / (np.linalg.norm(p) * np.linalg.norm(q, axis=1) + 1e-9)
+    return z, size
+
+
 def change(a: np.ndarray, b: np.ndarray, valid: np.ndarray, least: int = 12_000) -> tuple[float, int] | None:
     """Peak of the blurred difference of two equalised images where both are valid, and how many pixels differ by over 40."""
     if valid.sum() < least:

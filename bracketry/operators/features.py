@@ -14,6 +14,8 @@ from bracketry.operators.graph import stored
 
 #: Shares of the two descriptors in the similarity of frames, and the most components of the embedding.
 EDGE_SHARE, COMPONENTS = 0.65, 128
+#: Rows of the matrix of products that are added up together.
+ROWS = 64
 
 
 def mapped(frames: DataFrame, fn: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
@@ -50,19 +52,20 @@ def wavelet_embeddings(frames: DataFrame, side: int = 128, cell: int = 16, compo
             if batch.num_rows:
                 x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, dim)
                 n, s, q = n + len(x), s + x.sum(axis=0), q + x.T @ x
-        for k in range(dim):
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([n]), pa.array([s[k]]), pa.array([q[k]], pa.list_(pa.float64()))], names=["k", "n", "s", "q"])
+        for k in range(0, dim, ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([n]), pa.array([s.tobytes()], pa.binary()), pa.array([q[k : k + ROWS].tobytes()], pa.binary())], names=["k", "n", "s", "q"])
 
     def added(t: pa.Table) -> pa.Table:
-        q = np.sum([np.asarray(x) for x in t.column("q").to_pylist()], axis=0)
-        return pa.table({"k": t.column("k")[:1], "n": [sum(t.column("n").to_pylist())], "s": [float(sum(t.column("s").to_pylist()))], "q": pa.array([q], pa.list_(pa.float64()))})
+        s, q = (np.sum([np.frombuffer(x) for x in t.column(c).to_pylist()], axis=0).tobytes() for c in ("s", "q"))
+        return pa.table({"k": pa.array([t.column("k")[0].as_py()]), "n": pa.array([sum(t.column("n").to_pylist())]), "s": pa.array([s], pa.binary()), "q": pa.array([q], pa.binary())})
 
     parts = rows.select("x").coalesce(rows.sparkSession.sparkContext.defaultParallelism)
-    kind = "k long, n long, s double, q array<double>"
+    kind = "k long, n long, s binary, q binary"
     got = sorted(parts.mapInArrow(products, kind).groupBy("k").applyInArrow(added, kind).toArrow().to_pylist(), key=lambda r: r["k"])
     n = got[0]["n"] if got else 0
-    mean = np.array([r["s"] for r in got]) / max(n, 1)
-    values, vectors = np.linalg.eigh(np.array([r["q"] for r in got]) / max(n, 1) - np.outer(mean, mean)) if n > 1 else (np.zeros(dim), np.eye(dim))
+    mean = np.frombuffer(got[0]["s"]) / n if n else np.zeros(dim)
+    square_ = np.concatenate([np.frombuffer(r["q"]) for r in got]).reshape(dim, dim) / n if n else None
+    values, vectors = np.linalg.eigh(square_ - np.outer(mean, mean)) if n > 1 else (np.zeros(dim), np.eye(dim))
     keep = [k for k in np.argsort(-values, kind="stable")[: min(components, n)] if values[k] > 1e-10 * max(values.max(), 1e-300)]
     basis = vectors[:, keep] / np.sqrt(values[keep] * n / max(n - 1, 1)) if keep else np.zeros((dim, 1))
     basis = basis[:, 1:] if basis.shape[1] > 1 else basis

@@ -551,14 +551,14 @@ def attach_drifted(labels: DataFrame, frames: DataFrame, p: Params | None = None
 
     def run(a: Group, b: Group, la: np.ndarray, lb: np.ndarray) -> dict:
         z = _cross(a, b)[0]
-        ea, eb = ([images.drift_edges(t) for t in g.tiles] for g in (a, b))
-        out = {"a": [], "b": [], "score": []}
-        for i, j in zip(*np.nonzero((z < 0.55) & (la[:, None] != lb[None])), strict=True):
-            got, size = measures.drift_correlation(ea[i], eb[j])
-            if size <= shift:
-                for k, v in zip(out, (la[i], lb[j], got), strict=True):
-                    out[k].append(v)
-        return out
+        ea, eb = (np.stack([images.drift_edges(t) for t in g.tiles]) for g in (a, b))
+        out = [[], [], []]
+        for i in range(len(la)):
+            got, size = measures.drift_correlations(ea[i], eb)
+            j = np.flatnonzero((z[i] < 0.55) & (lb != la[i]) & (size <= shift))
+            for part, v in zip(out, (np.full(len(j), la[i]), lb[j], got[j]), strict=True):
+                part.append(v)
+        return {k: np.concatenate(v) for k, v in zip(("a", "b", "score"), out, strict=True)}
 
     found = blocked(rows.where("size <= 2"), rows, "label", run, "a long, b long, score double", p)
     return joined(labels, _best(found, 0.72, 0.10))

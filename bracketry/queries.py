@@ -13,7 +13,7 @@ from bracketry.operators import features, passes
 from bracketry.operators.graph import complement_components, connected_components
 from bracketry.operators.pairs import band_keys, forest_levels, masked_pairs, scene_scores, top_neighbours
 from bracketry.operators.windows import best_and_margin, gap_runs, ladder_step, plateau_threshold
-from bracketry.plans.grouping import group_frames, group_images
+from bracketry.plans.grouping import group_frames
 from bracketry.sources.frames import bracket_frames, pixels, predictions
 
 ROUND = 6
@@ -202,6 +202,12 @@ def doubled(spark, d):
     return by_first(frames(spark, d).withColumn("g", F.floor(F.col("scene") / 2)), "g")
 
 
+def astray(spark, d):
+    """Scenes whose second frames stand alone in every seventh one."""
+    f = frames(spark, d)
+    return by_first(f.withColumn("g", F.when((F.col("lvl") == 1) & (F.col("scene") % 7 == 0), -1 - F.col("frame_id")).otherwise(F.col("scene"))), "g")
+
+
 def unit_tiles(spark, d):
     """Each tile at length 1."""
     n = F.sqrt(F.aggregate("tile", F.lit(0.0), lambda s, v: s + v * v)) + 1e-9
@@ -354,13 +360,12 @@ QUERIES = {
     "scene_brackets": brackets,
     "edge_descriptors": lambda s, d: features.edge_descriptors(frames(s, d), 8),
     "wavelet_embeddings": lambda s, d: features.wavelet_embeddings(frames(s, d)),
-    "image_grouping": lambda s, d: group_images(frames(s, d), SMALL, 8),
     "orphan_candidates": _pass(stray, passes.orphan_candidates),
     "orphan_reattachment": _pass(stray, passes.attach_orphans),
     "cluster_merging": _pass(halves, passes.merge_groups),
     "clipped_reattachment": _pass(stray, passes.attach_clipped),
     "anchor_reattachment": _pass(stray, passes.attach_by_anchors),
-    "drift_reattachment": _pass(halves, passes.attach_drifted),
+    "drift_reattachment": _pass(astray, passes.attach_drifted),
     **{f"{name}_split": _split(name) for name in passes.SPLITS},
 }
 

@@ -19,7 +19,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["frame_brightness", "fused_similarity_topk", "connected_components", "masked_zncc_scene_pairs", "run_majority_vote", "disagreement_kinds", "orphan_best_match"])
+@pytest.mark.parametrize("name", ["frame_brightness", "fused_similarity_topk", "connected_components", "masked_zncc_scene_pairs", "run_majority_vote", "disagreement_kinds", "orphan_best_match", "tile_sobel", "anchor_match", "merge_candidates", "capture_key_variants", "chroma_chi2", "best_cut", "rank_auc", "predictions_sink", "audit_rollup"])
 def test_same_as_sql(spark, duck, name):
     df = q.QUERIES[name](spark, DATA)
     cur = duck.execute(q.ORACLE_SQL[name])

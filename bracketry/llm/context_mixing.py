@@ -32,7 +32,7 @@ END = b"\n"
 ESCAPE, STOP, FIRST = 0, 1, 2
 #: A token is a symbol of its own if it is at least one in 2**RARE_BITS of all training tokens (and met twice), so there are
 #: at most 2**RARE_BITS of them at any size.
-RARE_BITS = 17
+RARE_BITS = 20
 #: The most frequent tokens, the last of which is a context.
 MARKERS = 32
 #: Least and most log2 of the slots of a hashed table. Between them there are two slots or more a distinct token.

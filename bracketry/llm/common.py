@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +30,41 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch that is sent to Python while a table is saved; a longer row is a batch by itself.
+BATCH_BYTES = 8 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors. Arrow batches are of
+    BATCH_BYTES at most meanwhile; the session's own setting is put back."""
+    conf, path = df.sparkSession.conf, f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    before = conf.get(_BATCH_BYTES, None)
+    conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            conf.unset(_BATCH_BYTES)
+        else:
+            conf.set(_BATCH_BYTES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives freed memory back to the system, as workers are kept for other tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
 def remainder(doc_id: str, n: int):
     """crc32 of the id as text, modulo n; null ids give null."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n

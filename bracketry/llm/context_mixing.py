@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bracketry.llm.common import ASCII_LOWER, remainder, saved, table, texts
+from bracketry.llm.common import ASCII_LOWER, remainder, saved, table, texts, tidy
 from bracketry.llm.jaccard_join import Words
 
 END = b"\n"
@@ -471,7 +471,7 @@ def _spellings(known: DataFrame, least: int, code: Code) -> Callable[[DataFrame]
                 counts.add(slots, bit, part.column("c").to_numpy().astype(np.uint32)[word])
         yield from counts.rows()
 
-    counts, _, _ = _gathered(rare.mapInArrow(count, _ROWS), SPELL_BITS, 5, raw=True)
+    counts, _, _ = _gathered(rare.mapInArrow(tidy(count), _ROWS), SPELL_BITS, 5, raw=True)
     sent = spark.sparkContext.broadcast(counts.n)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,7 +489,7 @@ def _spellings(known: DataFrame, least: int, code: Code) -> Callable[[DataFrame]
                 mixer.learn(x, seen[4] * 8 + seen[2], node, bit, part.column("c").to_numpy().astype(np.float32)[word])
         yield _row(-1, TaskContext.get().partitionId(), b"", 0, [*mixer.state(), np.zeros(8).tobytes()])
 
-    _, mixer, _ = _gathered(rare.mapInArrow(learn, _ROWS), SPELL_BITS, len(SPELL_BITS))
+    _, mixer, _ = _gathered(rare.mapInArrow(tidy(learn), _ROWS), SPELL_BITS, len(SPELL_BITS))
     tables = spark.sparkContext.broadcast(Tables([coded(n.reshape(-1, 2)) for n in counts.n]))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -498,7 +498,7 @@ def _spellings(known: DataFrame, least: int, code: Code) -> Callable[[DataFrame]
                 h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h), part.column("c"), pa.array(spelling_scores(tables.value, mixer, words, code))], names=["h", "c", "spell"])
 
-    return lambda words: words.select("word", "c").mapInArrow(apply, "h long, c long, spell double")
+    return lambda words: words.select("word", "c").mapInArrow(tidy(apply), "h long, c long, spell double")
 
 
 def _count(docs: DataFrame, folds: int, out: int) -> DataFrame:
@@ -523,7 +523,7 @@ def _count(docs: DataFrame, folds: int, out: int) -> DataFrame:
         yield flush()
 
     train = F.coalesce(remainder("doc_id", folds) != out, F.lit(False)).alias("train")
-    parts = docs.select(F.col("text").cast("string"), train).mapInArrow(run, "word binary, c long")
+    parts = docs.select(F.col("text").cast("string"), train).mapInArrow(tidy(run), "word binary, c long")
     return parts.groupBy("word").agg(F.sum("c").alias("c"))
 
 
@@ -569,7 +569,7 @@ def _learned(train: DataFrame, sent, sizes: tuple[int, ...]) -> tuple[Tables, Mi
         yield from counts.rows()
         yield _row(-1, TaskContext.get().partitionId(), b"", 0, [*mixer.state(), tally.tobytes()])
 
-    return _gathered(train.mapInArrow(run, _ROWS), sizes, Stream.INPUTS)
+    return _gathered(train.mapInArrow(tidy(run), _ROWS), sizes, Stream.INPUTS)
 
 
 def score(docs: DataFrame, folds: int = 7, out: int = 2) -> DataFrame:
@@ -622,7 +622,7 @@ def score(docs: DataFrame, folds: int = 7, out: int = 2) -> DataFrame:
             row += n
 
     kept = "row long, doc_id long, n_tokens long, n_known long, base double, bytes long, score double, h array<long>, times array<long>, spelt array<long>"
-    main = saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kept), "running-scores")
+    main = saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), kept), "running-scores")
     each = main.select("row", F.explode(F.arrays_zip("h", "times", "spelt")).alias("e")).select("row", F.col("e.h").alias("h"), F.col("e.times").alias("times"), F.col("e.spelt").alias("spelt"))
     terms = each.join(rare, "h").select(
         F.col("row").alias("r"), F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("known"),

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bracketry.llm.common import ASCII_LOWER, salt, saved, sliced, spread_over, table, texts
+from bracketry.llm.common import ASCII_LOWER, salt, saved, sliced, spread_over, table, texts, tidy
 
 SHINGLE, PERCENT = 5, 80
 MIN_BITS = 512
@@ -180,7 +180,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             packed = [zstandard.ZstdCompressor(level=1).compress(b.tobytes()) for b in counters.reshape(BLOCKS, -1)]
             yield pa.RecordBatch.from_arrays([pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.binary()), pa.array(range(BLOCKS), pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, fp binary, block int, counts binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, n long, fp binary, block int, counts binary")
 
 
 def _levels(sets: DataFrame) -> tuple[np.ndarray, int]:
@@ -199,7 +199,7 @@ def _levels(sets: DataFrame) -> tuple[np.ndarray, int]:
         for k, c in own.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level_of(c).tobytes()], pa.binary()), pa.array([int(c.sum())], pa.int64())], names=["block", "levels", "total"])
 
-    got = sets.where("block is not null").select("block", "counts").repartition("block").mapInArrow(run, "block int, levels binary, total long").toArrow()
+    got = sets.where("block is not null").select("block", "counts").repartition("block").mapInArrow(tidy(run), "block int, levels binary, total long").toArrow()
     out = np.zeros((BLOCKS, size), np.uint8)
     for k, c in zip(got.column("block").to_pylist(), got.column("levels").to_pylist(), strict=True):
         out[k] = np.frombuffer(c, np.uint8)
@@ -225,7 +225,7 @@ def _classes(docs: DataFrame, levels, hot: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32()), strict=True)], names=["fp", "n", "bits", "first", "keys", "late"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "fp binary, n long, bits binary, first binary, keys binary, late int")
+    return docs.select(F.col("text").cast("string")).mapInArrow(tidy(run), "fp binary, n long, bits binary, first binary, keys binary, late int")
 
 
 def _first_keys(classes: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def _first_keys(classes: DataFrame) -> DataFrame:
                 k = np.array([len(x) for x in each])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each)), pa.array(np.repeat(batch.column("id").to_numpy(), k)), pa.array(np.repeat(batch.column("n").to_numpy(), k))], names=["h", "id", "n"])
 
-    return classes.select("first", "id", "n").mapInArrow(run, "h long, id long, n long")
+    return classes.select("first", "id", "n").mapInArrow(tidy(run), "h long, id long, n long")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def _postings(classes: DataFrame) -> DataFrame:
                 cols = [np.concatenate(each), *(np.repeat(b.column(c).to_numpy(), k) for c in ("id", "n", "comp")), place.astype(np.int32), hot]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "id", "n", "comp", "place", "hot"])
 
-    return classes.select("keys", "id", "n", "comp", "late").mapInArrow(run, "h long, id long, n long, comp long, place int, hot boolean")
+    return classes.select("keys", "id", "n", "comp", "late").mapInArrow(tidy(run), "h long, id long, n long, comp long, place int, hot boolean")
 
 
 def _tiles(postings: DataFrame) -> DataFrame:
@@ -291,7 +291,7 @@ def _tiles(postings: DataFrame) -> DataFrame:
             yield _pairs_batch(found)
 
     rare = postings.where("not hot").select("h", "id", "n", "comp", "place")
-    return rare.repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(run, "a long, b long").distinct()
+    return rare.repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _pairs_batch(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -355,32 +355,49 @@ def _possible(pairs: DataFrame, lite: DataFrame) -> DataFrame:
 
     left = lite.select(F.col("id").alias("a"), "n", "bits")
     right = lite.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "n2", "bits", "bits2").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "n2", "bits", "bits2").mapInArrow(tidy(run), "a long, b long")
+
+
+def _filter(slots: DataFrame, size: int) -> bytes:
+    """A bit for each of size slots, lowest first in a byte: set if it is in slots (s). Tasks make blocks of it; the driver
+    gets the bits only, size / 8 bytes at most, never the rows."""
+    block = 1 << 19
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = {}
+        for batch in batches:
+            s = batch.column("s").to_numpy()
+            for k in np.unique(s // block).tolist():
+                own.setdefault(k, np.zeros(block, bool))[s[s // block == k] % block] = True
+        for k, bits in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
+
+    got = slots.repartition(F.expr(f"s div {block}")).mapInArrow(tidy(run), "block long, bits binary").toArrow()
+    out = np.zeros((-(-size // block), block // 8), np.uint8)
+    for k, bits in zip(got.column("block").to_pylist(), got.column("bits").to_pylist(), strict=True):
+        out[k] = np.frombuffer(bits, np.uint8)
+    return out.tobytes()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that link by their exact sets, which are made anew for the documents involved only."""
     spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
     size = max(1024, FILTER_BITS * ids.count())
-    sent = None
-    if size // 8 <= FILTER_BYTES:  # a hash filter; ids that pass by chance go in the join below
-        slot = F.pmod(F.xxhash64("id"), F.lit(size))
-        table_ = np.zeros(size, bool)
-        table_[np.asarray(ids.select(slot.alias("s")).toArrow().column("s").to_numpy(), np.int64)] = True
-        sent = spark.sparkContext.broadcast(np.packbits(table_).tobytes())
+    sent = spark.sparkContext.broadcast(_filter(ids.select(F.pmod(F.xxhash64("id"), F.lit(size)).alias("s")), size)) if size // 8 <= FILTER_BYTES else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(np.frombuffer(sent.value, np.uint8)) if sent else None
+        flags = np.frombuffer(sent.value, np.uint8) if sent else None
         for batch in batches:
             if flags is not None:
-                batch = batch.filter(pa.array(flags[batch.column("s").to_numpy()] == 1))
+                s = batch.column("s").to_numpy()
+                batch = batch.filter(pa.array(flags[s >> 3] >> (s & 7).astype(np.uint8) & 1 == 1))
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingles(t).tobytes() for t in texts(b)], pa.binary())], names=["id", "x"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ok = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -388,9 +405,9 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).where("id is not null")
-    arrays = own.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(size))).mapInArrow(run, "id long, x binary")
+    arrays = own.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(size))).mapInArrow(tidy(run), "id long, x binary")
     joined = pairs.join(arrays.withColumnRenamed("id", "a"), "a").join(arrays.select(F.col("id").alias("b"), F.col("x").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
+    return joined.select("a", "b", "x", "y").mapInArrow(tidy(check), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bracketry.llm.common import sliced, table, texts
+from bracketry.llm.common import sliced, table, texts, tidy
 from bracketry.llm.jaccard_join import Words, _mix
 
 SHINGLE, CONTAINED, BANDS = 5, 0.8, 64
@@ -154,7 +154,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> Dat
         for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([index.find(t) for t in texts(batch)], kind)], names=["doc_id", "matches"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, matches array<struct<license:string,template:int,start:int,end:int,containment:double>>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, matches array<struct<license:string,template:int,start:int,end:int,containment:double>>")
 
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

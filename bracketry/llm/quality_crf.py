@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bracketry.llm.common import held_out, remainder, table, texts
+from bracketry.llm.common import held_out, remainder, table, texts, tidy
 
 #: Labelled documents to fit on at most, and the bytes of a text to be among them.
 SAMPLE, SAMPLE_BYTES = 4000, 65_536
@@ -201,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, out: int = 0, rows
             got = [line_features(t) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x, _ in got], pa.binary()), pa.array([w.tobytes() for _, w in got], pa.binary()), batch.column("label")], names=["x", "w", "label"])
 
-    got = sample(docs, labels, "quality", folds, out, rows, SAMPLE_BYTES).mapInArrow(run, "x binary, w binary, label int").toArrow()
+    got = sample(docs, labels, "quality", folds, out, rows, SAMPLE_BYTES).mapInArrow(tidy(run), "x binary, w binary, label int").toArrow()
     got = got.slice(0, 2 * rows).to_pydict()
     order = sorted(range(len(got["x"])), key=lambda i: (got["label"][i], got["x"][i]))  # the same rows in any order give the same model
     return fit([np.frombuffer(got["x"][i], np.float32).reshape(-1, OWN) for i in order], [np.frombuffer(got["w"][i], np.float32) for i in order], np.array([got["label"][i] for i in order], np.float64))
@@ -222,7 +222,7 @@ def apply(docs: DataFrame, model: dict) -> DataFrame:
                 bad = [np.flatnonzero(g < 0.5).tolist() for g in np.split(good, starts[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score(sent.value, features, weights), pa.float64()), pa.array(bad, pa.list_(pa.int32()))], names=["doc_id", "score", "bad_lines"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, bad_lines array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, score double, bad_lines array<int>")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -237,7 +237,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
                 got = [line_features(t) for t in texts(part)]
                 yield part.filter(pa.array(score(sent.value, [x for x, _ in got], [w for _, w in got]) >= threshold))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

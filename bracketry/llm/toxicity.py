@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bracketry.llm.common import held_out, sliced, table, texts
+from bracketry.llm.common import held_out, sliced, table, texts, tidy
 from bracketry.llm.quality_crf import sample
 
 #: Labelled documents to fit on at most, and the bytes of a text to be among them.
@@ -166,7 +166,7 @@ def apply(docs: DataFrame, model: dict) -> DataFrame:
                 found.append(offending(t, p) if p.max() >= OFFENDING else [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(found, spans)], names=["doc_id", "score", "sentences"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, sentences array<struct<start:int,end:int,p:double>>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, score double, sentences array<struct<start:int,end:int,p:double>>")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -178,7 +178,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
         for batch in sliced(batches):
             yield batch.filter(pa.array([document_score(sent.value, t, weights) < threshold for t in texts(batch)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

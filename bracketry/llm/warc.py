@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bracketry.llm.common import scratch_dir, small, table
+from bracketry.llm.common import scratch_dir, small, table, tidy
 
 #: Payloads from this size on are written once; other records of the same payload revisit it.
 REVISIT_BYTES = 1000
@@ -132,7 +132,7 @@ def arcs(pages: DataFrame) -> DataFrame:
             made = [arc_record(2 if (key or "0")[-1] in "02468" else 1, url or "-", "0.0.0.0", "19700101000000", "text/html", (html or "").encode()) for key, url, html in rows]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "sha1", "refers_to", "refers_url")), pa.array(made, pa.binary())], names=["key", "sha1", "refers_to", "refers_url", "arc"])
 
-    return pages.select("key", "sha1", "refers_to", "refers_url", "url", "html").mapInArrow(run, "key string, sha1 string, refers_to string, refers_url string, arc binary")
+    return pages.select("key", "sha1", "refers_to", "refers_url", "url", "html").mapInArrow(tidy(run), "key string, sha1 string, refers_to string, refers_url string, arc binary")
 
 
 def convert(arc: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def convert(arc: DataFrame) -> DataFrame:
                     made.append(warc_record(r, own or "", sha1 if sha1 and len(records) == 1 else hashlib.sha1(r["body"]).hexdigest(), refers_to, url))
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["warc"])
 
-    return arc.mapInArrow(run, "warc binary")
+    return arc.mapInArrow(tidy(run), "warc binary")
 
 
 def write(warc: DataFrame, path: str, mean_bytes: float = 0) -> None:
@@ -179,7 +179,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 5 else pa.string()) for k, c in enumerate(part)], names=["key", "record_type", "record_id", "date", "url", "payload_bytes", "payload_digest", "refers_to"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(run, "key string, record_type string, record_id string, date string, url string, payload_bytes long, payload_digest string, refers_to string")
+    return files.select("content").mapInArrow(tidy(run), "key string, record_type string, record_id string, date string, url string, payload_bytes long, payload_digest string, refers_to string")
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:

@@ -459,7 +459,8 @@ def groups(docs: DataFrame) -> DataFrame:
     more = saved(more.join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"), "more-pairs")
     edges = found.union(_verified(docs, more))
     # copies: each row's node is linked to its class
-    same = own.join(ids, "fp").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
+    copied = own.groupBy("fp").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("most")).where("id <> most").select("fp", "id")
+    same = own.withColumn("__salt", salt(SALTS, "doc_id")).join(spread_over(copied, SALTS), ["fp", "__salt"]).select(F.col("id").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
     labels = components(edges.union(same))
     return rows.join(labels.withColumnRenamed("id", "l_id"), F.col("doc_id") == F.col("l_id"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 

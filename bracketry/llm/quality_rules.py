@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bracketry.llm.common import saved, sliced, small, table, texts
+from bracketry.llm.common import saved, sliced, small, table, texts, tidy
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Limits of the method's own rules: symbols a word, lines that repeat, code points a word.
@@ -77,7 +77,7 @@ def measure(docs: DataFrame, host: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *(pa.array(c) for c in got.T)], names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
+        tidy(run), "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
     )
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bracketry.llm.common import held_out, remainder, table, texts, tidy
+from bracketry.llm.common import give_back, held_out, remainder, table, texts, tidy
 
 #: Labelled documents to fit on at most, and the bytes of a text to be among them.
 SAMPLE, SAMPLE_BYTES = 4000, 65_536
@@ -204,7 +204,11 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, out: int = 0, rows
     got = sample(docs, labels, "quality", folds, out, rows, SAMPLE_BYTES).mapInArrow(tidy(run), "x binary, w binary, label int").toArrow()
     got = got.slice(0, 2 * rows).to_pydict()
     order = sorted(range(len(got["x"])), key=lambda i: (got["label"][i], got["x"][i]))  # the same rows in any order give the same model
-    return fit([np.frombuffer(got["x"][i], np.float32).reshape(-1, OWN) for i in order], [np.frombuffer(got["w"][i], np.float32) for i in order], np.array([got["label"][i] for i in order], np.float64))
+    try:
+        return fit([np.frombuffer(got["x"][i], np.float32).reshape(-1, OWN) for i in order], [np.frombuffer(got["w"][i], np.float32) for i in order], np.array([got["label"][i] for i in order], np.float64))
+    finally:
+        del got
+        give_back()
 
 
 def apply(docs: DataFrame, model: dict) -> DataFrame:

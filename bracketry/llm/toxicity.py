@@ -7,6 +7,7 @@ fitted to the documents' labels; the sentences of high probability are then the
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bracketry.llm.common import held_out, sliced, table, texts, tidy
+from bracketry.llm.common import give_back, held_out, sliced, table, texts, tidy
 from bracketry.llm.quality_crf import sample
 
 #: Labelled documents to fit on at most, and the bytes of a text to be among them.
@@ -72,20 +73,21 @@ def choose(documents: Iterator[set[bytes]], labels: np.ndarray) -> list[bytes]:
     return sorted((w for w in z if z[w] >= MIN_Z), key=lambda w: (-z[w], w))[:VOCABULARY]
 
 
-def fit(docs: list[list[set[bytes]]], labels: np.ndarray, steps: int = 500, l2: float = 1e-5) -> dict:
+def fit(docs: list[bytes], labels: np.ndarray, steps: int = 500, l2: float = 1e-5) -> dict:
     """Weights of words and a bias, by Adam on the documents' likelihood. Without labels of both
-    classes the model knows no word, and all scores are 0."""
+    classes the model knows no word, and all scores are 0. Texts are taken apart twice, one at a time: words of all of
+    them would be many times as large as the texts."""
     if len(set(labels.tolist())) < 2:
         return {"words": {}, "bias": -12.0}
-    whole = ({f for s in d for w in s for f in features(w)} for d in docs)
+    whole = ({f for w in set(t.translate(_TABLE).split()) for f in features(w)} for t in docs)
     index = {w: k for k, w in enumerate(choose(whole, labels))}
-    at, word, doc_of = [], [], []  # of sentences with words of the index
+    at, word, doc_of = array("q"), array("q"), array("q")  # of sentences with words of the index
     n = 0
-    for k, d in enumerate(docs):
-        for s in d:
+    for k, t in enumerate(docs):
+        for s in bags(t):
             if found := [index[f] for f in {f for w in s for f in features(w)} if f in index]:
-                at += [n] * len(found)
-                word += found
+                at.extend([n] * len(found))
+                word.extend(found)
                 doc_of.append(k)
                 n += 1
     at, word, doc_of = np.array(at, np.int64), np.array(word, np.int64), np.array(doc_of, np.int64)
@@ -148,7 +150,11 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, rows
     the same label count once, null labels and other columns are not read; an empty table gives the model without words."""
     got = sample(docs, labels, "toxic", folds, out, rows, SAMPLE_BYTES).toArrow().slice(0, 2 * rows).combine_chunks()
     pairs = sorted(set(zip(texts(got), got.column("label").to_pylist(), strict=True)))  # copies count once
-    return fit([bags(t) for t, _ in pairs], np.array([y for _, y in pairs], np.int64))
+    del got
+    try:
+        return fit([t for t, _ in pairs], np.array([y for _, y in pairs], np.int64))
+    finally:
+        give_back()
 
 
 def apply(docs: DataFrame, model: dict) -> DataFrame:

@@ -228,3 +228,22 @@ def test_files_of_labels(spark, tmp_path):
     assert image_sources.chunks(n, 6).groupBy("chunk").count().count() == 5
     assert [r["k"] for r in numbered(n, ["group_id"], "k").orderBy("group_id").collect()] == list(range(10)) and numbered(n.limit(0), ["group_id"], "k").count() == 0
     assert sources.image_files(spark, at).where(F.col("filename").isin("m.csv")).count() == 0
+
+
+def test_nearest_values_with_ties(spark):
+    rng = np.random.default_rng(4)
+    m = np.concatenate([rng.integers(0, 40, 300) / 2, rng.random(200) * 20, np.full(60, 7.5)])
+    rows = spark.createDataFrame([(k, float(v)) for k, v in enumerate(m)], "b long, m double")
+    asks = rows.where("b % 3 > 0").withColumnRenamed("b", "a")
+    got = {(r["a"], r["b"]) for r in passes.nearest(asks, rows, 14, block=50).collect()}
+    want = {(a, b) for a in range(len(m)) if a % 3 for _, b in sorted((abs(m[a] - m[b]), b) for b in range(len(m)) if b != a)[:14]}
+    assert got == want and passes.nearest(asks.where("a = 1"), rows.where("b = 1"), 14).count() == 0
+
+
+def test_many_groups_of_one_brightness(spark):
+    n = 40_000  # each with each would be 1.6 thousand million rows
+    frames = spark.range(n).selectExpr("id as frame_id", "concat('x', id, 'y') as filename", "30.0D as brightness")
+    got = {}
+    for r in passes.merge_candidates(frames.selectExpr("frame_id", "frame_id as label"), frames).where("a < 3 or a >= 39999").collect():
+        got.setdefault(r["a"], []).append(r["b"])
+    assert {a: sorted(b) for a, b in got.items()} == {0: list(range(1, 15)), 1: [0, *range(2, 15)], 2: [0, 1, *range(3, 15)], 39999: list(range(14))}

@@ -247,3 +247,21 @@ def test_many_groups_of_one_brightness(spark):
     for r in passes.merge_candidates(frames.selectExpr("frame_id", "frame_id as label"), frames).where("a < 3 or a >= 39999").collect():
         got.setdefault(r["a"], []).append(r["b"])
     assert {a: sorted(b) for a, b in got.items()} == {0: list(range(1, 15)), 1: [0, *range(2, 15)], 2: [0, 1, *range(3, 15)], 39999: list(range(14))}
+
+
+def test_groups_merge_at_once_as_one_by_one():
+    rng = np.random.default_rng(6)
+    p = passes.Params(edges=False, least=20)
+    scene = rng.normal(size=(6, 64))
+    groups = []
+    for k in range(30):
+        n = 1 + k % 3
+        tiles = [np.clip(np.floor((128 + 60 * scene[k % 6] + 45 * rng.normal(size=64)) * rng.choice([0.15, 0.5, 1, 1.9])), 0, 255) for _ in range(n)]
+        groups.append(passes.Group(np.arange(n), [""] * n, [t.mean() for t in tiles], tiles, p))
+    sides = [(g.b, *g.compared()) for g in groups]
+    a, b = (t.ravel() for t in np.mgrid[:30, :30])
+    one = np.array([[passes.should_merge(x, y) for y in groups] for x in groups])
+    for ways, want in ((1, one), (2, one.T), (3, one | one.T)):
+        got = passes.merging((a, sides), (b, sides), np.full(900, ways), p).reshape(30, 30)
+        assert (got == want).all() and want.any() and not want.all()
+    assert (one != one.T).any()

@@ -265,3 +265,26 @@ def test_groups_merge_at_once_as_one_by_one():
         got = passes.merging((a, sides), (b, sides), np.full(900, ways), p).reshape(30, 30)
         assert (got == want).all() and want.any() and not want.all()
     assert (one != one.T).any()
+
+
+def test_orphans_found_by_score_are_those_of_all_candidates(spark):
+    rng = np.random.default_rng(7)
+    scene = rng.normal(size=(9, 64))
+    rows = []
+    for k in range(120):
+        x = np.clip(np.floor((128 + 60 * scene[k % 9] + 25 * rng.normal(size=64)) * (0.15, 0.5, 1, 1.9)[k // 9 % 4]), 0, 255)
+        rows.append((k, f"IMG_{k:05d}.jpg", float(x.mean()), x.tolist()))
+    frames = spark.createDataFrame(rows, "frame_id long, filename string, brightness double, tile array<double>")
+    label = {k: k if k % 5 == 0 else 1000 + k % 9 for k in range(120)}
+    labels = spark.createDataFrame(list(label.items()), "frame_id long, label long")
+    p = passes.Params(edges=False, least=24, block=11)
+    kept = lambda rows: {(r["frame_id"], r["b"], r["member"], r["n"], round(r["z"], 9)) for r in rows}
+    every = passes.orphan_candidates(labels, frames, p).collect()
+    orphans = {k for k, _, b, _ in rows if k % 5 == 0 and (b < 45 or b > 210)}
+    assert {(r["frame_id"], r["b"]) for r in every} == {(k, b) for k in orphans for b in set(label.values()) if b != label[k]} and len(every) == len({(r["frame_id"], r["b"]) for r in every})
+    for r in every[::17]:
+        gaps = [(abs(rows[k][2] - rows[r["frame_id"]][2]), k) for k in label if label[k] == r["b"]]
+        assert (r["gap"], r["member"]) == min(gaps)
+    some = passes.orphan_candidates(labels, frames, p, least=0.5).collect()
+    assert len(some) > 10 and kept(some) == kept(r for r in every if r["z"] >= 0.5 and r["n"] >= 24)
+    assert kept(passes.orphan_candidates(labels, frames, p, every=50).collect()) == kept(r for r in every if r["frame_id"] % 50 == 0)

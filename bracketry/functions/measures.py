@@ -116,12 +116,31 @@ def drift_correlation(a: np.ndarray, b: np.ndarray, most: float = 64) -> tuple[f
     return correlation(a[ya, xa], b[yb, xb]), size
 
 
-def drift_correlations(a: np.ndarray, b: np.ndarray, most: float = 64) -> tuple[np.ndarray, np.ndarray]:
-    """drift_correlation of one edge map with each of b (n, h, w); those of one whole shift are compared at once."""
+def may_drift(a: np.ndarray, b: np.ndarray, least: float, shift: float) -> np.ndarray:
+    """Whether maps of a and b (n, h, w) may have a drift_correlation of ``least``: by all whole shifts a drift of up to
+    ``shift`` may be rounded to, with room for single precision."""
+    h, w = b.shape[1:]
+    out = np.zeros((len(a), len(b)), bool)
+    for sy in range(-(h - h // 2), h - h // 2 + 1):
+        for sx in range(-(w - w // 2), w - w // 2 + 1):
+            if np.hypot(max(abs(sy) - 0.5, 0), max(abs(sx) - 0.5, 0)) > shift:
+                continue
+            p = a[:, max(0, -sy) : h - max(0, sy), max(0, -sx) : w - max(0, sx)].reshape(len(a), -1)
+            q = b[:, max(0, sy) : h - max(0, -sy), max(0, sx) : w - max(0, -sx)].reshape(len(b), -1)
+            if p.shape[1] >= 2:
+                p, q = (t - t.mean(axis=1, keepdims=True) for t in (p, q))
+                p, q = ((t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-12)).astype(np.float32) for t in (p, q))
+                out |= p @ q.T >= np.float32(least - 1e-3)
+    return out
+
+
+def drift_correlations(a: np.ndarray, b: np.ndarray, most: float = 64, fb: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """drift_correlation of one edge map with each of b (n, h, w); those of one whole shift are compared at once. ``fb``:
+    fft2 of b, if it is known."""
     n, h, w = b.shape
-    f = np.fft.fft2(b) * np.conj(np.fft.fft2(a))[None]
+    f = (np.fft.fft2(b) if fb is None else fb) * np.conj(np.fft.fft2(a))[None]
     r = np.real(np.fft.ifft2(f / np.maximum(np.abs(f), 1e-12)))
-    top = r.reshape(n, -1).argmax(axis=1)
+    top = r.reshape(n, h * w).argmax(axis=1)
     y, x = (top // w)[:, None] + np.arange(-2, 3), (top % w)[:, None] + np.arange(-2, 3)
     part = np.maximum(r[np.arange(n)[:, None, None], y[:, :, None] % h, x[:, None] % w], 0)
     total = np.maximum(part.sum(axis=(1, 2)), 1e-12)

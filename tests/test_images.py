@@ -288,3 +288,19 @@ def test_orphans_found_by_score_are_those_of_all_candidates(spark):
     some = passes.orphan_candidates(labels, frames, p, least=0.5).collect()
     assert len(some) > 10 and kept(some) == kept(r for r in every if r["z"] >= 0.5 and r["n"] >= 24)
     assert kept(passes.orphan_candidates(labels, frames, p, every=50).collect()) == kept(r for r in every if r["frame_id"] % 50 == 0)
+
+
+@pytest.mark.parametrize("side", [7, 8])
+def test_no_drift_is_missed(side):
+    rng = np.random.default_rng(8)
+    a = np.stack([images.drift_edges(rng.random((side, side)) * 255) for _ in range(40)] + [np.zeros((side, side))])
+    b = np.concatenate([a, np.roll(a, 2, axis=1) + rng.random(a.shape), np.roll(a, (1, -3), axis=(1, 2)), rng.random(a.shape)])
+    may = measures.may_drift(a, b, 0.61, 14)
+    hits = 0
+    for i in range(len(a)):
+        got, size = measures.drift_correlations(a[i], b)
+        some = np.flatnonzero(may[i])
+        assert may[i][(got >= 0.61) & (size <= 14)].all()
+        assert np.allclose(measures.drift_correlations(a[i], b[some], fb=np.fft.fft2(b)[some])[0], got[some], atol=1e-9)
+        hits += ((got >= 0.61) & (size <= 14)).sum()
+    assert hits > 40 and not may.all()

@@ -15,7 +15,7 @@ from bracketry.operators.windows import plateau_threshold
 
 def group_frames(frames: DataFrame, least: float = 0.70, overlap: int = 24) -> DataFrame:
     """filename, label: components of the frames that correlate at `least` over `overlap` pixels or more."""
-    edges = masked_pairs(frames, least, overlap).select("a", "b")
+    edges = masked_pairs(frames, least, overlap, forest=True).select("a", "b")
     labels = connected_components(frames.select(F.col("frame_id").alias("node")), edges)
     return frames.join(labels, frames.frame_id == labels.node).select("filename", "label")
 

@@ -42,6 +42,8 @@ SPELL_BITS = (16, 20, 20, 20, 20)
 #: Tokens (in whole texts) whose contexts are made at once, and decisions that are handled at once. Weights are corrected
 #: after as many, at first after LEAST_STEP, then after a 32nd of those seen so far.
 BLOCK, STEP, LEAST_STEP = 1 << 16, 1 << 16, 1 << 11
+#: The most frequent tokens, which are looked up in a table of their own that stays in the cache.
+COMMON = 1 << 12
 #: Levels of the code whose counts for a context lie side by side.
 GROUP = 4
 CHUNK = 1 << 16
@@ -119,7 +121,11 @@ class Code:
             on = depth % GROUP > k
             place[on] = 2 * place[on] + self.bit[first[on] + k]
         self.salt, self.within = (self.node[first].astype(np.uint32) + np.uint32(1)) * _C1, place
-        self.context = np.minimum(self.node, Mixer.MAPS - 1).astype(np.int64)
+        # of each decision the bit, the place in the line and the context of the maps; of each line its salt
+        self.facts = self.bit | place.astype(np.uint16) << 1 | np.minimum(self.node, Mixer.MAPS - 1).astype(np.uint16) << 5
+        self.lines = -(-size // GROUP)
+        self.line = np.cumsum(self.lines) - self.lines
+        self.line_salt = self.salt[depth % GROUP == 0]
 
 
 class Mixer:
@@ -235,8 +241,9 @@ class Stream:
         told = (self.guess[self.rare] == ESCAPE) if n else np.empty(0, bool)
         self.told, self.known = told, told & (id_[before[self.rare]] == id_[self.rare]) if n else told
 
-    def steps(self, step: Callable[[], int] = lambda: STEP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Token and place in the code of some decisions at a time, about as many as asked for each time."""
+    def steps(self, step: Callable[[], int] = lambda: STEP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """Token and place in the code of some decisions at a time, about as many as asked for each time, their lines and
+        of each line the first slot by each context."""
         size = self.code.size[self.symbols]
         ends = np.cumsum(size)
         at = 0
@@ -246,13 +253,30 @@ class Stream:
             token = np.repeat(np.arange(at, to), n)
             place = np.arange(len(token))
             place += np.repeat(self.code.start[self.symbols[at:to]] - np.cumsum(n) + n, n)
-            yield token, place
+            yield token, place, *self.hashed(at, to, n)
             at = to
 
-    def bits(self, token: np.ndarray, place: np.ndarray, size: int) -> tuple:
-        """Bit, slots of the tables, the match's input and its sureness of each decision."""
-        salt, within = self.code.salt.take(place), self.code.within.take(place)
-        slots = [_lined(c.take(token), salt, within, size) for c in self.contexts]
+    def hashed(self, at: int, to: int, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The lines of some tokens' decisions, and the hash of each line with each context."""
+        lines = self.code.lines.take(self.symbols[at:to])
+        ends = np.cumsum(lines)
+        count = int(ends[-1])
+        salt = np.arange(count)
+        salt += np.repeat(self.code.line.take(self.symbols[at:to]) - ends + lines, lines)
+        salt = self.code.line_salt.take(salt)
+        held = np.full(count, GROUP)
+        held[ends - 1] = sizes - (lines - 1) * GROUP
+        owner = np.repeat(np.arange(at, to), lines)
+        return np.repeat(np.arange(count), held), [(c.take(owner) ^ salt) * _C2 for c in self.contexts]
+
+    def bits(self, token: np.ndarray, place: np.ndarray, line: np.ndarray, hashes: list[np.ndarray], size: int) -> tuple:
+        """Bit, slots of the tables, the match's input, its sureness and the maps' context of each decision."""
+        facts = self.code.facts.take(place)
+        bit, within = (facts & np.uint16(1)).astype(np.uint8), (facts >> np.uint16(1) & np.uint16(15)).astype(np.int64)
+        slots = []
+        for h in hashes:
+            slots.append((h >> np.uint32(32 - size)).astype(np.int64).take(line))
+            slots[-1] ^= within
         sure = self.sure.take(token)
         met = np.flatnonzero(sure)
         x = np.zeros(len(token), np.float32)
@@ -263,7 +287,8 @@ class Stream:
             agrees = (d < self.code.size[g]) & (self.code.node[to] == self.code.node[at])
             x[met] = np.where(agrees, self.code.bit[to] * np.float32(4) - np.float32(2), 0)
             sure[met] *= agrees
-        return self.code.bit.take(place), slots, x, sure
+        facts >>= np.uint16(5)
+        return bit, slots, x, sure, facts
 
 
 class Counts:
@@ -285,8 +310,10 @@ class Counts:
         return x, [seen[k] for k in gates]
 
     def add(self, slots: list[np.ndarray], bit: np.ndarray, weight: np.ndarray | None = None) -> None:
+        more = np.uint64(1) if weight is None else weight.astype(np.uint64)
+        more = more << (bit.astype(np.uint64) << np.uint64(5))  # a 0 is the lower half of a slot
         for n, at in zip(self.n, slots, strict=True):
-            np.add.at(n, 2 * at + bit, np.uint32(1) if weight is None else weight)
+            np.add.at(n.view(np.uint64), at, more)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -356,25 +383,30 @@ class Tokens:
 
     def __init__(self, words: list[bytes], counts: np.ndarray, escapes: int, stops: int, bits: int):
         self.index = {w: k + FIRST for k, w in enumerate(words)} | {END: STOP}
+        self.common = {w: k + FIRST for k, w in enumerate(words[:COMMON])} | {END: STOP}
         self.code = Code(np.concatenate([[escapes + 1, stops + 1], counts]).astype(np.int64))
+        self.code.salt = self.code.within = None  # only spellings use them
         self.bits = bits
 
     def stream(self, some: list[list[bytes]]) -> Stream:
         sizes = np.array([len(w) for w in some], np.int64)
         flat = [w for words in some for w in words]
-        symbols = np.fromiter(map(self.index.get, flat, repeat(ESCAPE)), np.int64, len(flat))
-        rare = np.flatnonzero(symbols == ESCAPE)
-        return Stream(self.code, symbols, sizes, np.fromiter(map(_words.__getitem__, compress(flat, symbols == ESCAPE)), np.uint64, len(rare)))
+        symbols = np.fromiter(map(self.common.get, flat, repeat(ESCAPE)), np.int64, len(flat))
+        left = np.flatnonzero(symbols == ESCAPE)
+        some_left = [flat[k] for k in left.tolist()]
+        symbols[left] = found = np.fromiter(map(self.index.get, some_left, repeat(ESCAPE)), np.int64, len(left))
+        rare = found == ESCAPE
+        return Stream(self.code, symbols, sizes, np.fromiter(map(_words.__getitem__, compress(some_left, rare.tolist())), np.uint64, int(rare.sum())))
 
 
 def _inputs(tokens_: Tokens, tables, stream: Stream, step: tuple) -> tuple:
-    bit, slots, match, gate = stream.bits(*step, tokens_.bits)
+    bit, slots, match, gate, context = stream.bits(*step, tokens_.bits)
     x, (high, low) = tables.look(slots, (2, 1))
     gate *= 8
     gate += high
     gate *= 8
     gate += low
-    return bit, slots, [*x, match], gate, tokens_.code.context.take(step[1])
+    return bit, slots, [*x, match], gate, context.astype(np.int64)
 
 
 def learn_stream(tokens_: Tokens, counts: Counts, mixer: Mixer, tally: np.ndarray, stream: Stream) -> None:

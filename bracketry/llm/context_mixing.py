@@ -15,9 +15,8 @@ each has seen. Spellings are learned from all rare training tokens, by their num
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import compress, repeat
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bracketry.llm.common import ASCII_LOWER, remainder, saved, table, texts, tidy
-from bracketry.llm.jaccard_join import Words
+from bracketry.llm.jaccard_join import _mix
 
 END = b"\n"
 ESCAPE, STOP, FIRST = 0, 1, 2
@@ -39,21 +38,67 @@ MARKERS = 32
 LEAST_BITS, MOST_BITS = 16, 22
 #: log2 of the slots of the spelling's tables: 1, 2, 3 and 4 bytes before, and the word so far.
 SPELL_BITS = (16, 20, 20, 20, 20)
-#: Tokens (in whole texts) whose contexts are made at once, and decisions that are handled at once. Weights are corrected
+#: Bytes (in whole texts) whose contexts are made at once, and decisions that are handled at once. Weights are corrected
 #: after as many, at first after LEAST_STEP, then after a 32nd of those seen so far.
-BLOCK, STEP, LEAST_STEP = 1 << 16, 1 << 16, 1 << 11
+BLOCK, STEP, LEAST_STEP = 1 << 19, 1 << 16, 1 << 11
+#: Bytes (in whole texts) whose tokens are counted at once.
+COUNTED = 1 << 23
+#: Half of what a count of 16 bits may grow by within a step; from here on a part of it is kept apart.
+FULL = 1 << 15
 #: Levels of the code whose counts for a context lie side by side.
 GROUP = 4
 CHUNK = 1 << 16
-_words = Words()
 _C1, _C2, _C3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0x2C1B3C6D)
-_LEVEL = np.minimum(np.log2(np.arange(128) + 1), 7).astype(np.int64)
+#: ASCII_LOWER with white space as blanks; masks of the first bytes of a number.
+_PLAIN = bytes(32 if c in b" \t\n\x0b\x0c\r" else c for c in ASCII_LOWER)
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer words are hashed by themselves.
+_LONG = 64
 
 
 def tokens(text: bytes) -> list[bytes]:
     return [*text.translate(ASCII_LOWER).split(), END]
 
 
+def _hashes(whole: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of bytes, none of which reaches into the last eight."""
+    size = end - start
+    eight = np.ndarray((len(whole) - 7,), "<u8", whole, strides=(1,))
+    h = _mix((eight[start] & _FIRST.take(np.minimum(size, 8))) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    at = np.flatnonzero(size > 8)
+    for k in range(8, _LONG, 8):
+        h[at] = _mix(h[at] * np.uint64(0x9E3779B97F4A7C15) + (eight[start[at] + k] & _FIRST.take(np.minimum(size[at] - k, 8))))
+        at = at[size[at] > k + 8]
+    if len(at):
+        import xxhash
+
+        for k in at.tolist():
+            h[k] = xxhash.xxh3_64_intdigest(whole[start[k] : end[k]])
+    return h
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    return _hashes(b"".join(words) + b" " * 8, np.append(0, end)[:-1], end)
+
+
+def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The text as bytes with a blank before it, in small letters; of its words the starts and ends there, and hashes()."""
+    whole = b" " + text.translate(_PLAIN) + b" " * 8
+    b = np.frombuffer(whole, np.uint8)
+    blank = b == 32
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    start, end = edges[::2], edges[1::2]
+    return b, start, end, _hashes(whole, start, end)
+
+
+def joined(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As hashed() of all texts at once, and the number of words in each."""
+    b, start, end, h = hashed(b"\n".join(texts_))
+    until = np.cumsum(np.fromiter(map(len, texts_), np.int64, len(texts_)) + 1)
+    return b, start, end, h, np.diff(np.searchsorted(start, until + 1), prepend=0)
+
+
 def table_bits(distinct: int) -> int:
     """log2 of a table's slots for so many distinct training tokens."""
     return min(max(LEAST_BITS, (2 * distinct - 1).bit_length() if distinct else 0), MOST_BITS)
@@ -64,8 +109,10 @@ def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 
 def level(n: np.ndarray) -> np.ndarray:
-    """0 to 7: how much has been seen."""
-    return _LEVEL[np.minimum(n, 127).astype(np.int64)]
+    """0 to 7, how much has been seen: the whole part of log2(n + 1), from the exponent of a number between n + 1 and n + 2."""
+    exponent = (np.asarray(n, np.float32) + np.float32(1.25)).view(np.int32) >> np.int32(23)
+    exponent -= np.int32(127)
+    return np.minimum(exponent, np.int32(7), out=exponent)
 
 
 def coded(n: np.ndarray) -> np.ndarray:
@@ -106,6 +153,7 @@ class Code:
             size += live
             at = np.where(live, up[at], at)
         self.start, self.size = np.cumsum(size) - size, size
+        self.lines = -(-int(size.max()) // GROUP)  # of the longest path
         self.node, self.bit = np.empty(int(size.sum()), np.int32), np.empty(int(size.sum()), np.uint8)
         at, to, left = place, self.start + size - 1, np.ones(m, bool)
         while (left := (at != root)).any():
@@ -118,8 +166,18 @@ class Code:
         for k in range(GROUP - 1):
             on = depth % GROUP > k
             place[on] = 2 * place[on] + self.bit[first[on] + k]
-        self.salt, self.within = (self.node[first].astype(np.uint32) + np.uint32(1)) * _C1, place
-        self.context = np.minimum(self.node, Mixer.MAPS - 1).astype(np.int64)
+        # of a decision at once: the line's salt (32 bits), the context of the maps (8), the place in the line, the bit
+        salt = (self.node[first].astype(np.uint32) + np.uint32(1)) * _C1
+        context = np.minimum(self.node, Mixer.MAPS - 1).astype(np.uint64)
+        self.facts = salt.astype(np.uint64) << np.uint64(32) | context << np.uint64(8) | place.astype(np.uint64) << np.uint64(1) | self.bit.astype(np.uint64)
+
+    @cached_property
+    def salt(self) -> np.ndarray:
+        return (self.facts >> np.uint64(32)).astype(np.uint32)
+
+    @cached_property
+    def within(self) -> np.ndarray:
+        return (self.facts & np.uint64(255)).astype(np.uint32) >> np.uint32(1)
 
 
 class Mixer:
@@ -166,11 +224,12 @@ class Mixer:
         self.w += (0.1 * g / np.sqrt(self.square)).astype(np.float32)
         self.w_seen += n
         near += context * self.KNOTS
-        size = self.maps.size
-        seen = np.bincount(near, weight, size).reshape(self.maps.shape)
-        ones = np.bincount(near, bit if weight is None else weight * bit, size).reshape(self.maps.shape)
-        self.maps += ((ones - seen * self.maps) / (self.maps_seen.clip(30, 30_000) + seen)).astype(np.float32)
-        self.maps_seen += seen
+        seen = np.bincount(near, weight, self.maps.size)
+        ones = np.bincount(near, bit if weight is None else weight * bit, self.maps.size)
+        met = np.flatnonzero(seen)
+        maps, maps_seen, seen = self.maps.ravel(), self.maps_seen.ravel(), seen[met]
+        maps[met] += ((ones[met] - seen * maps[met]) / (maps_seen[met].clip(30, 30_000) + seen)).astype(np.float32)
+        maps_seen[met] += seen
 
     def state(self) -> list[bytes]:
         return [self.w.tobytes(), self.maps.tobytes(), self.w_seen.tobytes(), self.maps_seen.tobytes()]
@@ -223,8 +282,15 @@ class Stream:
         marker = np.where(last >= begin, symbols[last], 0)
         self.contexts = [((c >> np.uint64(32)).astype(np.uint32)) for c in ((marker + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), one * np.uint64(0xD6E8FEB86659FD93), pair)]
         key = pair + self.text.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        order = np.argsort(key, kind="stable")
-        same = key[order[1:]] == key[order[:-1]]
+        low = np.uint64(n.bit_length())
+        packed = key << low | at.astype(np.uint64)
+        packed.sort()
+        order = (packed & (np.uint64(1) << low) - np.uint64(1)).astype(np.int64)
+        packed >>= low
+        same = packed[1:] == packed[:-1]
+        if (key[order[1:][same]] != key[order[:-1][same]]).any():  # keys that differ in their highest bits only
+            order = np.argsort(key, kind="stable")
+            same = key[order[1:]] == key[order[:-1]]
         before = np.full(n, -1)
         before[order[1:][same]] = order[:-1][same]
         before[at - begin < 2] = -1
@@ -235,64 +301,107 @@ class Stream:
         told = (self.guess[self.rare] == ESCAPE) if n else np.empty(0, bool)
         self.told, self.known = told, told & (id_[before[self.rare]] == id_[self.rare]) if n else told
 
-    def steps(self, step: Callable[[], int] = lambda: STEP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Token and place in the code of some decisions at a time, about as many as asked for each time."""
+    def steps(self, step: Callable[[], int] = lambda: STEP) -> Iterator[tuple]:
+        """Some tokens at a time with about as many decisions as asked for each time: the first token, of each token the
+        first decision and their number, of each decision the token and the place in the code."""
         size = self.code.size[self.symbols]
         ends = np.cumsum(size)
+        most = FULL // self.code.lines  # so that no slot is met more than FULL times
         at = 0
         while at < len(size):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step(), side="right")))
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step(), side="right"))
+            to = max(at + 1, min(to, at + most))
             n = size[at:to]
+            begin = np.cumsum(n) - n
             token = np.repeat(np.arange(at, to), n)
             place = np.arange(len(token))
-            place += np.repeat(self.code.start[self.symbols[at:to]] - np.cumsum(n) + n, n)
-            yield token, place
+            place += np.repeat(self.code.start[self.symbols[at:to]] - begin, n)
+            yield at, begin, n, token, place
             at = to
 
-    def bits(self, token: np.ndarray, place: np.ndarray, size: int) -> tuple:
-        """Bit, slots of the tables, the match's input and its sureness of each decision."""
-        salt, within = self.code.salt.take(place), self.code.within.take(place)
+    def bits(self, at: int, begin: np.ndarray, n: np.ndarray, token: np.ndarray, place: np.ndarray, size: int) -> tuple:
+        """Bit, slots of the tables, the match's input, the context of the maps of each decision; decisions that a match
+        tells and how sure it is."""
+        facts = self.code.facts.take(place).view("<u4")
+        salt, low = facts[1::2], facts[::2]
+        bit = (low & np.uint32(1)).astype(np.uint8)
+        within = low >> np.uint32(1)
+        within &= np.uint32(127)
         slots = [_lined(c.take(token), salt, within, size) for c in self.contexts]
-        sure = self.sure.take(token)
-        met = np.flatnonzero(sure)
         x = np.zeros(len(token), np.float32)
+        met = np.flatnonzero(self.sure[at : at + len(n)])
+        sure = np.repeat(self.sure[at + met], n[met])
         if len(met):
-            g, s, at = self.guess[token[met]], self.symbols[token[met]], place[met]
-            d = at - self.code.start[s]
+            n = n[met]
+            d = np.arange(len(sure)) - np.repeat(np.cumsum(n) - n, n)
+            g = np.repeat(self.guess[at + met], n)
+            met = np.repeat(begin[met], n) + d
             to = self.code.start[g] + np.minimum(d, self.code.size[g] - 1)
-            agrees = (d < self.code.size[g]) & (self.code.node[to] == self.code.node[at])
+            agrees = (d < self.code.size[g]) & (self.code.node[to] == self.code.node[place[met]])
             x[met] = np.where(agrees, self.code.bit[to] * np.float32(4) - np.float32(2), 0)
-            sure[met] *= agrees
-        return self.code.bit.take(place), slots, x, sure
+            sure *= agrees
+        return bit, slots, x, (low >> np.uint32(8)).astype(np.int64), met, sure
 
 
 class Counts:
-    """Numbers of 0 and 1 bits at hashed slots, for learning online."""
-
-    def __init__(self, sizes: tuple[int, ...]):
-        self.n = [np.zeros(2 << b, np.uint32) for b in sizes]
-
-    def look(self, slots: list[np.ndarray], gates: tuple[int, int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Stretched predictions of all tables, and of two how much they have seen."""
+    """Numbers of 0 and 1 bits at hashed slots, for learning online, side by side. In 16 bits each, what would be too much is
+    kept apart, and what stays is nearly in proportion; a slot must not be met more than FULL times between two looks."""
+
+    def __init__(self, sizes: tuple[int, ...], kind: type = np.uint32):
+        self.n = [np.zeros(2 << b, kind) for b in sizes]
+        self.both, self.apart = {np.uint16: np.uint32, np.uint32: np.uint64}[kind], [[] for _ in sizes]
+
+    def taken(self, k: int, at: np.ndarray) -> np.ndarray:
+        n = self.n[k].view(self.both)
+        got = n[at]
+        if self.both is np.uint32 and len(full := np.flatnonzero(got & np.uint32(FULL << 16 | FULL))):
+            slots = np.unique(at[full])
+            half = self.n[k].reshape(-1, 2)[slots] >> 1
+            self.apart[k].append((slots, half))
+            self.n[k].reshape(-1, 2)[slots] -= half
+            got = n[at]
+        return got.view(self.n[k].dtype)
+
+    def look(self, slots: list[np.ndarray], gates: tuple[int, int], bit: np.ndarray | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Stretched predictions of all tables, and of two how much they have seen. Then adds ``bit``, if given, to each table
+        while its slots are still in the cache."""
         x, seen = [], {}
-        for k, (n, at) in enumerate(zip(self.n, slots, strict=True)):
-            both = n.view(np.uint64).take(at).view(np.uint32).astype(np.float32)
-            both += np.float32(0.3)
+        more = None if bit is None else self.more(bit)
+        for k, at in enumerate(slots):
+            both = self.taken(k, at).astype(np.float32)
+            if more is not None:
+                np.add.at(self.n[k].view(self.both), at, more)
             if k in gates:
                 seen[k] = level(both[::2] + both[1::2])
+            both += np.float32(0.3)
             np.log(both, out=both)
             x.append(both[1::2] - both[::2])
         return x, [seen[k] for k in gates]
 
+    def more(self, bit: np.ndarray) -> np.ndarray:
+        return np.array([1, 1 << 4 * np.dtype(self.both).itemsize], self.both).take(bit)
+
     def add(self, slots: list[np.ndarray], bit: np.ndarray, weight: np.ndarray | None = None) -> None:
+        more = self.more(bit)
+        if weight is not None:
+            more *= weight
         for n, at in zip(self.n, slots, strict=True):
-            np.add.at(n, 2 * at + bit, np.uint32(1) if weight is None else weight)
+            np.add.at(n.view(self.both), at, more)
+
+    def whole(self, k: int) -> np.ndarray:
+        n = self.n[k]
+        if self.apart[k]:
+            n = n.astype(np.uint32)
+            for slots, half in self.apart[k]:
+                n.reshape(-1, 2)[slots] += half
+        return n
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1)
-        for k, whole in enumerate(self.n):
+        for k in range(len(self.n)):
+            whole = self.whole(k)
             for at in range(0, len(whole), 2 * CHUNK):
                 n = whole[at : at + 2 * CHUNK]
                 if n.any():
@@ -307,7 +416,7 @@ class Tables:
         self.codes = codes
 
     def look(self, slots: list[np.ndarray], gates: tuple[int, int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        got = [c.take(at) for c, at in zip(self.codes, slots, strict=True)]
+        got = [c[at] for c, at in zip(self.codes, slots, strict=True)]
         return [_DECODED.take(g) for g in got], [got[k] & np.uint16(7) for k in gates]
 
 
@@ -351,38 +460,86 @@ def _gathered(rows: DataFrame, sizes: tuple[int, ...], inputs: int, raw: bool =
     return counts, merged([s[:4] for s in states], inputs), tally
 
 
+class Index:
+    """Symbols by their words' hashes: an open table, in which an empty place is an escape."""
+
+    def __init__(self, h: np.ndarray):
+        bits = max(4, (2 * len(h)).bit_length() + 1)
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.h, self.symbol = np.zeros(1 << bits, np.uint64), np.full(1 << bits, ESCAPE, np.int32)
+        left, at = np.arange(len(h)), (h >> self.shift).astype(np.int64)
+        while len(left):
+            free = self.symbol[at] == ESCAPE
+            self.symbol[at[free]] = left[free] + FIRST
+            over = self.symbol[at] != left + FIRST
+            self.h[at[~over]] = h[left[~over]]
+            left, at = left[over], at[over] + 1 & self.last
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        at = (h >> self.shift).astype(np.int64)
+        out = self.symbol.take(at).astype(np.int64)
+        left = np.flatnonzero((self.h.take(at) != h) & (out != ESCAPE))
+        at = at[left]
+        out[left] = ESCAPE
+        while len(left):
+            at = at + 1 & self.last
+            symbol, same = self.symbol[at], self.h[at] == h[left]
+            out[left[same]] = symbol[same]
+            on = ~same & (symbol != ESCAPE)
+            left, at = left[on], at[on]
+        return out
+
+
 class Tokens:
     """The model of the running text: what is broadcast is bounded by RARE_BITS and MOST_BITS."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, escapes: int, stops: int, bits: int):
-        self.index = {w: k + FIRST for k, w in enumerate(words)} | {END: STOP}
+        self.words, self.found = words, Index(hashes(words))
         self.code = Code(np.concatenate([[escapes + 1, stops + 1], counts]).astype(np.int64))
         self.bits = bits
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("words", "index")}
+
+    @cached_property
+    def index(self) -> dict[bytes, int]:
+        return {w: k + FIRST for k, w in enumerate(self.words)} | {END: STOP}
+
     def stream(self, some: list[list[bytes]]) -> Stream:
-        sizes = np.array([len(w) for w in some], np.int64)
+        """Of texts as tokens()."""
         flat = [w for words in some for w in words]
-        symbols = np.fromiter(map(self.index.get, flat, repeat(ESCAPE)), np.int64, len(flat))
-        rare = np.flatnonzero(symbols == ESCAPE)
-        return Stream(self.code, symbols, sizes, np.fromiter(map(_words.__getitem__, compress(flat, symbols == ESCAPE)), np.uint64, len(rare)))
+        stop = np.array([w == END for w in flat], bool)
+        return self._stream(hashes(flat)[~stop], stop, np.array([len(w) for w in some], np.int64))
+
+    def read(self, some: list[bytes]) -> Stream:
+        """Of whole texts, each with its end."""
+        *_, h, n = joined(some)
+        stop = np.zeros(len(h) + len(n), bool)
+        stop[np.cumsum(n + 1) - 1] = True
+        return self._stream(h, stop, n + 1)
+
+    def _stream(self, h: np.ndarray, stop: np.ndarray, sizes: np.ndarray) -> Stream:
+        found = self.found.find(h)
+        symbols = np.full(len(stop), STOP, np.int64)
+        symbols[~stop] = found
+        return Stream(self.code, symbols, sizes, h[found == ESCAPE])
 
 
-def _inputs(tokens_: Tokens, tables, stream: Stream, step: tuple) -> tuple:
-    bit, slots, match, gate = stream.bits(*step, tokens_.bits)
-    x, (high, low) = tables.look(slots, (2, 1))
-    gate *= 8
-    gate += high
-    gate *= 8
-    gate += low
-    return bit, slots, [*x, match], gate, tokens_.code.context.take(step[1])
+def _inputs(tokens_: Tokens, tables, stream: Stream, step: tuple, count: bool = False) -> tuple:
+    bit, slots, match, context, met, sure = stream.bits(*step, tokens_.bits)
+    x, (high, low) = tables.look(slots, (2, 1), bit) if count else tables.look(slots, (2, 1))
+    high <<= 3
+    high |= low
+    gate = high.astype(np.int64)
+    gate[met] += sure << 6
+    return bit, [*x, match], gate, context
 
 
 def learn_stream(tokens_: Tokens, counts: Counts, mixer: Mixer, tally: np.ndarray, stream: Stream) -> None:
-    """Predicts, corrects weights and maps, then counts. The tally is of rare words that a match tells wrongly and rightly, by its sureness."""
+    """Predicts and counts, corrects weights and maps. The tally is of rare words that a match tells wrongly and rightly, by its sureness."""
     for step in stream.steps(lambda: int(min(max(mixer.w_seen.sum() / 32, LEAST_STEP), STEP))):
-        bit, slots, x, gate, context = _inputs(tokens_, counts, stream, step)
+        bit, x, gate, context = _inputs(tokens_, counts, stream, step, count=True)
         mixer.learn(x, gate, context, bit)
-        counts.add(slots, bit)
     sure = stream.sure[stream.rare[stream.told]]
     tally += np.bincount(2 * sure + stream.known[stream.told], minlength=8)
 
@@ -391,11 +548,11 @@ def score_stream(tokens_: Tokens, tables, mixer: Mixer, tally: np.ndarray, strea
     """Natural log of the probability of each token's decisions, spellings left out."""
     out = np.zeros(len(stream.symbols))
     for step in stream.steps():
-        bit, _, x, gate, context = _inputs(tokens_, tables, stream, step)
+        bit, x, gate, context = _inputs(tokens_, tables, stream, step)
         p = mixer.predict(x, gate, context)
-        first = step[0][0]
-        got = np.bincount(step[0] - first, np.log(np.where(bit == 1, p, 1 - p)))
-        out[first : first + len(got)] = got
+        p -= bit == 0
+        first, begin = step[:2]
+        out[first : first + len(begin)] = np.add.reduceat(np.log(np.abs(p, out=p), out=p), begin, dtype=np.float64)
     sure = stream.sure[stream.rare[stream.told]]
     right = (tally[1::2] + 0.5) / (tally[::2] + tally[1::2] + 1)
     out[stream.rare[stream.told]] += np.log(np.where(stream.known[stream.told], right[sure], 1 - right[sure]))
@@ -495,7 +652,7 @@ def _spellings(known: DataFrame, least: int, code: Code) -> Callable[[DataFrame]
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, words in _some(batch):
-                h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)).astype(np.int64)
+                h = hashes(words).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h), part.column("c"), pa.array(spelling_scores(tables.value, mixer, words, code))], names=["h", "c", "spell"])
 
     return lambda words: words.select("word", "c").mapInArrow(tidy(apply), "h long, c long, spell double")
@@ -505,22 +662,21 @@ def _count(docs: DataFrame, folds: int, out: int) -> DataFrame:
     """word, c (its number in training texts, 0 if only others have it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
-            seen.clear()
-            return out
-
-        for text, train in _texts(batches, "train"):
-            if train:
-                seen.update(tokens(text))
-            else:
-                for w in tokens(text):
-                    seen.setdefault(w, 0)
-            if len(seen) > 400_000:
-                yield flush()
-        yield flush()
+        for some in blocks(_texts(batches, "train"), COUNTED):
+            b, start, end, h, n = joined([t for t, _ in some])
+            train = np.array([x for _, x in some], bool)
+            if len(h):
+                order = np.argsort(h)
+                h = h[order]
+                first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                c = np.add.reduceat(np.repeat(train, n)[order], first, dtype=np.int64)
+                start, size = start[order[first]], (end - start)[order[first]]
+                to = np.cumsum(size)
+                place = np.arange(to[-1])
+                place += np.repeat(start - to + size, size)
+                words = pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer(np.append(0, to).astype(np.int32)), pa.py_buffer(b[place])])
+                yield pa.RecordBatch.from_arrays([words, pa.array(c)], names=["word", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([int(train.sum())], pa.int64())], names=["word", "c"])
 
     train = F.coalesce(remainder("doc_id", folds) != out, F.lit(False)).alias("train")
     parts = docs.select(F.col("text").cast("string"), train).mapInArrow(tidy(run), "word binary, c long")
@@ -535,15 +691,15 @@ def _texts(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
             yield from zip(texts(b), *(b.column(c).to_pylist() for c in columns), strict=True)
 
 
-def blocks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
-    """Rows (tokens first) in runs of about BLOCK tokens; a longer one is one by itself."""
+def blocks(rows: Iterator[tuple], most: int = BLOCK) -> Iterator[list[tuple]]:
+    """Rows (text first) in runs of about so many bytes; a longer one is one by itself."""
     held, n = [], 0
     for row in rows:
-        if held and n + len(row[0]) > BLOCK:
+        if held and n + len(row[0]) > most:
             yield held
             held, n = [], 0
         held.append(row)
-        n += len(row[0])
+        n += len(row[0]) + 1
     if held:
         yield held
 
@@ -563,9 +719,9 @@ def _learned(train: DataFrame, sent, sizes: tuple[int, ...]) -> tuple[Tables, Mi
     """Tables, mixer and tally of the running text, online over all training texts by partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, mixer, tally = Counts(sizes), Mixer(Stream.INPUTS), np.zeros(8)
-        for some in blocks((tokens(t),) for (t,) in _texts(batches)):
-            learn_stream(sent.value, counts, mixer, tally, sent.value.stream([w for (w,) in some]))
+        counts, mixer, tally = Counts(sizes, np.uint16), Mixer(Stream.INPUTS), np.zeros(8)
+        for some in blocks(_texts(batches)):
+            learn_stream(sent.value, counts, mixer, tally, sent.value.read([t for (t,) in some]))
         yield from counts.rows()
         yield _row(-1, TaskContext.get().partitionId(), b"", 0, [*mixer.state(), tally.tobytes()])
 
@@ -600,24 +756,22 @@ def score(docs: DataFrame, folds: int = 7, out: int = 2) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, (base, is_known), row = (*ready.value,), base_of.value, TaskContext.get().partitionId() << 32
-        for some in blocks((tokens(t), d, len(t)) for t, d in _texts(batches, "doc_id")):
-            stream = sent.value.stream([w for w, *_ in some])
+        for some in blocks(_texts(batches, "doc_id")):
+            stream = sent.value.read([t for t, _ in some])
             n = len(some)
             scores = np.bincount(stream.text, score_stream(sent.value, *own, stream), n) / np.log(10)
             plain = stream.symbols != ESCAPE
             bases = np.bincount(stream.text, np.where(plain, base[stream.symbols], 0), n)
             knowns = np.bincount(stream.text, plain & is_known[stream.symbols], n).astype(np.int64)
-            edges = np.searchsorted(stream.text[stream.rare], np.arange(n + 1))
-            h, spelt, times, sizes = [], [], [], []
-            for a, b in zip(edges, edges[1:]):
-                each, inverse, c = np.unique(stream.h[a:b].astype(np.int64), return_inverse=True, return_counts=True)
-                h.append(each)
-                times.append(c)
-                spelt.append(np.bincount(inverse, ~stream.known[a:b], len(each)).astype(np.int64))
-                sizes.append(len(each))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(np.int64))) for x in (h, times, spelt)]
-            cols = [pa.array(row + np.arange(n)), pa.array([d for _, d, _ in some], pa.int64()), pa.array([len(w) for w, *_ in some], pa.int64()), pa.array(knowns), pa.array(bases), pa.array([s for *_, s in some], pa.int64()), pa.array(scores), *lists]
+            # a text's rare words, each once: how often it occurs, how often no match tells it
+            of = stream.text[stream.rare]
+            order = np.lexsort((stream.h, of))
+            h, of = stream.h[order], of[order]
+            first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]))[: len(h)])
+            spelt = np.add.reduceat(~stream.known[order], first, dtype=np.int64) if len(h) else first
+            offsets = pa.array(np.append(0, np.cumsum(np.bincount(of[first], minlength=n))), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h[first].astype(np.int64), np.diff(np.append(first, len(h))), spelt)]
+            cols = [pa.array(row + np.arange(n)), pa.array([d for _, d in some], pa.int64()), pa.array(np.bincount(stream.text, minlength=n)), pa.array(knowns), pa.array(bases), pa.array([len(t) for t, _ in some], pa.int64()), pa.array(scores), *lists]
             yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "n_tokens", "n_known", "base", "bytes", "score", "h", "times", "spelt"])
             row += n
 

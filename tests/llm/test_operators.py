@@ -305,6 +305,32 @@ def test_order_of_words_changes_the_score(spark):
     assert len(got) == 2 and max(got) - min(got) > 5
 
 
+def test_hashes_and_symbols_of_whole_texts():
+    odd = [b"", b" ", b"One\x0btwo\x0cTHREE \r\n\tfour ", b"x" * 300 + b" " + b"x" * 301, b"a\x00 a \x00a a\x00\x00", b"\x1c\x85 \xc3\xa9\xc2\xa0b"]
+    some = [*odd, *(b"y" * k + b" " + b"y" * k + b"Z" for k in range(70)), *((t or "").encode() for _, t, *_ in some_docs())]
+    each = [context_mixing.tokens(t) for t in some]
+    *_, h, n = context_mixing.joined(some)
+    assert n.tolist() == [len(ws) - 1 for ws in each]
+    flat = [w for ws in each for w in ws[:-1]]
+    assert (h == context_mixing.hashes(flat)).all() and len(set(h.tolist())) == len(set(flat))
+    words = sorted(set(flat))[::3] + [b"word%d" % k for k in range(5000)]
+    model = context_mixing.Tokens(words, np.ones(len(words), np.int64), 1, 1, 16)
+    got, want = model.read(some), model.stream(each)
+    assert got.symbols.tolist() == want.symbols.tolist() == [model.index.get(w, context_mixing.ESCAPE) for ws in each for w in ws]
+    assert (got.h == want.h).all() and (got.text == want.text).all()
+
+
+def test_counts_of_16_bits_lose_nothing():
+    model = context_mixing.Tokens([b"a"], np.array([200_000]), 1, 1, 16)
+    wide, narrow = context_mixing.Counts((16,) * 3), context_mixing.Counts((16,) * 3, np.uint16)
+    for n in (wide, narrow):
+        mixer = context_mixing.Mixer(4)
+        for _ in range(2):
+            context_mixing.learn_stream(model, n, mixer, np.zeros(8), model.read([b"a " * 200_000, b"b"]))
+        assert all(n.whole(k).sum() == mixer.w_seen.sum() for k in range(3))
+    assert all((wide.n[k] == narrow.whole(k)).all() for k in range(3)) and max(x.max() for x in wide.n) > 1 << 17
+
+
 def test_few_repeated_lines_of_many_pass(spark):
     lines = [f"line {k} has words of its own" for k in range(400)]
     rows = [(1, "\n".join([*lines, *lines[:3]])), (2, "\n".join(lines[:3] * 4)), (3, "\n".join(lines[:3]))]

@@ -105,7 +105,11 @@ def table_bits(distinct: int) -> int:
 
 
 def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.log(n1 + np.float32(0.3)) - np.log(n0 + np.float32(0.3))
+    """The stretched prediction, in the place of ``n1``; ``n0`` is spent too."""
+    n0 += np.float32(0.3)
+    n1 += np.float32(0.3)
+    n1 /= n0
+    return np.log(n1, out=n1)
 
 
 def level(n: np.ndarray) -> np.ndarray:
@@ -122,8 +126,12 @@ def coded(n: np.ndarray) -> np.ndarray:
     return (np.round((np.clip(x, -15.9, 15.9) + 16) * 256).astype(np.uint16) << 3 | level(n.sum(axis=1)).astype(np.uint16)).astype(np.uint16)
 
 
-#: Of each number from coded(): the prediction.
-_DECODED = ((np.arange(1 << 16) >> 3) / 256 - 16).astype(np.float32)
+def decoded(codes: np.ndarray) -> np.ndarray:
+    """Of numbers from coded() the predictions."""
+    x = (codes >> np.uint16(3)).view(np.int16).astype(np.float32)
+    x *= np.float32(1 / 256)
+    x -= np.float32(16)
+    return x
 
 
 class Code:
@@ -192,10 +200,13 @@ class Mixer:
         self.maps = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, self.KNOTS))), (self.MAPS, 1)).astype(np.float32)
         self.w_seen, self.maps_seen = np.zeros(self.GATES), np.zeros(self.maps.shape)
 
-    def mix(self, x: list[np.ndarray], gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The probability of a 1 before maps, and the knot next to it."""
+    def mix(self, x: list, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The probability of a 1 before maps, and the knot next to it. An input that is mostly 0 may be places and values."""
         z = self.w[-1].take(gate)
         for w, row in zip(self.w, x):
+            if isinstance(row, tuple):
+                z[row[0]] += w[gate[row[0]]] * row[1]
+                continue
             part = w.take(gate)
             part *= row
             z += part
@@ -219,13 +230,16 @@ class Mixer:
         if weight is not None:
             off *= weight
         n = np.bincount(gate, weight, self.GATES)
-        g = np.stack([*(np.bincount(gate, row * off, self.GATES) for row in x), np.bincount(gate, off, self.GATES)]) / np.maximum(n, 1)
+        g = [np.bincount(gate[row[0]], row[1] * off[row[0]], self.GATES) if isinstance(row, tuple) else np.bincount(gate, row * off, self.GATES) for row in x]
+        g = np.stack([*g, np.bincount(gate, off, self.GATES)]) / np.maximum(n, 1)
         self.square += g * g
         self.w += (0.1 * g / np.sqrt(self.square)).astype(np.float32)
         self.w_seen += n
         near += context * self.KNOTS
-        seen = np.bincount(near, weight, self.maps.size)
-        ones = np.bincount(near, bit if weight is None else weight * bit, self.maps.size)
+        near <<= 1
+        near += bit
+        seen = np.bincount(near, weight, 2 * self.maps.size)
+        ones, seen = seen[1::2], seen[::2] + seen[1::2]
         met = np.flatnonzero(seen)
         maps, maps_seen, seen = self.maps.ravel(), self.maps_seen.ravel(), seen[met]
         maps[met] += ((ones[met] - seen * maps[met]) / (maps_seen[met].clip(30, 30_000) + seen)).astype(np.float32)
@@ -320,15 +334,15 @@ class Stream:
             at = to
 
     def bits(self, at: int, begin: np.ndarray, n: np.ndarray, token: np.ndarray, place: np.ndarray, size: int) -> tuple:
-        """Bit, slots of the tables, the match's input, the context of the maps of each decision; decisions that a match
-        tells and how sure it is."""
+        """Bit, slots of the tables, the context of the maps of each decision; decisions that a match tells, what it tells
+        and how sure it is."""
         facts = self.code.facts.take(place).view("<u4")
-        salt, low = facts[1::2], facts[::2]
+        salt, low = facts[1::2].copy(), facts[::2].copy()
         bit = (low & np.uint32(1)).astype(np.uint8)
         within = low >> np.uint32(1)
         within &= np.uint32(127)
         slots = [_lined(c.take(token), salt, within, size) for c in self.contexts]
-        x = np.zeros(len(token), np.float32)
+        x = np.empty(0, np.float32)
         met = np.flatnonzero(self.sure[at : at + len(n)])
         sure = np.repeat(self.sure[at + met], n[met])
         if len(met):
@@ -338,9 +352,10 @@ class Stream:
             met = np.repeat(begin[met], n) + d
             to = self.code.start[g] + np.minimum(d, self.code.size[g] - 1)
             agrees = (d < self.code.size[g]) & (self.code.node[to] == self.code.node[place[met]])
-            x[met] = np.where(agrees, self.code.bit[to] * np.float32(4) - np.float32(2), 0)
+            x = np.where(agrees, self.code.bit[to] * np.float32(4) - np.float32(2), 0)
             sure *= agrees
-        return bit, slots, x, (low >> np.uint32(8)).astype(np.int64), met, sure
+        low >>= np.uint32(8)
+        return bit, slots, low.astype(np.int64), met, x, sure
 
 
 class Counts:
@@ -351,16 +366,19 @@ class Counts:
         self.n = [np.zeros(2 << b, kind) for b in sizes]
         self.both, self.apart = {np.uint16: np.uint32, np.uint32: np.uint64}[kind], [[] for _ in sizes]
 
-    def taken(self, k: int, at: np.ndarray) -> np.ndarray:
+    def taken(self, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self.n[k].view(self.both)
-        got = n[at]
-        if self.both is np.uint32 and len(full := np.flatnonzero(got & np.uint32(FULL << 16 | FULL))):
-            slots = np.unique(at[full])
+        got = n.take(at)
+        if self.both is np.uint32 and np.bitwise_or.reduce(got) & np.uint32(FULL << 16 | FULL):
+            slots = np.unique(at[(got & np.uint32(FULL << 16 | FULL)) > 0])
             half = self.n[k].reshape(-1, 2)[slots] >> 1
             self.apart[k].append((slots, half))
             self.n[k].reshape(-1, 2)[slots] -= half
-            got = n[at]
-        return got.view(self.n[k].dtype)
+            got = n.take(at)
+        if self.both is np.uint32:
+            return (got & np.uint32(0xFFFF)).view(np.int32).astype(np.float32), (got >> np.uint32(16)).view(np.int32).astype(np.float32)
+        got = got.view(np.uint32)
+        return got[::2].astype(np.float32), got[1::2].astype(np.float32)
 
     def look(self, slots: list[np.ndarray], gates: tuple[int, int], bit: np.ndarray | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Stretched predictions of all tables, and of two how much they have seen. Then adds ``bit``, if given, to each table
@@ -368,18 +386,19 @@ class Counts:
         x, seen = [], {}
         more = None if bit is None else self.more(bit)
         for k, at in enumerate(slots):
-            both = self.taken(k, at).astype(np.float32)
+            n0, n1 = self.taken(k, at)
             if more is not None:
                 np.add.at(self.n[k].view(self.both), at, more)
             if k in gates:
-                seen[k] = level(both[::2] + both[1::2])
-            both += np.float32(0.3)
-            np.log(both, out=both)
-            x.append(both[1::2] - both[::2])
+                seen[k] = level(n0 + n1)
+            x.append(stretched(n0, n1))
         return x, [seen[k] for k in gates]
 
     def more(self, bit: np.ndarray) -> np.ndarray:
-        return np.array([1, 1 << 4 * np.dtype(self.both).itemsize], self.both).take(bit)
+        more = bit.astype(self.both)
+        more *= self.both((1 << 4 * more.itemsize) - 1)
+        more += self.both(1)
+        return more
 
     def add(self, slots: list[np.ndarray], bit: np.ndarray, weight: np.ndarray | None = None) -> None:
         more = self.more(bit)
@@ -415,9 +434,12 @@ class Tables:
     def __init__(self, codes: list[np.ndarray]):
         self.codes = codes
 
+    def __setstate__(self, state: dict) -> None:
+        self.codes = [c.copy() for c in state["codes"]]  # into memory that NumPy asks large pages for
+
     def look(self, slots: list[np.ndarray], gates: tuple[int, int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        got = [c[at] for c, at in zip(self.codes, slots, strict=True)]
-        return [_DECODED.take(g) for g in got], [got[k] & np.uint16(7) for k in gates]
+        got = [c.take(at) for c, at in zip(self.codes, slots, strict=True)]
+        return [decoded(g) for g in got], [got[k] & np.uint16(7) for k in gates]
 
 
 _ROWS = "part int, chunk int, n binary, bytes long, state array<binary>"
@@ -526,13 +548,13 @@ class Tokens:
 
 
 def _inputs(tokens_: Tokens, tables, stream: Stream, step: tuple, count: bool = False) -> tuple:
-    bit, slots, match, context, met, sure = stream.bits(*step, tokens_.bits)
+    bit, slots, context, met, match, sure = stream.bits(*step, tokens_.bits)
     x, (high, low) = tables.look(slots, (2, 1), bit) if count else tables.look(slots, (2, 1))
     high <<= 3
     high |= low
     gate = high.astype(np.int64)
     gate[met] += sure << 6
-    return bit, [*x, match], gate, context
+    return bit, [*x, (met, match)], gate, context
 
 
 def learn_stream(tokens_: Tokens, counts: Counts, mixer: Mixer, tally: np.ndarray, stream: Stream) -> None:
@@ -584,7 +606,8 @@ def spelling(words: list[bytes], code: Code) -> tuple[np.ndarray, np.ndarray, li
     three = two | b3 << np.uint32(16)
     each = code.size[b]
     byte = np.repeat(at, each)
-    place = code.start[b[byte]] + np.arange(len(byte)) - np.repeat(np.cumsum(each) - each, each)
+    place = np.arange(len(byte))
+    place += np.repeat(code.start[b] - np.cumsum(each) + each, each)
     node, salt, within = code.node.take(place), code.salt.take(place), code.within.take(place)
     slots = [(b1.take(byte) << np.uint32(8) | node.astype(np.uint32)).astype(np.int64)]
     for c, bits in zip((two, three, three | b4 << np.uint32(24), so_far), SPELL_BITS[1:], strict=True):
@@ -632,17 +655,19 @@ def _spellings(known: DataFrame, least: int, code: Code) -> Callable[[DataFrame]
     sent = spark.sparkContext.broadcast(counts.n)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer(len(SPELL_BITS))
+        mixer, counted = Mixer(len(SPELL_BITS)), Counts(())
+        counted.n = sent.value
         for batch in batches:
             for part, words in _some(batch, 200):
                 word, bit, slots, node = spelling(words, code)
-                x, seen = [], {}
-                for k, (n, at) in enumerate(zip(sent.value, slots, strict=True)):  # as if this occurrence had not been counted
-                    both = n.view(np.uint64).take(at).view(np.uint32).reshape(-1, 2).astype(np.float32)
-                    n0, n1 = both[:, 0] - (1 - bit.astype(np.float32)), both[:, 1] - bit
-                    x.append(stretched(n0, n1))
+                x, seen, not_bit = [], {}, (bit == 0).astype(np.float32)
+                for k, at in enumerate(slots):  # as if this occurrence had not been counted
+                    n0, n1 = counted.taken(k, at)
+                    n0 -= not_bit
+                    n1 -= bit
                     if k in (2, 4):
                         seen[k] = level(n0 + n1)
+                    x.append(stretched(n0, n1))
                 mixer.learn(x, seen[4] * 8 + seen[2], node, bit, part.column("c").to_numpy().astype(np.float32)[word])
         yield _row(-1, TaskContext.get().partitionId(), b"", 0, [*mixer.state(), np.zeros(8).tobytes()])
 

@@ -434,9 +434,6 @@ class Tables:
     def __init__(self, codes: list[np.ndarray]):
         self.codes = codes
 
-    def __setstate__(self, state: dict) -> None:
-        self.codes = [c.copy() for c in state["codes"]]  # into memory that NumPy asks large pages for
-
     def look(self, slots: list[np.ndarray], gates: tuple[int, int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         got = [c.take(at) for c, at in zip(self.codes, slots, strict=True)]
         return [decoded(g) for g in got], [got[k] & np.uint16(7) for k in gates]

@@ -116,29 +116,50 @@ def drift_correlation(a: np.ndarray, b: np.ndarray, most: float = 64) -> tuple[f
     return correlation(a[ya, xa], b[yb, xb]), size
 
 
-def may_drift(a: np.ndarray, b: np.ndarray, least: float, shift: float) -> np.ndarray:
-    """Whether maps of a and b (n, h, w) may have a drift_correlation of ``least``: by all whole shifts a drift of up to
-    ``shift`` may be rounded to, with room for single precision."""
-    h, w = b.shape[1:]
-    out = np.zeros((len(a), len(b)), bool)
+def windows(maps: np.ndarray, shift: float, other: bool = False) -> list[np.ndarray]:
+    """For all whole shifts that a drift of up to ``shift`` may be rounded to, what of maps (n, h, w) is left (``other``: of
+    those that they are shifted to), less its mean and at length 1, in single precision."""
+    h, w = maps.shape[1:]
+    out = []
     for sy in range(-(h - h // 2), h - h // 2 + 1):
         for sx in range(-(w - w // 2), w - w // 2 + 1):
-            if np.hypot(max(abs(sy) - 0.5, 0), max(abs(sx) - 0.5, 0)) > shift:
+            if np.hypot(max(abs(sy) - 0.5, 0), max(abs(sx) - 0.5, 0)) > shift or (h - abs(sy)) * (w - abs(sx)) < 2:
                 continue
-            p = a[:, max(0, -sy) : h - max(0, sy), max(0, -sx) : w - max(0, sx)].reshape(len(a), -1)
-            q = b[:, max(0, sy) : h - max(0, -sy), max(0, sx) : w - max(0, -sx)].reshape(len(b), -1)
-            if p.shape[1] >= 2:
-                p, q = (t - t.mean(axis=1, keepdims=True) for t in (p, q))
-                p, q = ((t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-12)).astype(np.float32) for t in (p, q))
-                out |= p @ q.T >= np.float32(least - 1e-3)
+            y, x = (sy, sx) if other else (-sy, -sx)
+            t = maps[:, max(0, y) : h - max(0, -y), max(0, x) : w - max(0, -x)].reshape(len(maps), -1)
+            t = t - t.mean(axis=1, keepdims=True)
+            out.append((t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-12)).astype(np.float32))
+    return out
+
+
+def any_window(p: list[np.ndarray], q: list[np.ndarray], least: float | np.ndarray, rows: int = 256, columns: int = 512) -> np.ndarray:
+    """Whether maps of windows p and of (other) windows q may have a drift_correlation of ``least`` (or of a least for each of
+    p), with room for single precision. So many are compared at once that what is made of them stays in a core's cache."""
+    n, m = len(p[0]), len(q[0])
+    out = np.zeros((n, m), bool)
+    level = np.broadcast_to(np.asarray(least - 1e-3, np.float32).reshape(-1, 1), (n, 1))
+    for i in range(0, n, rows):
+        for j in range(0, m, columns):
+            part = out[i : i + rows, j : j + columns]
+            z, over = np.empty(part.shape, np.float32), np.empty(part.shape, bool)
+            for s, t in zip(p, q, strict=True):
+                np.matmul(s[i : i + rows], t[j : j + columns].T, out=z)
+                np.greater_equal(z, level[i : i + rows], out=over)
+                part |= over
     return out
 
 
-def drift_correlations(a: np.ndarray, b: np.ndarray, most: float = 64, fb: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """drift_correlation of one edge map with each of b (n, h, w); those of one whole shift are compared at once. ``fb``:
-    fft2 of b, if it is known."""
+def may_drift(a: np.ndarray, b: np.ndarray, least: float, shift: float) -> np.ndarray:
+    """Whether maps of a and b (n, h, w) may have a drift_correlation of ``least``: by all whole shifts a drift of up to
+    ``shift`` may be rounded to, with room for single precision."""
+    return any_window(windows(a, shift), windows(b, shift, True), least)
+
+
+def drift_correlations(a: np.ndarray, b: np.ndarray, most: float = 64, fb: np.ndarray | None = None, fa: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """drift_correlation of one edge map with each of b (n, h, w), or of each of a (n, h, w) with the same one of b; those of
+    one whole shift are compared at once. ``fa``, ``fb``: fft2 of a and b, if they are known."""
     n, h, w = b.shape
-    f = (np.fft.fft2(b) if fb is None else fb) * np.conj(np.fft.fft2(a))[None]
+    f = (np.fft.fft2(b) if fb is None else fb) * np.conj(np.fft.fft2(a) if fa is None else fa)
     r = np.real(np.fft.ifft2(f / np.maximum(np.abs(f), 1e-12)))
     top = r.reshape(n, h * w).argmax(axis=1)
     y, x = (top // w)[:, None] + np.arange(-2, 3), (top % w)[:, None] + np.arange(-2, 3)
@@ -151,12 +172,12 @@ def drift_correlations(a: np.ndarray, b: np.ndarray, most: float = 64, fb: np.nd
     near = size <= most
     for sy, sx in np.unique(whole[near], axis=0):
         at = np.flatnonzero(near & (whole == (sy, sx)).all(axis=1))
-        p = a[max(0, -sy) : h - max(0, sy), max(0, -sx) : w - max(0, sx)]
+        p = (a[at] if a.ndim > 2 else a[None])[:, max(0, -sy) : h - max(0, sy), max(0, -sx) : w - max(0, sx)]
         q = b[at, max(0, sy) : h - max(0, -sy), max(0, sx) : w - max(0, -sx)]
-        if p.size >= 2:
-            p, q = p.ravel() - p.mean(), q.reshape(len(at), -1)
-            q = q - q.mean(axis=1, keepdims=True)
-            z[at] = q @ p / (np.linalg.norm(p) * np.linalg.norm(q, axis=1) + 1e-9)
+        if q[0].size >= 2:
+            p, q = (t.reshape(len(t), -1) for t in (p, q))
+            p, q = (t - t.mean(axis=1, keepdims=True) for t in (p, q))
+            z[at] = (q * p).sum(axis=1) / (np.linalg.norm(p, axis=1) * np.linalg.norm(q, axis=1) + 1e-9)
     return z, size
 
 

@@ -304,3 +304,32 @@ def test_no_drift_is_missed(side):
         assert np.allclose(measures.drift_correlations(a[i], b[some], fb=np.fft.fft2(b)[some])[0], got[some], atol=1e-9)
         hits += ((got >= 0.61) & (size <= 14)).sum()
     assert hits > 40 and not may.all()
+
+
+def test_few_drifts_are_measured_for_the_two_best(monkeypatch):
+    rng = np.random.default_rng(9)
+    scene = rng.random((40, 8, 8)) * 200
+    tiles = [np.roll(scene[k % 40], tuple(rng.integers(-2, 3, 2)), axis=(0, 1)) + rng.random((8, 8)) * 40 if k % 7 else rng.random((8, 8)) * 255 for k in range(900)]
+    p = passes.Params(edges=False, least=24)
+    g = lambda at: passes.Group(np.array(at), [""] * len(at), [tiles[k].mean() for k in at], [tiles[k].ravel() for k in at], p)
+    asks = list(range(0, 900, 9))
+    a, b = g(asks), g(list(range(900)))
+    want, measured = {}, []
+    ea, eb = images.drift_edges(a.tiles), images.drift_edges(b.tiles)
+    z = passes._cross(a, b)[0]
+    for i, k in enumerate(asks):
+        got, size = measures.drift_correlations(ea[i], eb)
+        fits = np.flatnonzero((z[i] < 0.55) & (np.arange(900) != k) & (size <= 14) & (got >= 0.61))
+        want[k] = sorted(((round(got[j], 9), int(j)) for j in fits), reverse=True)[:2]
+    exact = measures.drift_correlations
+    monkeypatch.setattr(measures, "drift_correlations", lambda x, y, **kw: (measured.append(len(y)), exact(x, y, **kw))[1])
+    i, j, got = passes.two_best_drifts(a, b, np.array(asks), np.arange(900), 0.61, 0.10, 14)
+    found = {k: sorted(((round(got[n], 9), int(j[n])) for n in np.flatnonzero(i == place)), reverse=True) for place, k in enumerate(asks)}
+    sure = 0
+    for k, two in want.items():
+        if len(found[k]) == 2 and found[k][1][0] > 0.9:  # nothing can be ahead of these by the margin
+            assert two[1][0] >= found[k][1][0]
+        else:
+            assert found[k] == two
+            sure += 1
+    assert 20 < sure and sum(measured) < 0.2 * 100 * 900

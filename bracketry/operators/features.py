@@ -41,10 +41,19 @@ def edge_descriptors(frames: DataFrame, side: int = 64) -> DataFrame:
 
 
 def wavelet_embeddings(frames: DataFrame, side: int = 128, cell: int = 16, components: int = COMPONENTS) -> DataFrame:
-    """frame_id, wave: whitened principal components of the wavelet features but the first, of length 1. Sums and products
-    are added up by task; the driver holds one matrix of features by features, whatever the number of frames."""
-    rows = stored(mapped(frames, lambda t: images.wavelet_features(t, side, cell=cell), "x"))
-    dim = 9 * cell * cell
+    """frame_id, wave: whitened principal components of the wavelet features but the first, of length 1."""
+    return whitened(stored(mapped(frames, lambda t: images.wavelet_features(t, side, cell=cell), "x")), 9 * cell * cell, components)
+
+
+def pixel_embeddings(frames: DataFrame, components: int = COMPONENTS) -> DataFrame:
+    """wavelet_embeddings of the pixels themselves, for tiles too small for wavelets."""
+    size = frames.select(F.size("tile")).first()
+    return whitened(stored(mapped(frames, lambda t: t, "x")), size[0] if size else 1, components)
+
+
+def whitened(rows: DataFrame, dim: int, components: int) -> DataFrame:
+    """frame_id, wave of rows (frame_id, x). Sums and products are added up by task; the driver holds one matrix of features
+    by features, whatever the number of frames."""
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, q = 0, np.zeros(dim), np.zeros((dim, dim))

@@ -333,3 +333,41 @@ def test_few_drifts_are_measured_for_the_two_best(monkeypatch):
             assert found[k] == two
             sure += 1
     assert 20 < sure and sum(measured) < 0.2 * 100 * 900
+
+
+def test_groups_near_by_centre_and_by_range_are_candidates(spark):
+    rng = np.random.default_rng(10)
+    rows = []
+    for k in range(240):
+        x = np.clip(np.floor((128 + 60 * rng.normal(size=64)) * (0.15, 0.5, 1, 1.9)[k % 4]), 0, 255)
+        rows.append((k, f"IMG_{7 * k:05d}.jpg", float(x.mean()), x.tolist()))
+    frames = spark.createDataFrame(rows, "frame_id long, filename string, brightness double, tile array<double>")
+    label = {k: k // 2 * 2 if k < 200 else 200 + (k - 200) // 10 * 10 for k in range(240)}
+    labels = spark.createDataFrame(list(label.items()), "frame_id long, label long")
+    p = passes.Params(edges=False, least=24)
+    got = {(r["a"], r["b"]) for r in passes.near_groups(labels, frames, p, centres=5, ranges=4, block=30).collect()}
+    e = images.embedded(np.array([r[3] for r in rows]))
+    groups = sorted(set(label.values()))
+    members = {g: [k for k in label if label[k] == g] for g in groups}
+    c = {g: e[members[g]].mean(axis=0) for g in groups}
+    c = {g: v / np.linalg.norm(v) for g, v in c.items()}
+    b = {g: [rows[k][2] for k in members[g]] for g in groups}
+    want = set()
+    for g in groups:
+        rest = [h for h in groups if h != g]
+        want |= {(g, h) for h in sorted(rest, key=lambda h: -(c[g] @ c[h]))[:5]}
+        if len(members[g]) <= 3 or min(b[g]) < 45 or max(b[g]) > 210:
+            want |= {(g, h) for h in sorted(rest, key=lambda h: (max(0, min(b[h]) - max(b[g]), min(b[g]) - max(b[h])), h))[:4]}
+    assert got == want and any(len(m) > 3 for m in members.values())
+
+
+def test_groups_far_in_brightness_and_capture_merge(spark):
+    rng = np.random.default_rng(11)
+    scene = [rng.normal(size=64) * 40 for _ in range(40)]
+    rows = [(k, f"IMG_{1000 * k:06d}.jpg", float(x.mean()), x.tolist()) for k in range(40) for x in [np.clip(np.floor(60 + 3 * k + (scene[k] if k < 39 else scene[0])), 9, 246)]]
+    frames = spark.createDataFrame(rows, "frame_id long, filename string, brightness double, tile array<double>")
+    labels = frames.selectExpr("frame_id", "frame_id as label")
+    p = passes.Params(edges=False, least=24)
+    assert (0, 39) not in {(r["a"], r["b"]) for r in passes.merge_candidates(labels, frames).collect()}
+    got = {r["frame_id"]: r["label"] for r in passes.merge_groups(labels, frames, p).collect()}
+    assert got[39] == got[0] == 0
